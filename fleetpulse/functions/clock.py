@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,3 +22,11 @@ def instant(when: datetime | str | Column) -> Column:
 
 def hour_of(ts: Column) -> Column:
     return F.date_trunc("hour", ts)
+
+
+def row_order(ts: Column, row_id: Column) -> Column:
+    """Sortable number of (time, id), for ids from 0 up.
+
+    Being fixed-width it fits the buffers of hash aggregation, which a struct does not.
+    """
+    return F.unix_micros(ts).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + row_id

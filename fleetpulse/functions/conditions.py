@@ -23,9 +23,9 @@ def compare(value: Column, op: Column, threshold: Column) -> Column:
 
 
 def age_seconds(ts: Column, as_of: Column) -> Column:
-    """Whole seconds since ``ts``, never negative."""
+    """Whole seconds since ``ts``, never negative; NULL without a ``ts``."""
     elapsed = F.unix_micros(as_of) - F.unix_micros(ts)
-    return F.floor(F.greatest(elapsed, F.lit(0)) / 1_000_000).cast("bigint")
+    return F.floor(F.when(elapsed < 0, F.lit(0)).otherwise(elapsed) / 1_000_000).cast("bigint")
 
 
 def health_thresholds(healthy: int | None, stale: int | None) -> tuple[int, int]:

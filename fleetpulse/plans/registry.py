@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fleetpulse.plans import rollups
+from fleetpulse.plans import alerts, fleet, intake, rollups
 from fleetpulse.plans.common import Entry
 
-AREAS = [rollups]
+AREAS = [rollups, fleet, intake, alerts]
 
 
 def entries() -> dict[str, Entry]:
