@@ -150,7 +150,7 @@ grouped AS (
 ), runs AS (
   SELECT *, min(clock) OVER (PARTITION BY rule_id, agent_id, g) AS first_breach FROM grouped WHERE breaching
 ), fired AS (
-  SELECT * FROM runs WHERE epoch_us(clock) - epoch_us(first_breach) >= hold_seconds * 1000000
+  SELECT * FROM runs WHERE epoch_us(clock) - epoch_us(first_breach) >= CAST(hold_seconds AS BIGINT) * 1000000
   QUALIFY row_number() OVER (PARTITION BY rule_id, agent_id, g ORDER BY clock, id) = 1
 ), episodes AS (
   SELECT f.rule_id, f.agent_id, f.first_breach, f.clock AS started_at, f.id AS started_id, f.value AS started_value,
@@ -171,20 +171,20 @@ alerts AS (
 
 ACKS_SQL = """
 commands AS (
-  SELECT id AS alert_id, 1 AS seq, started_at - INTERVAL 1 MINUTE AS at, 'early' AS who, 'too early' AS note FROM alerts
+  SELECT id AS alert_id, 1 AS seq, started_at - INTERVAL 1 MINUTE AS "at", 'early' AS who, 'too early' AS note FROM alerts
   UNION ALL SELECT id, 2, started_at + INTERVAL 30 MINUTE, '', 'looking' FROM alerts
   UNION ALL SELECT id, 3, started_at + INTERVAL 31 MINUTE, 'alice', 'me too' FROM alerts
   UNION ALL SELECT id, 4, coalesce(resolved_at, started_at + INTERVAL 60 MINUTE), 'late', 'after' FROM alerts
   UNION ALL SELECT id || '-unknown', 5, started_at + INTERVAL 5 MINUTE, 'bob', 'lost' FROM alerts
 ), winners AS (
-  SELECT c.* FROM commands c JOIN alerts a ON a.id = c.alert_id AND c.at >= a.started_at
-    AND (a.resolved_at IS NULL OR c.at < a.resolved_at)
-  QUALIFY row_number() OVER (PARTITION BY c.alert_id ORDER BY c.at, c.seq) = 1
+  SELECT c.* FROM commands c JOIN alerts a ON a.id = c.alert_id AND c."at" >= a.started_at
+    AND (a.resolved_at IS NULL OR c."at" < a.resolved_at)
+  QUALIFY row_number() OVER (PARTITION BY c.alert_id ORDER BY c."at", c.seq) = 1
 ), acked AS (
   SELECT a.* EXCLUDE (status), CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN w.seq IS NOT NULL THEN 'acknowledged'
-      ELSE 'firing' END AS status, w.at AS acknowledged_at,
+      ELSE 'firing' END AS status, w."at" AS acknowledged_at,
     CASE WHEN w.seq IS NOT NULL THEN coalesce(nullif(w.who, ''), 'operator') END AS acknowledged_by,
-    w.note AS acknowledged_comment, greatest(started_at, w.at, resolved_at) AS updated_at
+    w.note AS acknowledged_comment, greatest(started_at, w."at", resolved_at) AS updated_at
   FROM alerts a LEFT JOIN winners w ON w.alert_id = a.id
 )"""
 
@@ -192,12 +192,12 @@ COMMENTS_SQL = """
 requests AS (
   SELECT coalesce(f.alert_id, 'alert-none') AS alert_id, CASE WHEN role = 'system' THEN 'operator' ELSE role END AS author_id,
     CASE WHEN turn % 5 = 4 THEN '   ' ELSE text END AS comment,
-    TIMESTAMP '2024-02-01 00:00:00' + to_minutes(conv_id * 10 + turn) AS at, turn AS seq
+    TIMESTAMP '2024-02-01 00:00:00' + to_minutes(conv_id * 10 + turn) AS "at", turn AS seq
   FROM conversations c LEFT JOIN (SELECT agent_id, arg_min(id, (started_at, id)) AS alert_id FROM alerts GROUP BY agent_id) f
     ON f.agent_id = 'agent-' || c.conv_id
 ), comments AS (
-  SELECT 'cmt-' || substr(sha256(concat_ws('|', alert_id, epoch_us(at), seq)), 1, 24) AS id,
-    alert_id, author_id, comment, at AS created_at
+  SELECT 'cmt-' || substr(sha256(concat_ws('|', alert_id, epoch_us("at"), seq)), 1, 24) AS id,
+    alert_id, author_id, comment, "at" AS created_at
   FROM requests WHERE trim(comment) <> '' AND alert_id IN (SELECT id FROM alerts)
 )"""
 
@@ -245,7 +245,7 @@ SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_val
     ),
     "acknowledgements_refused": Entry(
         acknowledgements_refused,
-        f"""{ALERT_CTES}, {ACKS_SQL} SELECT alert_id, seq, at FROM commands c
+        f"""{ALERT_CTES}, {ACKS_SQL} SELECT alert_id, seq, "at" FROM commands c
 WHERE NOT EXISTS (SELECT 1 FROM winners w WHERE w.alert_id = c.alert_id AND w.seq = c.seq)""",
     ),
     "alerts_enriched": Entry(
