@@ -31,13 +31,11 @@ EVALUATION = [*PAIR, "clock", "id", "value", "breaching", "hold_seconds"]
 def metric_samples(telemetry: DataFrame, clock: str = "timestamp") -> DataFrame:
     """(agent_id, id, clock, metric, value): one row per metric a snapshot has a number for."""
     m = F.col("metrics")
-    wide = telemetry.select(
-        "agent_id",
-        "id",
-        F.col(clock).alias("clock"),
-        *[N.strict_number(m, path).alias(name) for name, path in model.RULE_METRICS.items()],
-    )
-    tall = wide.unpivot(["agent_id", "id", "clock"], list(model.RULE_METRICS), "metric", "value")
+    readings = [
+        F.struct(F.lit(name).alias("metric"), N.strict_number(m, path).alias("value"))
+        for name, path in model.RULE_METRICS.items()
+    ]
+    tall = telemetry.select("agent_id", "id", F.col(clock).alias("clock"), F.inline(F.array(*readings)))
     return tall.where(F.col("value").isNotNull())
 
 
@@ -55,26 +53,40 @@ def evaluate(samples: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def offline_samples(agents: DataFrame, telemetry: DataFrame, ticks: list[datetime], healthy=None, stale=None):
-    """Offline state (1 or 0) of every agent at each of a few evaluation times.
+def offline_samples(
+    agents: DataFrame, telemetry: DataFrame, start: datetime, step_seconds: int, count: int, healthy=None, stale=None
+) -> DataFrame:
+    """Offline state (1 or 0) of every agent at ``count`` regular evaluation times.
 
-    All ticks come out of one aggregation: a conditional maximum per tick.
+    Telemetry is folded to the newest sample per agent and interval, and the state at a
+    tick is the running maximum over an agent's at most ``count`` intervals.
     """
-    names = [str(i) for i in range(len(ticks))]
-    at = dict(zip(names, map(instant, ticks)))
-    seen = telemetry.groupBy(F.col("agent_id").alias("id")).agg(
-        *[F.max(F.when(F.col("timestamp") <= at[n], F.col("timestamp"))).alias(n) for n in names]
+    first = instant(start)
+    step = step_seconds * 1_000_000
+    since = F.unix_micros("timestamp") - F.unix_micros(first)
+    tick = F.greatest(F.ceil(since / F.lit(step)), F.lit(0)).cast("bigint")
+    seen = (
+        telemetry.select(F.col("agent_id"), tick.alias("id"), "timestamp")
+        .where(F.col("id") < count)
+        .groupBy("agent_id", "id")
+        .agg(F.max("timestamp").alias("seen"))
     )
-    status = {n: health_class(age_seconds(F.col(n), at[n]), healthy, stale) for n in names}
-    wide = agents.select("id").join(seen, "id", "left")
-    flags = wide.select("id", *[F.when(status[n] == "offline", 1.0).otherwise(0.0).alias(n) for n in names])
-    tick_time = F.element_at(F.array(*at.values()), F.col("tick").cast("int") + 1)
-    return flags.unpivot(["id"], names, "tick", "value").select(
-        F.col("id").alias("agent_id"),
-        F.col("tick").cast("bigint").alias("id"),
-        tick_time.alias("clock"),
-        F.lit(model.OFFLINE_METRIC).alias("metric"),
-        "value",
+    ticks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
+    grid = agents.select(F.col("id").alias("agent_id"), ticks.alias("id"))
+    so_far = Window.partitionBy("agent_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clock = F.timestamp_micros(F.unix_micros(first) + F.col("id") * F.lit(step))
+    status = health_class(age_seconds(F.col("last_seen"), F.col("clock")), healthy, stale)
+    return (
+        grid.join(seen, ["agent_id", "id"], "left")
+        .withColumn("last_seen", F.max("seen").over(so_far))
+        .withColumn("clock", clock)
+        .select(
+            "agent_id",
+            "id",
+            "clock",
+            F.lit(model.OFFLINE_METRIC).alias("metric"),
+            F.when(status == "offline", 1.0).otherwise(0.0).alias("value"),
+        )
     )
 
 
@@ -84,8 +96,8 @@ def evaluate_offline(samples: DataFrame, rules: DataFrame) -> DataFrame:
     return evaluate(samples, offline).withColumn("breaching", F.col("value") == 1.0)
 
 
-def _held(clock: Column, first: Column) -> Column:
-    return F.unix_micros(clock) - F.unix_micros(first) >= F.col("hold_seconds") * F.lit(1_000_000).cast("bigint")
+def _held(clock: Column, first: Column, hold: str = "hold_seconds") -> Column:
+    return F.unix_micros(clock) - F.unix_micros(first) >= F.col(hold) * F.lit(1_000_000).cast("bigint")
 
 
 def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
@@ -93,6 +105,9 @@ def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
 
     ``run_first``  first breaching time of the run the sample belongs to, within the chunk
     ``leading``    breaching, with no clear sample before it in the chunk
+
+    The frame is read twice, for the summary and for the candidates. The key filter stands
+    here so that both readings have the same plan below the shuffle and share it.
     """
     chunk = F.floor(F.unix_seconds("clock") / chunk_seconds).cast("bigint")
     here = Window.partitionBy(*CHUNK).orderBy("clock", "id")
@@ -101,6 +116,7 @@ def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
     run_start = F.when(breaching & ~F.coalesce("prev_breaching", F.lit(False)), F.col("clock"))
     return (
         evaluations.withColumn("chunk", chunk)
+        .where(F.col("rule_id").isNotNull() & F.col("agent_id").isNotNull() & F.col("chunk").isNotNull())
         .withColumn("prev_breaching", F.lag("breaching").over(here))
         .withColumn("prev_clock", F.lag("clock").over(here))
         .withColumn("run_first", F.last(run_start, ignorenulls=True).over(so_far))
@@ -178,9 +194,9 @@ def episodes_and_chunks(
     continues = leading & F.col("open_in").isNotNull()
     first = F.when(continues, F.col("open_in")).otherwise(F.col("run_first"))
     prev = F.when(run_goes_on, F.col("prev_clock")).when(continues, F.col("last_in"))
-    fires = breaching & _held(F.col("clock"), first) & ~F.coalesce(_held(prev, first), F.lit(False))
+    fires = breaching & _held(F.col("clock"), first, "hold") & ~F.coalesce(_held(prev, first, "hold"), F.lit(False))
 
-    neighbours = carried.select(*CHUNK, "open_in", "last_in", "next_clear")
+    neighbours = carried.select(*CHUNK, "open_in", "last_in", "next_clear", F.col("hold_seconds").alias("hold"))
     marks = (
         candidates.join(neighbours, CHUNK)
         .withColumn("fires", fires)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -11,9 +11,10 @@ from fleetpulse.operators import incidents as I
 from fleetpulse.plans.common import TELEMETRY_SQL, Entry
 from fleetpulse.plans.fleet import HEALTHY, STALE
 from fleetpulse.sources import benchmark_tables as B
+from fleetpulse.sources.tables import materialized
 
 HOLD_SECONDS = 21600
-TICKS = [datetime(2024, 1, 1, 12) + timedelta(hours=12 * i) for i in range(60)]
+TICK_START, TICK_STEP, TICK_COUNT = datetime(2024, 1, 1, 12), 12 * 3600, 60
 
 
 def evaluations(spark, sf_dir, dense=False):
@@ -24,6 +25,11 @@ def alerts(spark, sf_dir, dense=False):
     return A.alerts(A.alert_episodes(evaluations(spark, sf_dir, dense)), B.rules(spark, HOLD_SECONDS))
 
 
+def stored_alerts(spark, sf_dir):
+    """The alerts as the table that the workflow queries read, some of them more than once."""
+    return materialized(alerts(spark, sf_dir), "alerts")
+
+
 def rule_evaluation(spark, sf_dir):
     return evaluations(spark, sf_dir).withColumnRenamed("clock", "timestamp")
 
@@ -39,7 +45,7 @@ def alert_lifecycle_sustained(spark, sf_dir):
 
 
 def alert_offline(spark, sf_dir):
-    samples = A.offline_samples(B.agents(spark, sf_dir), B.telemetry(spark, sf_dir), TICKS, HEALTHY, STALE)
+    samples = A.offline_samples(B.agents(spark, sf_dir), B.telemetry(spark, sf_dir), TICK_START, TICK_STEP, TICK_COUNT, HEALTHY, STALE)
     return A.alert_episodes(A.evaluate_offline(samples, B.rules(spark)))
 
 
@@ -64,7 +70,7 @@ def ack_commands(alerts):
 
 
 def acknowledged(spark, sf_dir):
-    found = alerts(spark, sf_dir)
+    found = stored_alerts(spark, sf_dir)
     return I.acknowledge(found, ack_commands(found))
 
 
@@ -75,7 +81,7 @@ def alerts_acknowledged(spark, sf_dir):
 
 
 def acknowledgements_refused(spark, sf_dir):
-    found = alerts(spark, sf_dir)
+    found = stored_alerts(spark, sf_dir)
     return I.refused_acknowledgements(found, ack_commands(found)).select("alert_id", "seq", "at")
 
 
@@ -111,7 +117,7 @@ def comment_requests(spark, sf_dir, alerts):
 
 
 def comments(spark, sf_dir):
-    found = alerts(spark, sf_dir)
+    found = stored_alerts(spark, sf_dir)
     return I.add_comments(found, comment_requests(spark, sf_dir, found))
 
 
@@ -210,7 +216,7 @@ EPISODE_COLUMNS = (
 
 OFFLINE_SQL = f"""
 WITH {RULES_SQL}, ticks AS (
-  SELECT i AS id, TIMESTAMP '2024-01-01 12:00:00' + to_hours(12 * i) AS clock FROM range({len(TICKS)}) r(i)
+  SELECT i AS id, TIMESTAMP '2024-01-01 12:00:00' + to_hours(12 * i) AS clock FROM range({TICK_COUNT}) r(i)
 ), states AS (
   SELECT 'agent-' || c_custkey AS agent_id, t.id, t.clock,
     max(e.ts) FILTER (e.ts <= t.clock) AS seen
