@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # RFC 3339 date-time shape and the HMAC-SHA256 block constants.
-RFC3339 = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?)(?:Z|([+-])([01]\d|2[0-3]):([0-5]\d))$"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)$"
 HMAC_BLOCK_BYTES = 64
 HMAC_INNER = 0x36
 HMAC_OUTER = 0x5C
@@ -15,17 +15,17 @@ HMAC_OUTER = 0x5C
 def rfc3339(text: Column) -> Column:
     """TIMESTAMP of an RFC 3339 text; NULL for any other shape, such as a bare date.
 
-    The offset is applied here because a plain cast refuses offsets beyond 18 hours.
+    The shape is matched once, after that positions are known. The offset is applied here
+    because a plain cast refuses offsets beyond 18 hours.
     """
-    local = F.regexp_extract(text, RFC3339, 1)
-    sign = F.when(F.regexp_extract(text, RFC3339, 2) == "-", 1).otherwise(-1)
-    hours = F.coalesce(F.regexp_extract(text, RFC3339, 3).try_cast("int"), F.lit(0))
-    minutes = F.coalesce(F.regexp_extract(text, RFC3339, 4).try_cast("int"), F.lit(0))
+    size = F.length(text)
+    zulu = text.endswith("Z")
+    local = F.substr(text, F.lit(1), F.when(zulu, size - 1).otherwise(size - 6))
     utc = F.concat(local, F.lit("Z")).try_cast("timestamp")
-    return F.when(
-        text.rlike(RFC3339) & utc.isNotNull(),
-        F.timestamp_add("MINUTE", sign * (hours * 60 + minutes), utc),
-    )
+    minutes = F.substr(text, size - 4, F.lit(2)).cast("int") * 60 + F.substr(text, size - 1, F.lit(2)).cast("int")
+    behind = F.substr(text, size - 5, F.lit(1)) == "-"
+    shifted = F.timestamp_add("MINUTE", F.when(behind, minutes).otherwise(-minutes), utc)
+    return F.when(text.rlike(RFC3339), F.when(zulu, utc).otherwise(shifted))
 
 
 def blank(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +63,18 @@ def by_id(df: DataFrame, row_id: str, key: str = "id") -> DataFrame:
     return df.where(F.col(key) == row_id)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small fixed table. Through Arrow it becomes a local relation, whose size is known."""
+    return spark.createDataFrame(pa.table({name: list(values) for name, values in zip(columns, zip(*rows))}))
+
+
 def default_rules(spark: SparkSession, as_of) -> DataFrame:
-    columns = "id string, name string, metric string, operator string, threshold double, duration_seconds int"
+    columns = ["id", "name", "metric", "operator", "threshold", "duration_seconds"]
     return (
-        spark.createDataFrame(model.DEFAULT_RULES, columns)
+        literal_rows(spark, model.DEFAULT_RULES, columns)
         .withColumns(
             {
+                "duration_seconds": F.col("duration_seconds").cast("int"),
                 "for_duration_seconds": F.lit(0),
                 "cooldown_seconds": F.lit(0),
                 "severity": F.lit(model.DEFAULT_SEVERITY),

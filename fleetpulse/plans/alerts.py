@@ -210,8 +210,8 @@ requests AS (
 BASE_SQL = f"WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql()}"
 ALERT_CTES = f"{BASE_SQL}, {EPISODES_SQL}, {ALERTS_SQL}"
 EPISODE_COLUMNS = (
-    "rule_id, agent_id, first_breach, started_at, started_id, round(started_value, 6) AS started_value, "
-    "resolved_at, resolved_id, round(resolved_value, 6) AS resolved_value"
+    "rule_id, agent_id, first_breach, started_at, started_id, round(started_value, 9) AS started_value, "
+    "resolved_at, resolved_id, round(resolved_value, 9) AS resolved_value"
 )
 
 OFFLINE_SQL = f"""
@@ -231,13 +231,13 @@ SELECT {EPISODE_COLUMNS} FROM episodes"""
 
 QUERIES = {
     "rule_evaluation": Entry(
-        rule_evaluation, f"{BASE_SQL} SELECT * EXCLUDE (clock, value), clock AS timestamp, round(value, 6) AS value FROM evals"
+        rule_evaluation, f"{BASE_SQL} SELECT * EXCLUDE (clock, value), clock AS timestamp, round(value, 9) AS value FROM evals"
     ),
     "alert_lifecycle": Entry(
         alert_lifecycle,
         f"""WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql('dense_agent_id')}, {EPISODES_SQL}, {ALERTS_SQL}
-SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_value, 6) AS started_value,
-  round(last_value, 6) AS last_value, message, created_at FROM alerts""",
+SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_value, 9) AS started_value,
+  round(last_value, 9) AS last_value, message, created_at FROM alerts""",
     ),
     "alert_lifecycle_sustained": Entry(
         alert_lifecycle_sustained,
@@ -247,7 +247,7 @@ SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_val
     "alerts_acknowledged": Entry(
         alerts_acknowledged,
         f"""{ALERT_CTES}, {ACKS_SQL} SELECT id, status, acknowledged_at, acknowledged_by, acknowledged_comment,
-  updated_at, round(last_value, 6) AS last_value FROM acked""",
+  updated_at, round(last_value, 9) AS last_value FROM acked""",
     ),
     "acknowledgements_refused": Entry(
         acknowledgements_refused,
@@ -258,7 +258,7 @@ WHERE NOT EXISTS (SELECT 1 FROM winners w WHERE w.alert_id = c.alert_id AND w.se
         alerts_enriched,
         f"""{ALERT_CTES}, {ACKS_SQL} SELECT id, rule_id, agent_id, rule_name, severity, status, started_at, resolved_at,
   coalesce(acknowledged_by, '') AS acknowledged_by, coalesce(acknowledged_comment, '') AS acknowledged_comment,
-  round(last_value, 6) AS last_value, message, updated_at FROM acked""",
+  round(last_value, 9) AS last_value, message, updated_at FROM acked""",
     ),
     "alerts_active": Entry(
         alerts_active,

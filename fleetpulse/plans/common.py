@@ -22,7 +22,7 @@ class Entry:
     sql: str | None = None
 
 
-def comparable(df: DataFrame, places: int = 6) -> DataFrame:
+def comparable(df: DataFrame, places: int = 9) -> DataFrame:
     """Result in the types both engines share: plain timestamps, rounded doubles."""
 
     def shared(field: T.StructField):

@@ -87,16 +87,16 @@ SELECT {columns} FROM ranked WHERE rn <= {n}"""
 
 RANGE_SQL = f"ts BETWEEN TIMESTAMP '{RANGE_START}' AND TIMESTAMP '{RANGE_END}'"
 WEEK_SQL = f"ts BETWEEN {AS_OF_SQL} - INTERVAL 7 DAY AND {AS_OF_SQL}"
-POINT_SQL = """ts AS timestamp, round(cpu_zero, 6) AS cpu, memory, disk, received AS bytes_received,
+POINT_SQL = """ts AS timestamp, round(cpu_zero, 9) AS cpu, memory, disk, received AS bytes_received,
   sent AS bytes_sent, CAST(processes AS INTEGER) AS running_processes, '7d' AS range"""
 
 SUMMARY_SQL = f"""
 WITH {TELEMETRY_SQL}
 SELECT agent_id,
-  round(avg(cpu_present), 6) AS cpu_average, round(min(cpu_present), 6) AS cpu_minimum,
-  round(max(cpu_present), 6) AS cpu_maximum,
-  round(avg(memory), 6) AS memory_average, min(memory) AS memory_minimum, max(memory) AS memory_maximum,
-  round(avg(processes), 6) AS processes_average, CAST(min(processes) AS DOUBLE) AS processes_minimum,
+  round(avg(cpu_present), 9) AS cpu_average, round(min(cpu_present), 9) AS cpu_minimum,
+  round(max(cpu_present), 9) AS cpu_maximum,
+  round(avg(memory), 9) AS memory_average, min(memory) AS memory_minimum, max(memory) AS memory_maximum,
+  round(avg(processes), 9) AS processes_average, CAST(min(processes) AS DOUBLE) AS processes_minimum,
   CAST(max(processes) AS DOUBLE) AS processes_maximum,
   arg_min(disk, (ts, id)) AS disk_current,
   CAST(sum(received) AS BIGINT) AS total_bytes_received, CAST(sum(sent) AS BIGINT) AS total_bytes_sent

@@ -55,7 +55,7 @@ def payloads(spark, sf_dir):
         .when(kind == 16, F.concat(whole, F.lit(" trailing words")))
         .otherwise(whole)
     )
-    return B.table(spark, sf_dir, "events").select(
+    return B.spread(B.table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"), own.alias("target_id"), text.alias("payload"), B.as_utc(F.col("ts")).alias("created_at")
     )
 
@@ -247,7 +247,7 @@ requests AS (
   FROM part
 ), valid AS (SELECT * FROM requests WHERE trim(name) <> '' AND trim(operator) <> '')"""
 
-RULE_OUT_SQL = "name, metric, operator, round(threshold, 6) AS threshold, for_duration_seconds, severity, enabled"
+RULE_OUT_SQL = "name, metric, operator, round(threshold, 9) AS threshold, for_duration_seconds, severity, enabled"
 
 # The made-up id hashes the request; numbers are spelt the way Spark casts them to text.
 RULES_SQL = f"""
@@ -260,13 +260,13 @@ FROM valid"""
 RULES_UPDATED_SQL = f"""
 WITH {RULE_REQUESTS_SQL}
 SELECT 'rule-' || p_partkey AS id, CASE WHEN p_brand = 'Brand#2' THEN ' ' ELSE name END AS name, metric, operator,
-  round(threshold, 6) AS threshold, for_duration_seconds, severity, enabled, TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+  round(threshold, 9) AS threshold, for_duration_seconds, severity, enabled, TIMESTAMP '2024-01-01 00:00:00' AS created_at,
   CASE WHEN p_brand = 'Brand#2' THEN TIMESTAMP '2024-01-31 00:30:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at
 FROM valid"""
 
 RULES_SEEDED_SQL = f"""
 WITH {RULE_REQUESTS_SQL}
-SELECT 'rule-' || p_partkey AS id, name, metric, round(threshold, 6) AS threshold, severity FROM valid
+SELECT 'rule-' || p_partkey AS id, name, metric, round(threshold, 9) AS threshold, severity FROM valid
 UNION ALL SELECT * FROM (VALUES ('rule-cpu-high', 'High CPU Usage', 'cpu_usage', 80.0, 'warning'),
   ('rule-mem-high', 'High Memory Usage', 'memory_usage', 85.0, 'warning'),
   ('rule-disk-high', 'High Disk Usage', 'disk_usage', 90.0, 'warning'),

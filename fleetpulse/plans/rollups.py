@@ -10,13 +10,13 @@ from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.sources import benchmark_tables as B
 
 ROLLUP_COLUMNS_SQL = """
-    round(coalesce(avg(cpu_sql), 0), 6) AS cpu_avg,
-    round(coalesce(min(cpu_sql), 0), 6) AS cpu_min,
-    round(coalesce(max(cpu_sql), 0), 6) AS cpu_max,
-    round(coalesce(avg(memory), 0), 6) AS memory_avg,
-    round(coalesce(min(memory), 0), 6) AS memory_min,
-    round(coalesce(max(memory), 0), 6) AS memory_max,
-    round(coalesce(avg(root_disk), 0), 6) AS disk_avg,
+    round(coalesce(avg(cpu_sql), 0), 9) AS cpu_avg,
+    round(coalesce(min(cpu_sql), 0), 9) AS cpu_min,
+    round(coalesce(max(cpu_sql), 0), 9) AS cpu_max,
+    round(coalesce(avg(memory), 0), 9) AS memory_avg,
+    round(coalesce(min(memory), 0), 9) AS memory_min,
+    round(coalesce(max(memory), 0), 9) AS memory_max,
+    round(coalesce(avg(root_disk), 0), 9) AS disk_avg,
     CAST(sum(received) AS BIGINT) AS network_received,
     CAST(sum(sent) AS BIGINT) AS network_sent,
     count(*) AS sample_count"""

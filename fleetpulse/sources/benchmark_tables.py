@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from fleetpulse import model
 from fleetpulse.functions.clock import instant
+from fleetpulse.operators.registry import literal_rows
 
 AS_OF = "2024-01-31T00:30:00"
 DENSE_AGENTS = 5
@@ -28,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table out when it came in fewer splits than there are cores.
+
+    A table of many files or row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_utc(c: Column) -> Column:
     return c.cast("timestamp")
 
@@ -75,7 +85,7 @@ def events_as_telemetry(events: DataFrame, dense: bool = False) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return events_as_telemetry(table(spark, sf_dir, "events"), dense)
+    return events_as_telemetry(spread(table(spark, sf_dir, "events")), dense)
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +105,12 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RULE_COLUMNS = [
+    "id", "name", "metric", "operator", "threshold",
+    "duration_seconds", "for_duration_seconds", "severity", "enabled",
+]
+
+
 def rules(spark: SparkSession, sustained_seconds: int = 21600) -> DataFrame:
     """The default rules plus one with a hold time and one that is switched off."""
     at = F.lit("2023-12-01T00:00:00Z").cast("timestamp")
@@ -103,9 +119,10 @@ def rules(spark: SparkSession, sustained_seconds: int = 21600) -> DataFrame:
         ("rule-disk-muted", "Muted Disk", "disk_usage", ">=", 1.0, 0, 0, "info", False),
     ]
     rows = [(*r, 0, model.DEFAULT_SEVERITY, True) for r in model.DEFAULT_RULES] + extra
-    columns = "id string, name string, metric string, operator string, threshold double, duration_seconds int, for_duration_seconds int, severity string, enabled boolean"
     return (
-        spark.createDataFrame(rows, columns)
+        literal_rows(spark, rows, RULE_COLUMNS)
+        .withColumn("duration_seconds", F.col("duration_seconds").cast("int"))
+        .withColumn("for_duration_seconds", F.col("for_duration_seconds").cast("int"))
         .withColumn("cooldown_seconds", F.lit(0))
         .withColumn("created_at", at)
         .withColumn("updated_at", at)
@@ -121,9 +138,8 @@ def channels(spark: SparkSession) -> DataFrame:
         ("chan-chat", "Chat room", "slack_webhook", "https://chat.example.com/c", "", True),
         ("chan-muted", "Muted hook", "webhook", "https://hooks.example.com/d", "", False),
     ]
-    columns = "id string, name string, type string, url string, secret string, enabled boolean"
     return (
-        spark.createDataFrame(rows, columns)
+        literal_rows(spark, rows, ["id", "name", "type", "url", "secret", "enabled"])
         .withColumn("created_at", at)
         .withColumn("updated_at", at)
         .select(*model.CHANNEL.names)

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.functions import numbers as N
 from fleetpulse.functions.text import blank, rfc3339
 
 # The payload fields, and the timestamp that stands for "not set".
@@ -25,49 +24,53 @@ def stream_payloads(spark: SparkSession, path: str, max_files: int | None = None
     return reader.load(path).withColumnRenamed("value", "payload")
 
 
-def _unknown_fields(body: Column) -> Column:
-    keys = F.map_keys(F.try_variant_get(body, "$", "map<string,variant>"))
-    return F.size(F.array_except(keys, F.array(*[F.lit(f) for f in FIELDS]))) > 0
+MEMBERS = "map<string,variant>"
 
 
 def decode(payloads: DataFrame, target: str | None = None) -> DataFrame:
     """Payload fields plus ``reject_reason``, the first check a payload fails or NULL.
 
     A payload is decoded as a whole before its fields are looked at. ``target`` names
-    the column with the agent the payload was sent for, when there is one.
+    the column with the agent the payload was sent for, when there is one. Objects are
+    recognised by their members; naming a whole document's type would walk all of it.
     """
-    body = F.try_parse_json(F.col("payload"))
-    kind = F.schema_of_variant(F.col("_body"))
-    agent_type = N.json_type(F.col("_body"), "$.agent_id")
-    time_type = N.json_type(F.col("_body"), "$.timestamp")
-    metrics_type = N.json_type(F.col("_body"), "$.metrics")
-
-    def other_than(type_name: Column, expected: str) -> Column:
-        return type_name.isNotNull() & (type_name != "VOID") & ~type_name.startswith(expected)
+    members = (
+        payloads.withColumn("_body", F.try_parse_json("payload"))
+        .withColumn("_members", F.try_variant_get("_body", "$", MEMBERS))
+        .withColumns({f"_{name}": F.col("_members")[name] for name in FIELDS})
+    )
+    is_text = lambda c: F.schema_of_variant(c) == "STRING"
+    present = lambda c: c.isNotNull() & ~F.is_variant_null(c)
+    agent, time, metrics = (F.col(f"_{name}") for name in FIELDS)
+    typed = members.select(
+        *payloads.columns,
+        "_body",
+        F.col("_members").isNotNull().alias("_is_object"),
+        (F.size(F.array_except(F.map_keys("_members"), F.array(*map(F.lit, FIELDS)))) > 0).alias("_extra"),
+        present(agent).alias("_has_agent"),
+        F.when(is_text(agent), F.try_variant_get(agent, "$", "string")).alias("agent_id"),
+        present(time).alias("_has_time"),
+        F.when(is_text(time), F.try_variant_get(time, "$", "string")).alias("_time_text"),
+        present(metrics).alias("_has_metrics"),
+        F.try_variant_get(metrics, "$", MEMBERS).isNotNull().alias("_metrics_object"),
+        metrics.alias("metrics"),
+    ).withColumn("timestamp", rfc3339(F.col("_time_text")))
 
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
     unset = F.col("timestamp").isNull() | (F.col("timestamp") == F.lit(ZERO_TIME).cast("timestamp"))
-    no_object = F.coalesce(~metrics_type.startswith("OBJECT"), F.lit(True))
     reason = (
         F.when(F.col("_body").isNull(), "malformed_json")
-        .when(~kind.startswith("OBJECT") & (kind != "VOID"), "not_an_object")
-        .when(F.coalesce(_unknown_fields(F.col("_body")), F.lit(False)), "unknown_field")
-        .when(other_than(agent_type, "STRING"), "bad_agent_id")
-        .when(other_than(time_type, "STRING"), "bad_timestamp")
-        .when(F.col("_time_text").isNotNull() & F.col("timestamp").isNull(), "bad_timestamp")
-        .when(other_than(metrics_type, "OBJECT"), "bad_metrics")
+        .when(~F.col("_is_object") & ~F.is_variant_null("_body"), "not_an_object")
+        .when(yes("_extra"), "unknown_field")
+        .when(yes("_has_agent") & F.col("agent_id").isNull(), "bad_agent_id")
+        .when(yes("_has_time") & F.col("timestamp").isNull(), "bad_timestamp")
+        .when(yes("_has_metrics") & ~F.col("_metrics_object"), "bad_metrics")
         .when(blank(F.col("agent_id")), "missing_agent_id")
         .when(unset, "missing_timestamp")
-        .when(no_object, "missing_metrics")
+        .when(~yes("_has_metrics"), "missing_metrics")
     )
     if target:
         reason = reason.when(F.col("agent_id") != F.col(target), "agent_mismatch")
-    text_of = lambda path, t: F.when(t == "STRING", F.try_variant_get(F.col("_body"), path, "string"))
-    return (
-        payloads.withColumn("_body", body)
-        .withColumn("agent_id", text_of("$.agent_id", agent_type))
-        .withColumn("_time_text", text_of("$.timestamp", time_type))
-        .withColumn("timestamp", rfc3339(F.col("_time_text")))
-        .withColumn("reject_reason", reason)
-        .withColumn("metrics", F.try_variant_get(F.col("_body"), "$.metrics", "variant"))
-        .drop("_body", "_time_text")
+    return typed.withColumn("reject_reason", reason).select(
+        *payloads.columns, "agent_id", "timestamp", "reject_reason", "metrics"
     )

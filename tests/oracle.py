@@ -21,7 +21,7 @@ def plain(v):
     if isinstance(v, Decimal):
         return int(v) if v == v.to_integral_value() else float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        return None if math.isnan(v) else round(v, 9)
     if isinstance(v, (datetime, date)):
         return str(v)
     if isinstance(v, (list, tuple)):
