@@ -156,16 +156,17 @@ def _carried(summary: DataFrame) -> DataFrame:
     """
     forward = Window.partitionBy(*PAIR).orderBy("chunk")
     so_far = forward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    since_clear = Window.partitionBy(*PAIR, "_clears").orderBy("chunk")
-    since_clear = since_clear.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy(*PAIR).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    # A chunk decides anew what is open at its end unless it only prolongs an open run.
+    prolongs = F.col("first_clear").isNull() & F.col("_open_before").isNotNull()
+    decided = F.when(~prolongs, F.struct("open_first"))
     return (
-        summary.withColumn("_clears", F.count("first_clear").over(so_far))
-        .withColumn("open_out", F.min("open_first").over(since_clear))
+        summary.withColumn("_open_before", F.lag("open_first").over(forward))
+        .withColumn("open_out", F.last(decided, ignorenulls=True).over(so_far)["open_first"])
         .withColumn("open_in", F.lag("open_out").over(forward))
         .withColumn("last_in", F.lag("last_clock").over(forward))
         .withColumn("next_clear", F.last("first_clear", ignorenulls=True).over(later))
-        .drop("_clears")
+        .drop("_open_before")
     )
 
 
