@@ -15,6 +15,11 @@ from fleetpulse.functions.text import rfc3339_text, sse_frame
 BODIES = ["metrics", "alert", "data"]
 
 
+def variant_of(body: Column) -> Column:
+    """VARIANT of a struct by way of its JSON, which has no members for NULL fields."""
+    return F.parse_json(F.to_json(body))
+
+
 def change(rows: DataFrame, event_type: str | Column, at: str, agent: str | None = None, **bodies: Column):
     """Envelope rows; a body is a VARIANT, the others are NULL."""
     kind = F.lit(event_type) if isinstance(event_type, str) else event_type
@@ -33,14 +38,14 @@ def telemetry_changes(telemetry: DataFrame) -> DataFrame:
 
 
 def registration_changes(agents: DataFrame) -> DataFrame:
-    body = F.to_variant_object(agent_document(agents.columns))
+    body = variant_of(agent_document(agents.columns))
     return change(agents, model.AGENT_REGISTERED, "last_seen", "id", data=body)
 
 
 def alert_changes(events: DataFrame) -> DataFrame:
     """Firings and resolutions, from rows of ``alert_events``."""
     rows = events.withColumnRenamed("alert_id", "id")
-    body = F.to_variant_object(alert_document(rows.columns))
+    body = variant_of(alert_document(rows.columns))
     return change(rows, F.col("event_type"), "at", "agent_id", alert=body)
 
 
@@ -53,12 +58,12 @@ def acknowledgement_changes(alerts: DataFrame) -> DataFrame:
         .withColumn("updated_at", F.col("acknowledged_at"))
         .withColumn("resolved_at", F.lit(None).cast("timestamp"))
     )
-    body = F.to_variant_object(alert_document(rows.columns))
+    body = variant_of(alert_document(rows.columns))
     return change(rows, model.ALERT_ACKNOWLEDGED, "acknowledged_at", "agent_id", alert=body)
 
 
 def comment_changes(comments: DataFrame) -> DataFrame:
-    body = F.to_variant_object(
+    body = variant_of(
         F.struct("id", "alert_id", "author_id", "comment", rfc3339_text(F.col("created_at")).alias("created_at"))
     )
     return change(comments, model.ALERT_COMMENT_ADDED, "created_at", data=body)

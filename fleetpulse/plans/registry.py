@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fleetpulse.plans import alerts, fleet, intake, rollups, streams
+from fleetpulse.plans import alerts, changes, delivery, fleet, intake, rollups, streams
 from fleetpulse.plans.common import Entry
 
-AREAS = [rollups, fleet, intake, alerts, streams]
+AREAS = [rollups, fleet, intake, alerts, delivery, changes, streams]
 
 
 def entries() -> dict[str, Entry]:
