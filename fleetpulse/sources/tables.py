@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.clock import instant
 from fleetpulse.session import scratch_dir
 
+DATE = "event_date="
 VERSION = "version="
 DONE = "_SUCCESS"
 
@@ -88,3 +93,26 @@ def read_database(
         .options(**options)
         .load()
     )
+
+
+def purge_telemetry(spark: SparkSession, path: str, cutoff: datetime) -> None:
+    """Remove stored rows before ``cutoff`` (UTC).
+
+    Older dates go as whole folders. The date the cutoff falls into is rewritten beside
+    its folder, which readers skip, and then takes its place.
+    """
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at(path))]
+    dates = [n[len(DATE) :] for n in names if n.startswith(DATE)]
+    day = cutoff.date().isoformat()
+    for old in [d for d in dates if d < day]:
+        fs.delete(at(f"{path}/{DATE}{old}"), True)
+    if day in dates and cutoff.time() != time.min:
+        folder = f"{path}/{DATE}{day}"
+        kept = spark.read.parquet(folder).where(F.col("timestamp") >= instant(cutoff))
+        beside = f"{path}/_kept-{uuid.uuid4().hex}"
+        kept.write.parquet(beside)
+        fs.delete(at(folder), True)
+        fs.rename(at(beside), at(folder))
