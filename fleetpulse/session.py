@@ -36,10 +36,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     Only a local master may fall back to a temporary folder; elsewhere another
     executor would not see it.
     """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"{CHECKPOINT_DIR} must name a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="fleetpulse-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fleetpulse-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
