@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMERIC = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 BYTES = "decimal(20,0)"
 
 
@@ -23,8 +22,8 @@ def json_type(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
 
 
-def is_object(v: Column, path: str) -> Column:
-    return F.coalesce(json_type(v, path).startswith("OBJECT"), F.lit(False))
+def is_number(v: Column, path: str) -> Column:
+    return F.substring_index(json_type(v, path), "(", 1).isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
 
 
 def sql_number(v: Column, path: str, strict_cast: bool = False) -> Column:
@@ -38,7 +37,7 @@ def sql_number(v: Column, path: str, strict_cast: bool = False) -> Column:
 
 
 def strict_number(v: Column, path: str) -> Column:
-    return F.when(json_type(v, path).rlike(NUMERIC), F.try_variant_get(v, path, "double"))
+    return F.when(is_number(v, path), F.try_variant_get(v, path, "double"))
 
 
 def number_or_zero(v: Column, path: str) -> Column:
@@ -63,8 +62,7 @@ def sql_whole(v: Column, path: str) -> Column:
 
 def truncated_bytes(v: Column, path: str) -> Column:
     """Unsigned reading of a JSON number: fraction dropped, negatives are 0, no number is 0."""
-    numeric = json_type(v, path).rlike(NUMERIC)
-    exact = F.when(numeric, F.try_variant_get(v, path, "decimal(38,6)"))
+    exact = F.when(is_number(v, path), F.try_variant_get(v, path, "decimal(38,6)"))
     return F.coalesce(F.greatest(F.floor(exact), F.lit(0)).try_cast(BYTES), F.lit(0).cast(BYTES))
 
 

@@ -21,7 +21,7 @@ from fleetpulse.functions import numbers as N
 from fleetpulse.functions.clock import instant
 from fleetpulse.functions.conditions import compare, health_class, age_seconds
 from fleetpulse.functions.text import alert_message, stable_id
-from fleetpulse.operators.joins import lookup
+from fleetpulse.operators.joins import fan_out, lookup
 
 PAIR = ["rule_id", "agent_id"]
 CHUNK = [*PAIR, "chunk"]
@@ -91,9 +91,19 @@ def offline_samples(
 
 
 def evaluate_offline(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Offline samples breach by being 1, whatever operator and threshold the rule names."""
-    offline = rules.where(F.col("metric") == model.OFFLINE_METRIC)
-    return evaluate(samples, offline).withColumn("breaching", F.col("value") == 1.0)
+    """Offline samples breach by being 1, whatever operator and threshold the rule names.
+
+    All samples share one metric, so every rule of it meets every sample.
+    """
+    active = rules.where(F.col("enabled") & (F.col("metric") == model.OFFLINE_METRIC)).select(
+        F.col("id").alias("rule_id"), F.col("for_duration_seconds").alias("hold_seconds")
+    )
+    return (
+        fan_out(samples, active, "rule")
+        .withColumn("breaching", F.col("value") == 1.0)
+        .select("*", "rule.*")
+        .select(*EVALUATION)
+    )
 
 
 def _held(clock: Column, first: Column, hold: str = "hold_seconds") -> Column:

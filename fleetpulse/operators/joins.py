@@ -19,8 +19,15 @@ def measured_bytes(df: DataFrame) -> int:
     return size.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
+def known_bytes(df: DataFrame) -> int | None:
+    """Size of a frame that is nothing but rows given in the program; None for any other."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(plan.stats().sizeInBytes()) if plan.nodeName() == "LocalRelation" else None
+
+
 def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= limit
+    known = known_bytes(df)
+    return (measured_bytes(df) if known is None else known) <= limit
 
 
 def salted_join(
