@@ -4,8 +4,8 @@ An episode starts at the first breaching sample that lies at least the hold time
 the first breaching sample of its run, and ends at the next sample that does not breach.
 
 One (rule, agent) may hold a large part of all samples, so no step sorts a whole history
-in one task. Samples are ordered within hour chunks only. What one chunk has to know of
-the others (the run open at its start, the first clear sample after it) is carried along
+in one task. Samples are ordered within short time chunks only. What one chunk has to know
+of the others (the run open at its start, the first clear sample after it) is carried along
 one summary row per chunk.
 """
 
@@ -23,6 +23,9 @@ from fleetpulse.functions.conditions import compare, health_class, age_seconds
 from fleetpulse.functions.text import alert_message, stable_id
 from fleetpulse.operators.joins import fan_out, lookup
 
+# At one sample in ten seconds a chunk holds 60 of them, and a month of one pair 4,320 chunks.
+CHUNK_SECONDS = 600
+
 PAIR = ["rule_id", "agent_id"]
 CHUNK = [*PAIR, "chunk"]
 EVALUATION = [*PAIR, "clock", "id", "value", "breaching", "hold_seconds"]
@@ -181,7 +184,7 @@ def _carried(summary: DataFrame) -> DataFrame:
 
 
 def episodes_and_chunks(
-    evaluations: DataFrame, chunk_seconds: int = 3600, before: DataFrame | None = None
+    evaluations: DataFrame, chunk_seconds: int = CHUNK_SECONDS, before: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Episodes that start in the samples, and the carried chunk summary.
 
@@ -235,7 +238,7 @@ def episodes_and_chunks(
     return episodes, carried
 
 
-def alert_episodes(evaluations: DataFrame, chunk_seconds: int = 3600) -> DataFrame:
+def alert_episodes(evaluations: DataFrame, chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     return episodes_and_chunks(evaluations, chunk_seconds)[0]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.session import use_utc
+from fleetpulse.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,7 +38,7 @@ def comparable(df: DataFrame, places: int = 9) -> DataFrame:
 
 def registered(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        use_utc(spark)
+        prepare(spark)
         return comparable(query(spark, sf_dir))
 
     return run

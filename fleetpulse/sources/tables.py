@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.clock import instant
-from fleetpulse.session import scratch_dir
+from fleetpulse.session import prepare, scratch_dir
 
 DATE = "event_date="
 VERSION = "version="
@@ -24,8 +24,10 @@ def append_telemetry(telemetry: DataFrame, path: str) -> None:
     """Append rows under ``event_date=...``, clustered by agent and time within a date.
 
     The range partitioning includes the time, so a hot agent is cut over several files;
-    the order inside files lets a scan skip row groups of other agents.
+    the order inside files lets a scan skip row groups of other agents. ``metrics`` is
+    stored shredded, so a later scan reads the JSON paths it names and no others.
     """
+    prepare(telemetry.sparkSession)
     (
         with_event_date(telemetry)
         .repartitionByRange("event_date", "agent_id", "timestamp")
@@ -72,12 +74,14 @@ def publish(df: DataFrame, root: str, version: int | None = None, partition_by:
     if version is None:
         numbers = _versions(df.sparkSession, root)
         version = numbers[-1] + 1 if numbers else 1
+    prepare(df.sparkSession)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{root}/{VERSION}{version}")
     return version
 
 
 def materialized(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared scratch folder, for results that are read several times."""
+    prepare(df.sparkSession)
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

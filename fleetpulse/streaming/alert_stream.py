@@ -86,7 +86,7 @@ def start_alerts(
     root: str,
     checkpoint: str,
     clock: str = "timestamp",
-    chunk_seconds: int = 3600,
+    chunk_seconds: int = A.CHUNK_SECONDS,
     **trigger,
 ) -> StreamingQuery:
     """Writes ``root/samples``, ``root/touched`` (both by batch) and ``root/state`` (by version).

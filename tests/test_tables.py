@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,12 +36,17 @@ def test_append_prunes_by_date(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
 
 
-def test_variant_scan_reads_only_the_paths_used(spark, tmp_path):
+def test_scan_reads_named_paths_and_skips_by_time(spark, tmp_path):
     path = str(tmp_path / "t")
     S.append_telemetry(snapshots(spark, 1), path)
-    cpu = spark.read.parquet(path).select(F.try_variant_get("metrics", "$.system.cpu.usage_percent", "double"))
+    recent = spark.read.parquet(path).where(F.col("timestamp") > F.lit(NOON))
+    cpu = recent.select(F.try_variant_get("metrics", "$.system.cpu.usage_percent", "double"))
     plan = cpu._jdf.queryExecution().executedPlan().toString()
-    assert "metrics:struct<0:double>" in plan or "metrics:variant" in plan
+    assert "metrics:struct<0:double>" in plan
+    assert "GreaterThan(timestamp,2024-01-10 12:30" in plan
+    columns = pq.ParquetFile(next((tmp_path / "t").rglob("*.parquet"))).metadata.row_group(0)
+    times = [columns.column(i) for i in range(columns.num_columns) if columns.column(i).path_in_schema == "timestamp"]
+    assert times[0].is_stats_set and times[0].statistics.has_min_max
 
 
 @pytest.mark.parametrize("align", ["exact", "hour"])
