@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse import model
 from fleetpulse.functions.clock import instant, row_order
 from fleetpulse.functions.conditions import age_seconds, health_class
+from fleetpulse.operators.joins import salted_join
 
 
 def in_range(df: DataFrame, start=None, end=None, column: str = "timestamp") -> DataFrame:
@@ -53,14 +54,15 @@ def history(telemetry: DataFrame, limit: int = model.HISTORY_DEFAULT, start=None
     """Newest ``limit`` snapshots per agent within a range, newest first.
 
     Ranks narrow columns to find each agent's oldest row wanted, then reads the JSON
-    of the rows from there on. Nothing after the join needs its partitioning, so AQE is
-    free to broadcast the cutoffs or to split a hot agent.
+    of the rows from there on. There is one cutoff per agent; the rows of a hot agent are
+    spread over salts.
     """
     wanted = in_range(telemetry, start, end)
     order = row_order(F.col("timestamp"), F.col("id"))
     kept = newest_rows(wanted.select("agent_id", "timestamp", "id"), limit)
     cutoff = kept.groupBy("agent_id").agg(F.min(order).alias("_cutoff"))
-    rows = wanted.join(cutoff, "agent_id").where(order >= F.col("_cutoff")).drop("_cutoff")
+    joined = salted_join(wanted, cutoff, ["agent_id"], spread_by=["timestamp", "id"])
+    rows = joined.where(order >= F.col("_cutoff")).drop("_cutoff")
     return rows.orderBy("agent_id", F.desc("timestamp"), F.desc("id"))
 
 

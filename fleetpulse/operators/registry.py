@@ -112,8 +112,8 @@ def new_rules(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
 
 
 def update_rules(rules: DataFrame, requests: DataFrame, as_of) -> DataFrame:
-    """Rules with the fields of matching requests taken over, without checks; one request per id."""
-    changes = _with_severity(requests).select("id", F.struct(*RULE_FIELDS).alias("new"))
+    """Rules with the fields of matching requests taken over, without checks; the last ``seq`` per id."""
+    changes = _with_severity(requests).groupBy("id").agg(F.max_by(F.struct(*RULE_FIELDS), "seq").alias("new"))
     changed = F.col("new").isNotNull()
 
     def field(c: str) -> Column:

@@ -85,11 +85,15 @@ def tagged(parts: dict[str, DataFrame], names: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def delivery_keys(spark, alerts):
+    planned = N.plan_deliveries(N.alert_events(alerts), B.channels(spark))
+    return planned.select("id", "alert_id", "channel_id")
+
+
 def workflow_tables(spark, sf_dir):
     alerts = A.stored_alerts(spark, sf_dir)
-    comments = materialized(I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts)), "comments")
-    deliveries = N.plan_deliveries(N.alert_events(alerts), B.channels(spark)).select("id", "alert_id", "channel_id")
-    return alerts, comments, materialized(deliveries, "deliveries")
+    comments = I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts)).select("id", "alert_id")
+    return alerts, comments, delivery_keys(spark, alerts)
 
 
 def cascade_delete(spark, sf_dir):
@@ -101,7 +105,7 @@ def cascade_delete(spark, sf_dir):
 
 
 def cascade_delete_channel(spark, sf_dir):
-    _, _, deliveries = workflow_tables(spark, sf_dir)
+    deliveries = delivery_keys(spark, A.alerts(spark, sf_dir))
     gone = B.channels(spark).where(F.col("type") == "slack_webhook").select("id")
     return tagged(M.delete_channels(B.channels(spark), deliveries, gone), ["channels", "deliveries"])
 

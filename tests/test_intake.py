@@ -125,7 +125,8 @@ def test_rules_are_created_updated_and_seeded(spark):
     assert made.startswith("rule-cpu_usage-") and found[made].severity == "warning" and found["x"].severity == "info"
     assert [r.id for r in refused.collect()] == ["y"]
 
-    updates = rule_rows(spark, [("x", "", "", "", 9.0, ""), ("nobody", "n", "m", ">", 1.0, "")])
+    updates = rule_rows(spark, [("x", "", "", "", 9.0, ""), ("x", "old", "", "", 8.0, ""), ("nobody", "n", "m", ">", 1.0, "")])
+    updates = updates.withColumn("seq", F.col("threshold"))
     updated = {r.id: r for r in R.update_rules(created, updates, "2024-01-02T00:00:00").collect()}
     assert set(updated) == set(found)
     assert (updated["x"].name, updated["x"].threshold, updated["x"].severity) == ("", 9.0, "warning")
