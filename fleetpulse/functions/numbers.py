@@ -53,34 +53,47 @@ def elements(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def sql_whole(v: Column, path: str) -> Column:
-    """BIGINT reading: whole numbers, also as text; fractions and junk are NULL."""
-    exact = F.try_variant_get(v, path, "decimal(38,6)")
-    whole = F.when((json_type(v, path) != "BOOLEAN") & (exact == F.floor(exact)), exact)
-    return whole.try_cast("bigint")
+def whole(v: Column) -> Column:
+    """BIGINT reading of a scalar: whole numbers, also as text; fractions and junk are NULL."""
+    kind = F.schema_of_variant(v)
+    exact = F.try_variant_get(v, "$", "decimal(38,6)")
+    return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).when(
+        kind != "BOOLEAN", F.when(exact == F.floor(exact), exact).try_cast("bigint")
+    )
 
 
-def truncated_bytes(v: Column, path: str) -> Column:
-    """Unsigned reading of a JSON number: fraction dropped, negatives are 0, no number is 0."""
-    exact = F.when(is_number(v, path), F.try_variant_get(v, path, "decimal(38,6)"))
-    return F.coalesce(F.greatest(F.floor(exact), F.lit(0)).try_cast(BYTES), F.lit(0).cast(BYTES))
+def truncated(v: Column) -> Column:
+    """Unsigned reading of a scalar JSON number: fraction dropped, negatives 0, no number NULL."""
+    kind = F.schema_of_variant(v)
+    not_below_zero = lambda c: F.greatest(c, F.lit(0))
+    return (
+        F.when(kind == "BIGINT", not_below_zero(F.try_variant_get(v, "$", "bigint")).cast(BYTES))
+        .when(
+            F.substring_index(kind, "(", 1).isin("DOUBLE", "FLOAT", "DECIMAL"),
+            not_below_zero(F.floor(F.try_variant_get(v, "$", "decimal(38,6)"))).try_cast(BYTES),
+        )
+    )
 
 
-def _array_sum(items: Column, value, result_type: str) -> Column:
+def _array_sum(v: Column, array_path: str, field: str, reading, result_type: str) -> Column:
+    """Sum of one reading of a field over a JSON array; elements without it add nothing."""
+    values = F.transform(elements(v, array_path), lambda x: F.try_variant_get(x, f"$.{field}", "variant"))
     zero = F.lit(0).cast(result_type)
     return F.aggregate(
-        items, zero, lambda acc, x: (acc + F.coalesce(value(x), F.lit(0)).cast(result_type)).cast(result_type)
+        values,
+        zero,
+        lambda acc, x: F.coalesce((acc + reading(x).cast(result_type)).cast(result_type), acc),
     )
 
 
 def sum_whole(v: Column, array_path: str, field: str) -> Column:
     """Sum of a BIGINT field over a JSON array, wide enough not to overflow per row."""
-    return _array_sum(elements(v, array_path), lambda x: sql_whole(x, f"$.{field}"), "decimal(38,0)")
+    return _array_sum(v, array_path, field, whole, "decimal(38,0)")
 
 
 def sum_bytes(v: Column, array_path: str, field: str) -> Column:
     """Sum of an unsigned field over a JSON array, truncated per element."""
-    return _array_sum(elements(v, array_path), lambda x: truncated_bytes(x, f"$.{field}"), BYTES)
+    return _array_sum(v, array_path, field, truncated, BYTES)
 
 
 def root_partition_percent(v: Column, partitions_path: str) -> Column:

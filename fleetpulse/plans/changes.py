@@ -105,7 +105,7 @@ def cascade_delete(spark, sf_dir):
 
 
 def cascade_delete_channel(spark, sf_dir):
-    deliveries = delivery_keys(spark, A.alerts(spark, sf_dir))
+    deliveries = delivery_keys(spark, A.stored_alerts(spark, sf_dir))
     gone = B.channels(spark).where(F.col("type") == "slack_webhook").select("id")
     return tagged(M.delete_channels(B.channels(spark), deliveries, gone), ["channels", "deliveries"])
 
