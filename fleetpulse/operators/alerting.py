@@ -130,10 +130,13 @@ def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
     return (
         evaluations.withColumn("chunk", chunk)
         .where(F.col("rule_id").isNotNull() & F.col("agent_id").isNotNull() & F.col("chunk").isNotNull())
-        .withColumn("prev_breaching", F.lag("breaching").over(here))
-        .withColumn("prev_clock", F.lag("clock").over(here))
-        .withColumn("run_first", F.last(run_start, ignorenulls=True).over(so_far))
-        .withColumn("leading", breaching & ~F.max(~breaching).over(so_far))
+        .withColumns({"prev_breaching": F.lag("breaching").over(here), "prev_clock": F.lag("clock").over(here)})
+        .withColumns(
+            {
+                "run_first": F.last(run_start, ignorenulls=True).over(so_far),
+                "leading": breaching & ~F.max(~breaching).over(so_far),
+            }
+        )
     )
 
 
@@ -176,9 +179,13 @@ def _carried(summary: DataFrame) -> DataFrame:
     return (
         summary.withColumn("_open_before", F.lag("open_first").over(forward))
         .withColumn("open_out", F.last(decided, ignorenulls=True).over(so_far)["open_first"])
-        .withColumn("open_in", F.lag("open_out").over(forward))
-        .withColumn("last_in", F.lag("last_clock").over(forward))
-        .withColumn("next_clear", F.last("first_clear", ignorenulls=True).over(later))
+        .withColumns(
+            {
+                "open_in": F.lag("open_out").over(forward),
+                "last_in": F.lag("last_clock").over(forward),
+                "next_clear": F.last("first_clear", ignorenulls=True).over(later),
+            }
+        )
         .drop("_open_before")
     )
 
@@ -213,17 +220,15 @@ def episodes_and_chunks(
     neighbours = carried.select(*CHUNK, "open_in", "last_in", "next_clear", F.col("hold_seconds").alias("hold"))
     marks = (
         candidates.join(neighbours, CHUNK)
-        .withColumn("fires", fires)
+        .withColumns({"fires": fires, "first_breach": first})
         .where(F.col("fires") | ~breaching)
-        .withColumn("first_breach", first)
     )
     # Within a chunk the mark after a firing one is the clear sample that ends its run.
     here = Window.partitionBy(*CHUNK).orderBy("clock", "id")
     cleared_here = F.lead(F.struct("clock", "id", "value")).over(here)
     episodes = (
-        marks.withColumn("cleared", cleared_here)
+        marks.withColumn("cleared", F.coalesce(cleared_here, "next_clear"))
         .where("fires")
-        .withColumn("cleared", F.coalesce("cleared", "next_clear"))
         .select(
             *PAIR,
             "first_breach",

@@ -46,11 +46,15 @@ def acknowledge(alerts: DataFrame, commands: DataFrame) -> DataFrame:
     status = F.when(resolved, "resolved").when(F.col("ack").isNotNull(), "acknowledged").otherwise("firing")
     return (
         alerts.join(first_acknowledgements(alerts, commands), "id", "left")
-        .withColumn("status", status)
-        .withColumn("acknowledged_at", F.col("ack.at"))
-        .withColumn("acknowledged_by", F.when(F.col("ack").isNotNull(), actor(F.col("ack.user"))))
-        .withColumn("acknowledged_comment", F.col("ack.comment"))
-        .withColumn("updated_at", F.greatest("started_at", "acknowledged_at", "resolved_at"))
+        .withColumns(
+            {
+                "status": status,
+                "acknowledged_at": F.col("ack.at"),
+                "acknowledged_by": F.when(F.col("ack").isNotNull(), actor(F.col("ack.user"))),
+                "acknowledged_comment": F.col("ack.comment"),
+                "updated_at": F.greatest("started_at", F.col("ack.at"), "resolved_at"),
+            }
+        )
         .drop("ack")
     )
 

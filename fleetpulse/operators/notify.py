@@ -172,11 +172,15 @@ def fold_attempts(deliveries: DataFrame, attempts: DataFrame, max_attempts: int
         deliveries.drop("status", "attempts", "response_status", "error_message", "sent_at")
         .join(folded, "id", "left")
         .withColumn("_final", final)
-        .withColumn("status", status)
-        .withColumn("attempts", F.coalesce("_final.attempt", F.lit(0)))
-        .withColumn("response_status", F.coalesce("_final.response_status", F.lit(0)))
-        .withColumn("error_message", F.when(won | last.isNull(), "").otherwise(F.col("_final.error_message")))
-        .withColumn("sent_at", F.when(won, F.col("_final.at")))
+        .withColumns(
+            {
+                "status": status,
+                "attempts": F.coalesce("_final.attempt", F.lit(0)),
+                "response_status": F.coalesce("_final.response_status", F.lit(0)),
+                "error_message": F.when(won | last.isNull(), "").otherwise(F.col("_final.error_message")),
+                "sent_at": F.when(won, F.col("_final.at")),
+            }
+        )
         .withColumn(
             "next_attempt_at",
             F.when(
