@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from fleetpulse import model
 from fleetpulse.functions.clock import instant
-from fleetpulse.functions.documents import alert_document
 from fleetpulse.functions.text import hmac_pads, rfc3339_text, signature, stable_id
 from fleetpulse.operators.joins import fan_out
 

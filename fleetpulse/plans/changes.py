@@ -19,7 +19,6 @@ from fleetpulse.plans import intake as K
 from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.plans.rollups import ROLLUP_COLUMNS_SQL
 from fleetpulse.sources import benchmark_tables as B
-from fleetpulse.sources.tables import materialized
 
 EARLIER = "2024-01-20T06:15:00"
 SHORT_DAYS = 15

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions import documents as D
 from fleetpulse.functions import numbers as N
-from fleetpulse.functions.clock import instant
 from fleetpulse.operators import ingest as G
 from fleetpulse.operators import registry as R
 from fleetpulse.plans.common import Entry

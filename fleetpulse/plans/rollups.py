@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from fleetpulse.functions.clock import instant
 from fleetpulse.operators import rollup as R
 from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.sources import benchmark_tables as B
