@@ -53,6 +53,17 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def packed(rows: DataFrame, **internal: Column) -> DataFrame:
+    """All columns in one struct ``row``, so that no name clashes with the operator's ``internal`` columns."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *[v.alias(k) for k, v in internal.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **results: Column) -> DataFrame:
+    """The columns back out of ``row``; a result takes the place of an input column of its name."""
+    same = [results.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+    return df.select(*same, *[v.alias(k) for k, v in results.items() if k not in columns])
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame, written to the cluster's shared folder and read again.
 

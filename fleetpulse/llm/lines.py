@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import BLANK, ascii_lower, join_unique, stored, text_key
+from fleetpulse.llm.common import BLANK, ascii_lower, join_unique, packed, stored, text_key, unpacked
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -52,18 +52,15 @@ def drop_lines(
     spread = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents)
     common = spread.select("h1", "h2", "last")
     lost = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
-    at = lost.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("_lost"))
-    at = stored(at.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "_lost"), "line-losses")
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_key": text_key(F.col("text")), "_lines": split_lines(F.col("text"))})
-    met = join_unique(keyed, at, ["_id", "_key"], "left")
+    at = stored(lost.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("lost")), "line-losses")
+    own = packed(docs, id=F.col("doc_id"), key=text_key(F.col("text")), lines=split_lines(F.col("text")))
+    met = join_unique(own, at, ["id", "key"], "left")
     # What stays lies between two lost positions that follow each other, with an end on both sides.
-    lost_at = F.coalesce("_lost", F.array().cast("array<int>"))
-    size = F.size("_lines")
+    lost_at, size = F.coalesce("lost", F.array().cast("array<int>")), F.size("lines")
     gaps = F.arrays_zip(F.concat(F.array(F.lit(-1)), lost_at).alias("a"), F.concat(lost_at, F.array(size)).alias("b"))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("_lines"), g["a"] + 2, g["b"] - g["a"] - 1)))
-    text = F.when(F.col("_lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    counts = [size.cast("long").alias("_n_lines"), F.size(lost_at).cast("long").alias("_n_dropped")]
-    return met.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], *counts)
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice(F.col("lines"), g["a"] + 2, g["b"] - g["a"] - 1)))
+    counts = {"_n_lines": size.cast("long"), "_n_dropped": F.size(lost_at).cast("long")}
+    return unpacked(met, docs.columns, text=F.array_join(kept, "\n"), **counts)
 
 
 ORACLE_SQL = r"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetpulse.llm.common import WORD, join_unique, stored
+from fleetpulse.llm.common import WORD, join_unique, packed, stored, unpacked
 
 # What the registered query asks for.
 CYCLE = (3, 1, 2)
@@ -99,24 +99,25 @@ def assign(
     * An empty table gives no rows.
     """
     goal = stored(targets(cyclic_weights(source_sizes(docs), cycle), share, max_repeats), "mixing-targets")
-    side = goal.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    met = join_unique(docs.withColumn("_source", F.col("source")), side, ["_source"], "left")
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    met = join_unique(packed(docs, source=F.col("source"), doc_id=F.col("doc_id"), text=F.col("text")), goal, ["source"], "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (draw(F.col("doc_id"), F.col("text"), seed) < rate - whole).cast("int")
-    return met.withColumns({"_size": n_words(F.col("text")), "_copies": (whole + extra).cast("int")}).drop("_source")
+    found = {"_size": n_words(F.col("text")), "_source_size": F.col("source_size"), "_target": F.col("target")}
+    return unpacked(met, docs.columns, **found, _copies=(whole + extra).cast("int"))
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixed documents: each as often as ``assign`` takes it, numbered by ``_copy`` from 1."""
     taken = assign(docs, **settings).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns, "_copy")
+    return unpacked(packed(taken, copy=F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns, _copy=F.col("copy"))
 
 
 # ``{docs}`` stands for the table that is mixed.
 TARGETS_SQL = r"""
 sized AS (
-  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size FROM {docs}),
+  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size FROM {docs}),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT *, 2 * source_size AS cap,

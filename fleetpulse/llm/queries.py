@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import lines, mixing, simhash
+from fleetpulse.llm import lines, mixing, simhash, substrings
 from fleetpulse.llm.common import prepare, table
 from fleetpulse.plans.common import Entry
 
@@ -19,7 +19,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = mixing.assign(table(spark, sf_dir, "documents"))
+    found = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = F.col("_size") * F.col("_copies")
     return found.select(
         "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken")
@@ -28,15 +28,23 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    found = lines.drop_lines(table(spark, sf_dir, "documents"))
+    found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped")]
     return found.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = substrings.drop_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed")]
+    return found.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Entry] = {
     "op3_simhash_near_dedup": Entry(op3_simhash_near_dedup),
     "op6_source_mixing": Entry(op6_source_mixing, mixing.ORACLE_SQL),
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
+    "op10_substring_dedup": Entry(op10_substring_dedup),
 }
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import components, join_unique, stored, text_key
+from fleetpulse.llm.common import components, join_unique, packed, stored, text_key, unpacked
 
 # Fixed values of the fingerprint.
 SEED = 42
@@ -133,12 +133,11 @@ def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, shin
     found = grouped(docs, max_distance, shingle_words)
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key")
     best = found.groupBy("component").agg(F.min(rank).alias("best"))
-    same = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("_n"))
+    same = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
     met = same.join(best, "component").where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key")))
-    winners = stored(met.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n"), "simhash-winners")
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_key": text_key(F.col("text"))})
-    kept = join_unique(keyed, winners, ["_id", "_key"])
-    if winners.where("_n > 1").isEmpty():
-        return kept.select(docs.columns)
-    repeated = kept.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return kept.where("_n = 1").unionByName(repeated).select(docs.columns)
+    winners = stored(met.select(F.col("doc_id").alias("id"), "key", "n"), "simhash-winners")
+    own = packed(docs, id=F.col("doc_id").cast("long"), key=text_key(F.col("text")))
+    kept = join_unique(own, winners, ["id", "key"])
+    if not winners.where("n > 1").isEmpty():
+        kept = kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(["id", "key"]))
+    return unpacked(kept, docs.columns)

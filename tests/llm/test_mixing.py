@@ -25,7 +25,7 @@ SIZES = {"a": 700, "b": 20, "é": 5, "z": 0, None: 40, "Z": 3000, "0": 1}
 
 
 def frame(spark, sizes, per_doc=1):
-    rows = [(i * 1000 + k, " ".join(["w"] * per_doc), s, 7) for i, (s, n) in enumerate(sizes.items()) for k in range(max(1, n // per_doc)) if n]
+    rows = [(i * 10000 + k, " ".join(["w"] * per_doc), s, 7) for i, (s, n) in enumerate(sizes.items()) for k in range(max(1, n // per_doc)) if n]
     rows += [(-1, None, "z", None), (-1, None, "z", None), (None, "", "z", None)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, weight int")
 
@@ -33,7 +33,7 @@ def frame(spark, sizes, per_doc=1):
 def test_targets_and_rates(spark):
     df = frame(spark, SIZES)
     found = mixing.assign(df)
-    assert found.columns == [*df.columns, "_source_size", "_target", "_size", "_copies"]
+    assert found.columns == [*df.columns, "_size", "_source_size", "_target", "_copies"]
     rows = found.collect()
     assert len(rows) == df.count()
     expected = plain_targets(SIZES)
