@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import lines, mixing, simhash, substrings
+from fleetpulse.llm import decontaminate, lines, mixing, simhash, substrings
 from fleetpulse.llm.common import prepare, table
 from fleetpulse.plans.common import Entry
 
@@ -26,6 +26,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = decontaminate.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", F.col("_contaminated").alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_similarity").alias("similarity")
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +51,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Entry] = {
     "op3_simhash_near_dedup": Entry(op3_simhash_near_dedup),
     "op6_source_mixing": Entry(op6_source_mixing, mixing.ORACLE_SQL),
+    "op7_benchmark_decontamination": Entry(op7_benchmark_decontamination),
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
     "op10_substring_dedup": Entry(op10_substring_dedup),
 }
