@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, lines, mixing, simhash, substrings
+from fleetpulse.llm import decontaminate, embeddings, lines, mixing, simhash, substrings, urls
 from fleetpulse.llm.common import prepare, table
 from fleetpulse.plans.common import Entry
 
@@ -17,6 +17,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -34,6 +40,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -50,8 +61,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Entry] = {
     "op3_simhash_near_dedup": Entry(op3_simhash_near_dedup),
+    "op5_url_filters": Entry(op5_url_filters, urls.ORACLE_SQL),
     "op6_source_mixing": Entry(op6_source_mixing, mixing.ORACLE_SQL),
     "op7_benchmark_decontamination": Entry(op7_benchmark_decontamination),
+    "op8_embedding_near_dedup": Entry(op8_embedding_near_dedup),
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
     "op10_substring_dedup": Entry(op10_substring_dedup),
 }
