@@ -5,11 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, embeddings, lines, mixing, simhash, substrings, urls
-from fleetpulse.llm.common import prepare, table
+from fleetpulse.llm import decontaminate, embeddings, lines, mixing, quality, simhash, substrings, toxicity, urls
+from fleetpulse.llm.common import fold, prepare, table
+from fleetpulse.llm.learning import FOLDS
 from fleetpulse.plans.common import Entry
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train_on(docs, table(spark, sf_dir, "labels")))
+    held_out, offending = fold(F.col("doc_id"), FOLDS) == 0, F.transform("_offending", lambda o: o["sentence"])
+    predicted = (F.col("_score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"), offending.alias("offending_sentences"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train_on(docs, table(spark, sf_dir, "labels")))
+    held_out = fold(F.col("doc_id"), FOLDS) == 0
+    told = {"_grade": "expected_grade", "_tail": "tail_probability", "_selected": "selected"}
+    return scored.select("doc_id", held_out.alias("held_out"), *[F.col(c).alias(name) for c, name in told.items()])
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -60,6 +79,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Entry] = {
+    "op1_toxicity": Entry(op1_toxicity),
+    "op2_quality_classifier": Entry(op2_quality_classifier),
     "op3_simhash_near_dedup": Entry(op3_simhash_near_dedup),
     "op5_url_filters": Entry(op5_url_filters, urls.ORACLE_SQL),
     "op6_source_mixing": Entry(op6_source_mixing, mixing.ORACLE_SQL),

@@ -1,0 +1,85 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from fleetpulse.llm import queries, toxicity
+
+RUDE = ["grumbolt", "snarfle", "blivet"]
+
+
+def text(r, toxic):
+    out = []
+    for _ in range(r.randrange(3, 12)):
+        words = ["w%d" % r.randrange(300) for _ in range(r.randrange(8, 15))]
+        out.append(" ".join(words))
+    if toxic:
+        for _ in range(r.randrange(1, 3)):
+            k = r.randrange(len(out))
+            out[k] += " " + r.choice(RUDE)
+    return ". ".join(out) + "."
+
+
+@pytest.fixture(scope="module")
+def labelled():
+    r = random.Random(0)
+    rows = []
+    for i in range(1200):
+        toxic = int(r.random() < 0.25)
+        rows.append((i, text(r, toxic), toxic))
+    return rows
+
+
+def test_sentences_group_short_ones_and_keep_every_word():
+    texts = [b"One two. three? " + b"four " * 20, None, b"", b" .!? ", b"A!! B!! C!! D!! E!! F!! G!! H!! I!! J!!", "é ü. ".encode() * 9]
+    s = toxicity.sentences(texts)
+    assert (np.diff(s.row) >= 0).all() and set(s.row) == set(range(6))
+    words = [{s.words[w] for w, k in zip(s.word, s.sentence) if s.row[k] == row} for row in range(6)]
+    assert words == [{b"one", b"two", b"three", b"four"}, set(), set(), set(), set(b"abcdefghij"[i : i + 1] for i in range(10)), {"é".encode(), "ü".encode()}]
+    assert (s.row == 4).sum() == 2
+
+
+def test_query_on_held_out_documents(spark, tmp_path, labelled):
+    docs = [(i, t, "en", "s", len(t)) for i, t, _ in labelled] + [(5000, None, None, None, None), (5001, "", "", "", 0), (None, RUDE[0], "", "", 0), (3, labelled[3][1], "", "", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, row string, score long").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, 1, y) for i, _, y in labelled] + [(None, 1, 1), (2, 0, None), (9999, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.op1_toxicity(spark, str(tmp_path)).collect()
+    assert len(found) == len(docs)
+    truth = {i: y for i, _, y in labelled}
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert {r.doc_id for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    assert {r.predicted for r in found if r.doc_id in (5000, 5001)} == {0}
+
+
+def test_offending_sentences_are_located(spark, labelled):
+    rows = spark.createDataFrame([(y, t.encode()) for _, t, y in labelled[:800]], "label int, text binary")
+    model = toxicity.train(rows)
+    calm = "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    df = spark.createDataFrame([(1, f"{calm}. {calm} {RUDE[0]}! {calm}\n{calm}?", "x"), (2, calm, "y")], "doc_id long, text string, _score string")
+    scored = toxicity.score(df, model)
+    assert scored.columns == [*df.columns, "_offending"]
+    first, second = scored.orderBy("doc_id").collect()
+    assert [o.sentence for o in first["_offending"]] == [1] and second["_offending"] == []
+    assert first["_score"] > 0.5 > second["_score"]
+
+
+def test_scores_do_not_depend_on_the_batch(spark, labelled):
+    model = toxicity.fit(np.array([y for *_, y in labelled[:300]], bool), [t.encode() for _, t, _ in labelled[:300]], steps=20)
+    texts = [t.encode() for _, t, _ in labelled[:40]]
+    one = [float(model.logits(toxicity.sentences([t])).sum()) for t in texts]
+    s = toxicity.sentences(texts)
+    assert np.allclose(np.bincount(s.row, model.logits(s)), one)
+
+
+@pytest.mark.parametrize("labels", [[], [0, 0], [1, 1]])
+def test_one_label_only(spark, labels):
+    df = spark.createDataFrame([(y, b"some words") for y in labels], "label int, text binary")
+    model = toxicity.train(df)
+    docs = spark.createDataFrame([(1, "any", None)], "doc_id long, text string, x string")
+    (row,) = toxicity.score(docs, model).collect()
+    assert (row["_score"] >= 0.5) == bool(labels and labels[0])
+    assert toxicity.score(docs.limit(0), model).collect() == []
