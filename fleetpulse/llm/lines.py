@@ -50,8 +50,8 @@ def drop_lines(
     lines = stored(line_positions(docs, min_chars), "line-positions")
     held = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     spread = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_documents)
-    common = spread.select("h1", "h2", "last")
-    lost = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
+    common = stored(spread.select("h1", "h2", "last"), "line-common")
+    lost = join_unique(lines, common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("last")))
     at = stored(lost.groupBy("id", "key").agg(F.sort_array(F.collect_set("pos")).alias("lost")), "line-losses")
     own = packed(docs, id=F.col("doc_id"), key=text_key(F.col("text")), lines=split_lines(F.col("text")))
     met = join_unique(own, at, ["id", "key"], "left")
