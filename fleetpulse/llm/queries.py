@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, embeddings, lines, mixing, quality, simhash, substrings, toxicity, urls
+from fleetpulse.llm import decontaminate, embeddings, lines, lm, mixing, quality, simhash, substrings, toxicity, urls
 from fleetpulse.llm.common import fold, prepare, table
 from fleetpulse.llm.learning import FOLDS
 from fleetpulse.plans.common import Entry
 
+LM_FOLDS = 10
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
@@ -36,6 +38,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", printed.alias("fingerprint"), "component_id")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    fold_of = fold(F.col("doc_id"), LM_FOLDS)
+    scored = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold_of != 0)
+    return scored.select("doc_id", (fold_of == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -82,6 +91,7 @@ QUERIES: dict[str, Entry] = {
     "op1_toxicity": Entry(op1_toxicity),
     "op2_quality_classifier": Entry(op2_quality_classifier),
     "op3_simhash_near_dedup": Entry(op3_simhash_near_dedup),
+    "op4_lm_scoring": Entry(op4_lm_scoring),
     "op5_url_filters": Entry(op5_url_filters, urls.ORACLE_SQL),
     "op6_source_mixing": Entry(op6_source_mixing, mixing.ORACLE_SQL),
     "op7_benchmark_decontamination": Entry(op7_benchmark_decontamination),
