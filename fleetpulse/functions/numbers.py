@@ -53,6 +53,12 @@ def elements(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
+def clamped_whole(c: Column) -> Column:
+    """BIGINT of a double, the fraction dropped; values outside its range read as the nearest bound."""
+    low, high = F.lit(-(2**63)).cast("bigint"), F.lit(2**63 - 1).cast("bigint")
+    return F.when(c >= 2.0**63, high).when(c < -(2.0**63), low).otherwise(F.coalesce(c.try_cast("bigint"), F.lit(0)))
+
+
 def whole(v: Column) -> Column:
     """BIGINT reading of a scalar: whole numbers, also as text; fractions and junk are NULL."""
     kind = F.schema_of_variant(v)
@@ -86,23 +92,30 @@ def _array_sum(v: Column, array_path: str, field: str, reading, result_type: str
     )
 
 
-def sum_whole(v: Column, array_path: str, field: str) -> Column:
+def strict_whole(v: Column) -> Column:
+    """As ``whole``, but a value that is there and is no whole number is an error."""
+    there = v.isNotNull() & ~F.is_variant_null(v)
+    bad = F.raise_error(F.lit("no whole number")).cast("bigint")
+    return F.when(there & whole(v).isNull(), bad).otherwise(whole(v))
+
+
+def sum_whole(v: Column, array_path: str, field: str, strict_cast: bool = False) -> Column:
     """Sum of a BIGINT field over a JSON array, wide enough not to overflow per row."""
-    return _array_sum(v, array_path, field, whole, "decimal(38,0)")
+    return _array_sum(v, array_path, field, strict_whole if strict_cast else whole, "decimal(38,0)")
 
 
 def sum_bytes(v: Column, array_path: str, field: str) -> Column:
-    """Sum of an unsigned field over a JSON array, truncated per element."""
-    return _array_sum(v, array_path, field, truncated, BYTES)
+    """Sum of an unsigned field over a JSON array, truncated per element; wider than the elements."""
+    return _array_sum(v, array_path, field, truncated, "decimal(38,0)")
 
 
-def root_partition_percent(v: Column, partitions_path: str) -> Column:
+def root_partition_percent(v: Column, partitions_path: str, strict_cast: bool = False) -> Column:
     """``used_percent`` of the first partition mounted at ``/``, NULL when there is none."""
     mounted = F.filter(
         elements(v, partitions_path),
         lambda p: F.try_variant_get(p, "$.mountpoint", "string") == "/",
     )
-    return sql_number(F.try_element_at(mounted, F.lit(1)), "$.used_percent")
+    return sql_number(F.try_element_at(mounted, F.lit(1)), "$.used_percent", strict_cast)
 
 
 def disk_values(v: Column, disk_path: str, partitions_path: str) -> Column:

@@ -28,8 +28,17 @@ def rfc3339(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.when(zulu, utc).otherwise(shifted))
 
 
+# White space of all scripts, as Unicode lists it.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(c, F.lit(SPACES))
+
+
 def blank(c: Column) -> Column:
-    return F.coalesce(F.trim(c) == "", F.lit(True))
+    return F.coalesce(stripped(c) == "", F.lit(True))
 
 
 def empty_to_null(c: Column) -> Column:
@@ -56,16 +65,16 @@ def alert_message(severity: Column, name: Column, value: Column, op: Column, thr
 
 
 def stable_id(prefix: str | Column, *natural_key: Column) -> Column:
-    """Identifier from a row's natural key, so re-runs and retries name the same row alike."""
+    """Identifier from a row's natural key, so re-runs and retries name the same row alike.
+
+    Each part goes in with its length, NULL as a dash, so different keys are different texts.
+    """
     start = F.lit(prefix) if isinstance(prefix, str) else prefix
-    key = F.concat_ws("|", *[c.cast("string") for c in natural_key])
+    parts = [c.cast("string") for c in natural_key]
+    key = F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts])
     return F.concat(start, F.lit("-"), F.substring(F.sha2(key, 256), 1, 24))
 
 
-def micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
 def _xor_pad(block_hex: Column, constant: int) -> Column:
     """Bytes of a hex block, each combined with one constant byte."""
     byte = lambda i: F.conv(F.substr(block_hex, i * 2 - 1, F.lit(2)), 16, 10).cast("int")

@@ -50,7 +50,7 @@ def evaluate(samples: DataFrame, rules: DataFrame) -> DataFrame:
     )
     breaching = compare(F.col("value"), F.col("operator"), F.col("threshold"))
     return (
-        lookup(samples, active, ["metric"], spread_by=["agent_id", "clock", "id"])
+        lookup(samples, active, ["metric"])
         .withColumn("breaching", breaching)
         .select(*EVALUATION)
     )
@@ -252,7 +252,7 @@ def alert_id() -> Column:
 
 
 def alerts(episodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Alert rows before anyone acted on them: firing or resolved.
+    """Alert rows before anyone acted on them: firing or resolved, with their rule's name and severity.
 
     ``last_value`` is the value that fired, or after resolution the value that cleared.
     """
@@ -263,7 +263,7 @@ def alerts(episodes: DataFrame, rules: DataFrame) -> DataFrame:
     message = alert_message(
         F.col("severity"), F.col("rule_name"), F.col("started_value"), F.col("operator"), F.col("threshold")
     )
-    return lookup(episodes, named, ["rule_id"], spread_by=["agent_id", "started_at"]).select(
+    return lookup(episodes, named, ["rule_id"]).select(
         alert_id().alias("id"),
         *PAIR,
         F.when(resolved, "resolved").otherwise("firing").alias("status"),
@@ -273,4 +273,6 @@ def alerts(episodes: DataFrame, rules: DataFrame) -> DataFrame:
         F.when(resolved, F.col("resolved_value")).otherwise(F.col("started_value")).alias("last_value"),
         message.alias("message"),
         F.col("started_at").alias("created_at"),
+        "rule_name",
+        "severity",
     )

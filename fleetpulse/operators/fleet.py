@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse import model
 from fleetpulse.functions.clock import instant, row_order
 from fleetpulse.functions.conditions import age_seconds, health_class
-from fleetpulse.operators.joins import salted_join
+from fleetpulse.operators.joins import pick
 
 
 def in_range(df: DataFrame, start=None, end=None, column: str = "timestamp") -> DataFrame:
@@ -42,26 +42,25 @@ def newest_rows(rows: DataFrame, n: int, key: str = "agent_id") -> DataFrame:
 def latest_telemetry(telemetry: DataFrame) -> DataFrame:
     """Newest snapshot per agent.
 
-    The newest row is found from three narrow columns by hash aggregation; the JSON
-    is read in the second scan, for the rows found only.
+    The newest row is found from three narrow columns by hash aggregation. The second scan meets
+    the rows found in the tasks that read the JSON, so no JSON is shuffled.
     """
     order = row_order(F.col("timestamp"), F.col("id"))
     newest = telemetry.groupBy("agent_id").agg(F.max(order).alias("_order"))
-    return telemetry.withColumn("_order", order).join(newest, ["agent_id", "_order"]).drop("_order")
+    return pick(telemetry.withColumn("_order", order), newest, ["agent_id", "_order"], "agent_id").drop("_order")
 
 
 def history(telemetry: DataFrame, limit: int = model.HISTORY_DEFAULT, start=None, end=None) -> DataFrame:
     """Newest ``limit`` snapshots per agent within a range, newest first.
 
-    Ranks narrow columns to find each agent's oldest row wanted, then reads the JSON
-    of the rows from there on. There is one cutoff per agent; the rows of a hot agent are
-    spread over salts.
+    Ranks narrow columns to find each agent's oldest row wanted. The second scan drops what is
+    older in the tasks that read the JSON; only the rows wanted are sorted.
     """
     wanted = in_range(telemetry, start, end)
     order = row_order(F.col("timestamp"), F.col("id"))
     kept = newest_rows(wanted.select("agent_id", "timestamp", "id"), limit)
     cutoff = kept.groupBy("agent_id").agg(F.min(order).alias("_cutoff"))
-    joined = salted_join(wanted, cutoff, ["agent_id"], spread_by=["timestamp", "id"])
+    joined = pick(wanted, cutoff, ["agent_id"], "agent_id")
     rows = joined.where(order >= F.col("_cutoff")).drop("_cutoff")
     return rows.orderBy("agent_id", F.desc("timestamp"), F.desc("id"))
 

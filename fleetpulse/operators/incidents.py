@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse import model
 from fleetpulse.functions.text import blank, empty_to_null, null_to_empty, stable_id
-from fleetpulse.operators.joins import lookup, salted_join
+from fleetpulse.operators.joins import lookup
 
 
 def actor(c: Column) -> Column:
@@ -15,12 +15,9 @@ def actor(c: Column) -> Column:
 
 
 def _offered(alerts: DataFrame, commands: DataFrame) -> DataFrame:
-    """Commands (alert_id, user, comment, at, seq) with the life span of their alert.
-
-    All commands may name one alert, so its rows are salted over several tasks.
-    """
+    """Commands (alert_id, user, comment, at, seq) with the life span of their alert."""
     spans = alerts.select(F.col("id").alias("alert_id"), "started_at", "resolved_at")
-    return salted_join(commands, spans, ["alert_id"], "left", ["at", "seq"])
+    return commands.join(spans, "alert_id", "left")
 
 
 def _in_time() -> Column:
@@ -77,7 +74,7 @@ def list_alerts(
         alerts = alerts.where(F.col("agent_id") == agent_id)
     named = rules.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "severity")
     return (
-        lookup(alerts, named, ["rule_id"], spread_by=["id"])
+        lookup(alerts.drop("rule_name", "severity"), named, ["rule_id"])
         .withColumn("acknowledged_by", null_to_empty(F.col("acknowledged_by")))
         .withColumn("acknowledged_comment", null_to_empty(F.col("acknowledged_comment")))
         .orderBy(F.desc("updated_at"), "id")
@@ -92,7 +89,7 @@ def add_comments(alerts: DataFrame, requests: DataFrame) -> DataFrame:
     """Comment rows of requests (alert_id, author_id, comment, at, seq) on existing alerts."""
     ids = alerts.select(F.col("id").alias("alert_id"))
     wanted = requests.where(~blank(F.col("comment")))
-    return salted_join(wanted, ids, ["alert_id"], "left_semi", ["at", "seq"]).select(
+    return wanted.join(ids, "alert_id", "left_semi").select(
         stable_id("cmt", F.col("alert_id"), F.unix_micros("at"), F.col("seq")).alias("id"),
         "alert_id",
         actor(F.col("author_id")).alias("author_id"),

@@ -12,10 +12,10 @@ from fleetpulse.sources.payloads import decode
 UNKNOWN_AGENT = "agent_not_found"
 
 
-def known_agents(rows: DataFrame, agents: DataFrame, known: bool = True, spread_by: list[str] | None = None):
+def known_agents(rows: DataFrame, agents: DataFrame, known: bool = True) -> DataFrame:
     """Rows whose agent exists, or with ``known=False`` those whose agent does not."""
     ids = agents.select(F.col("id").alias("agent_id"))
-    return lookup(rows, ids, ["agent_id"], "left_semi" if known else "left_anti", spread_by)
+    return lookup(rows, ids, ["agent_id"], "left_semi" if known else "left_anti")
 
 
 def judge(payloads: DataFrame, agents: DataFrame, target: str | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def judge(payloads: DataFrame, agents: DataFrame, target: str | None = None) ->
     registered = agents.select(F.col("id").alias("agent_id"), F.lit(True).alias("_known"))
     missing = F.when(F.col("_known").isNull(), UNKNOWN_AGENT)
     return (
-        lookup(decoded, registered, ["agent_id"], "left", ["payload"])
+        lookup(decoded, registered, ["agent_id"], "left")
         .withColumn("reject_reason", F.coalesce("reject_reason", missing))
         .drop("_known")
     )

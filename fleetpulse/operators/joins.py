@@ -1,16 +1,23 @@
 """Join helpers that stay correct and balanced when one key holds a large share of the rows.
 
-A lookup side is broadcast only after its size was measured. Beyond the limit the
-join is shuffled with a salt, so the rows of a hot key land in many tasks.
+A side is broadcast only after its size was measured. Beyond the limit it is a plain shuffle
+join on the key, with one row per key on that side: adaptive execution splits the tasks of a
+hot key, and nothing is repeated where no key is hot.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetpulse.sources.tables import materialized
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-FANOUT = 32
+# An item list up to this size travels along as an array in every row.
+LIST_BYTES = 64 * 1024
+SHARDS = 32
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -30,49 +37,56 @@ def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (measured_bytes(df) if known is None else known) <= limit
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    spread_by: list[str] | None = None,
-    fanout: int = FANOUT,
-) -> DataFrame:
-    """Equi-join whose left rows of one key go to ``fanout`` tasks; right rows are repeated.
-
-    ``spread_by`` names left columns that differ between rows of one key.
-    """
-    salt = F.pmod(F.xxhash64(*(spread_by or left.columns)), F.lit(fanout)).cast("int")
-    salted = left.withColumn("_salt", salt)
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fanout - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
-
-
 def lookup(
     left: DataFrame,
     dim: DataFrame,
     on: list[str],
     how: str = "inner",
-    spread_by: list[str] | None = None,
     limit: int = BROADCAST_BYTES,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Join to a stored dimension: broadcast when measured small, salted otherwise."""
-    if is_small(dim, limit):
+    """Join to a side with one row per key: broadcast when measured small, else shuffled.
+
+    A caller that joins one side several times measures it once and passes ``small``.
+    """
+    if is_small(dim, limit) if small is None else small:
         return left.join(F.broadcast(dim), on, how)
-    return salted_join(left, dim, on, how, spread_by)
+    return left.join(dim, on, how)
+
 
+def pick(rows: DataFrame, narrow: DataFrame, on: list[str], key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows that meet a narrow table, without a shuffle of the rows, however wide they are.
 
-def fan_out(rows: DataFrame, items: DataFrame, name: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    The table is stored, measured, and broadcast in as many parts of its ``key`` as the limit
+    asks for; the rows are scanned once for each part.
+    """
+    table = materialized(narrow, "picked")
+    parts = max(1, ceil(measured_bytes(table) / limit))
+    if parts == 1:
+        return rows.join(F.broadcast(table), on)
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    met = [rows.where(part == n).join(F.broadcast(table.where(part == n)), on) for n in range(parts)]
+    whole = met[0]
+    for more in met[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def fan_out(rows: DataFrame, items: DataFrame, name: str, limit: int = LIST_BYTES) -> DataFrame:
     """One output row per (row, item), the item as struct column ``name``.
 
     A small item list travels with each row as an array and is exploded, so nothing
-    is shuffled. A large one is cut into shards that each row meets in turn.
+    is shuffled. A large one is cut into shards; each row visits all of them, under a salt
+    whose width follows the cluster, so that shards times salts keep all tasks busy.
     """
     packed = items.select(F.struct(*items.columns).alias(name))
     if is_small(items, limit):
         listed = packed.agg(F.collect_list(name)).scalar()
         return rows.withColumn("_items", listed).withColumn(name, F.explode("_items")).drop("_items")
-    shard = F.pmod(F.xxhash64(*items.columns), F.lit(FANOUT)).cast("int")
-    sharded = items.select(shard.alias("_shard"), F.struct(*items.columns).alias(name))
-    visits = rows.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(FANOUT - 1))))
-    return visits.join(sharded, "_shard").drop("_shard")
+    salts = max(1, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    shard = F.pmod(F.xxhash64(*items.columns), F.lit(SHARDS)).cast("int")
+    sharded = items.select(shard.alias("_shard"), F.struct(*items.columns).alias(name)).withColumn("_salt", every(salts))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    visits = rows.withColumn("_salt", salt).withColumn("_shard", every(SHARDS))
+    return visits.join(sharded, ["_shard", "_salt"]).drop("_shard", "_salt")

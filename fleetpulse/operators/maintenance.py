@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse import model
 from fleetpulse.functions.clock import hour_of, instant
-from fleetpulse.operators.joins import lookup, salted_join
+from fleetpulse.operators.joins import is_small, lookup
 
 
 def cutoff(as_of, days: int = model.RETENTION_DAYS, align: str = "exact"):
@@ -29,20 +29,21 @@ def purge_report(telemetry: DataFrame, as_of, days: int = model.RETENTION_DAYS,
     return telemetry.agg(F.count_if(old).alias("purged"), F.count_if(~old).alias("kept"))
 
 
-def without(rows: DataFrame, removed: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
-    """Rows whose ``key`` is not an id of ``removed``; a hot key is spread over tasks."""
-    return salted_join(rows, removed.select(F.col("id").alias(key)), [key], "left_anti", spread_by)
+def without(rows: DataFrame, removed: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is not an id of ``removed``."""
+    return rows.join(removed.select(F.col("id").alias(key)), key, "left_anti")
 
 
 def delete_rules(rules: DataFrame, alerts: DataFrame, comments: DataFrame, deliveries: DataFrame, ids: DataFrame):
     """Rules, alerts, comments and deliveries left after deleting the rules in ``ids``."""
     gone = ids.select(F.col("id").alias("rule_id"))
-    doomed = lookup(alerts, gone, ["rule_id"], "left_semi", ["id"])
+    small = is_small(gone)
+    doomed = lookup(alerts, gone, ["rule_id"], "left_semi", small=small)
     return {
         "rules": rules.join(ids.select("id"), "id", "left_anti"),
-        "alerts": lookup(alerts, gone, ["rule_id"], "left_anti", ["id"]),
-        "comments": without(comments, doomed, "alert_id", ["id"]),
-        "deliveries": without(deliveries, doomed, "alert_id", ["id"]),
+        "alerts": lookup(alerts, gone, ["rule_id"], "left_anti", small=small),
+        "comments": without(comments, doomed, "alert_id"),
+        "deliveries": without(deliveries, doomed, "alert_id"),
     }
 
 
@@ -50,7 +51,7 @@ def delete_channels(channels: DataFrame, deliveries: DataFrame, ids: DataFrame):
     gone = ids.select(F.col("id").alias("channel_id"))
     return {
         "channels": channels.join(ids.select("id"), "id", "left_anti"),
-        "deliveries": lookup(deliveries, gone, ["channel_id"], "left_anti", ["id"]),
+        "deliveries": lookup(deliveries, gone, ["channel_id"], "left_anti"),
     }
 
 
@@ -60,12 +61,13 @@ def delete_agents(
 ):
     """Everything left after deleting the agents in ``ids``."""
     gone = ids.select(F.col("id").alias("agent_id"))
-    doomed = lookup(alerts, gone, ["agent_id"], "left_semi", ["id"])
+    small = is_small(gone)
+    doomed = lookup(alerts, gone, ["agent_id"], "left_semi", small=small)
     return {
         "agents": agents.join(ids.select("id"), "id", "left_anti"),
-        "telemetry": lookup(telemetry, gone, ["agent_id"], "left_anti", ["id"]),
-        "hourly": lookup(hourly, gone, ["agent_id"], "left_anti", ["bucket_start"]),
-        "alerts": lookup(alerts, gone, ["agent_id"], "left_anti", ["id"]),
-        "comments": without(comments, doomed, "alert_id", ["id"]),
-        "deliveries": without(deliveries, doomed, "alert_id", ["id"]),
+        "telemetry": lookup(telemetry, gone, ["agent_id"], "left_anti", small=small),
+        "hourly": lookup(hourly, gone, ["agent_id"], "left_anti", small=small),
+        "alerts": lookup(alerts, gone, ["agent_id"], "left_anti", small=small),
+        "comments": without(comments, doomed, "alert_id"),
+        "deliveries": without(deliveries, doomed, "alert_id"),
     }

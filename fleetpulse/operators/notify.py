@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from fleetpulse import model
 from fleetpulse.functions.clock import instant
+from fleetpulse.functions.documents import TIME_FIELDS
 from fleetpulse.functions.text import hmac_pads, rfc3339_text, signature, stable_id
 from fleetpulse.operators.joins import fan_out
+from fleetpulse.sources.tables import materialized
 
 # The mark each event type is shown with in chat.
 EVENT_EMOJI = {
@@ -20,7 +22,6 @@ EVENT_EMOJI = {
     model.ALERT_ACKNOWLEDGED: "👀",
 }
 CHAT_TYPE = "slack_webhook"
-ATTEMPT = "delivery_id string, attempt int, response_status int, error_message string, at timestamp"
 
 
 def alert_events(alerts: DataFrame) -> DataFrame:
@@ -31,6 +32,7 @@ def alert_events(alerts: DataFrame) -> DataFrame:
         F.lit("firing").alias("status"),
         F.col("started_value").alias("last_value"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
+        F.col("started_at").alias("updated_at"),
     )
     resolved = F.struct(
         F.lit(model.ALERT_RESOLVED).alias("event_type"),
@@ -38,13 +40,20 @@ def alert_events(alerts: DataFrame) -> DataFrame:
         F.lit("resolved").alias("status"),
         "last_value",
         "resolved_at",
+        F.col("resolved_at").alias("updated_at"),
     )
     both = F.array_compact(F.array(firing, F.when(F.col("resolved_at").isNotNull(), resolved)))
     return alerts.withColumn("_event", F.explode(both)).select(
-        F.col("id").alias("alert_id"), "rule_id", "agent_id", "started_at", "message", "_event.*"
+        F.col("id").alias("alert_id"), "rule_id", "agent_id", "rule_name", "severity", "started_at", "message", "created_at", "_event.*"
     )
 
 
+ALERT_PARTS = [
+    "rule_id", "agent_id", "rule_name", "severity", "status", "started_at", "resolved_at", "last_value", "message",
+    "created_at", "updated_at",
+]
+
+
 def enabled_channels(channels: DataFrame) -> DataFrame:
     """Channels to notify, the signing blocks of each secret prepared once."""
     pads = F.when(F.col("secret") != "", hmac_pads(F.col("secret")))
@@ -66,21 +75,14 @@ def plan_deliveries(events: DataFrame, channels: DataFrame) -> DataFrame:
         F.col("at").alias("created_at"),
         F.lit(None).cast("timestamp").alias("sent_at"),
         "channel",
-        F.struct("rule_id", "agent_id", "started_at", "message", F.col("status"), "last_value", "resolved_at").alias("alert"),
+        F.struct(*ALERT_PARTS).alias("alert"),
     )
 
 
 def notification_body() -> Column:
-    alert = F.struct(
-        F.col("alert_id").alias("id"),
-        F.col("alert.rule_id").alias("rule_id"),
-        F.col("alert.agent_id").alias("agent_id"),
-        F.col("alert.status").alias("status"),
-        rfc3339_text(F.col("alert.started_at")).alias("started_at"),
-        rfc3339_text(F.col("alert.resolved_at")).alias("resolved_at"),
-        F.col("alert.last_value").alias("last_value"),
-        F.col("alert.message").alias("message"),
-    )
+    part = lambda name: F.col(f"alert.{name}")
+    shown = [(rfc3339_text(part(n)) if n in TIME_FIELDS else part(n)).alias(n) for n in ALERT_PARTS]
+    alert = F.struct(F.col("alert_id").alias("id"), *shown)
     return F.to_json(
         F.struct(
             F.col("notification_id").alias("id"),
@@ -119,10 +121,10 @@ Sender = Callable[[str, str, str | None, str], int]
 
 
 def attempt(requests: DataFrame, sender: Sender, at) -> DataFrame:
-    """Attempt rows of calling ``sender(url, body, signature, delivery_id) -> status``.
+    """Attempt rows of calling ``sender(url, body, signature, delivery_id) -> status``, sent and stored.
 
-    ``requests`` should be a stored table: a lost executor repeats its calls, and the
-    delivery id lets the receiver tell.
+    The calls are made once, here: what is returned is the stored table, which later actions only
+    read. A lost executor repeats its calls, and the delivery id lets the receiver tell.
     """
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,25 +132,53 @@ def attempt(requests: DataFrame, sender: Sender, at) -> DataFrame:
             results = []
             for row in batch.itertuples(index=False):
                 try:
-                    status, error = int(sender(row.url, row.body, row.signature, row.delivery_id)), ""
+                    status = int(sender(row.url, row.body, row.signature, row.delivery_id))
+                    error = "" if 200 <= status <= 299 else failure(status, row.channel_type)
                 except Exception as problem:
                     status, error = 0, str(problem)
                 results.append((row.delivery_id, row.attempts + 1, status, error))
             yield pd.DataFrame(results, columns=["delivery_id", "attempt", "response_status", "error_message"])
 
-    sent = requests.select("delivery_id", "attempts", "url", "body", "signature").mapInPandas(
+    sent = requests.select("delivery_id", "attempts", "channel_type", "url", "body", "signature").mapInPandas(
         call, "delivery_id string, attempt int, response_status int, error_message string"
     )
-    return sent.withColumn("at", instant(at))
+    return materialized(sent.withColumn("at", instant(at)), "attempts")
+
+
+def deliver(planned: DataFrame, sender: Sender, times: list, max_attempts: int = model.MAX_ATTEMPTS) -> tuple[DataFrame, DataFrame]:
+    """Deliveries and all attempts after a round of sending at each of ``times``.
+
+    A round sends what is pending and due by then. Requests are built once and stored.
+    """
+    deliveries = materialized(planned, "deliveries")
+    requests = materialized(build_requests(deliveries).drop("attempts"), "requests")
+    attempts = None
+    for at in times:
+        if attempts is None:
+            waiting = deliveries.select("id", "attempts")
+        else:
+            waiting = due(fold_attempts(deliveries, attempts, max_attempts), at).select("id", "attempts")
+        sent = attempt(requests.join(waiting.withColumnRenamed("id", "delivery_id"), "delivery_id"), sender, at)
+        attempts = sent if attempts is None else attempts.unionByName(sent)
+    return fold_attempts(deliveries, attempts, max_attempts), attempts
 
 
 def succeeded(status: Column) -> Column:
     return status.between(200, 299)
 
 
+# How a refused attempt is told.
+CHAT_SENDER, HOOK_SENDER, REFUSED = "slack webhook", "webhook", " responded with HTTP "
+
+
+def failure(status: int, channel_type: str) -> str:
+    return f"{CHAT_SENDER if channel_type == CHAT_TYPE else HOOK_SENDER}{REFUSED}{status}"
+
+
 def failure_text(status: Column, channel_type: Column) -> Column:
-    sender = F.when(channel_type == CHAT_TYPE, "slack webhook").otherwise("webhook")
-    return F.concat(sender, F.lit(" responded with HTTP "), status.cast("string"))
+    """``failure`` as a column."""
+    sender = F.when(channel_type == CHAT_TYPE, CHAT_SENDER).otherwise(HOOK_SENDER)
+    return F.concat(sender, F.lit(REFUSED), status.cast("string"))
 
 
 def fold_attempts(deliveries: DataFrame, attempts: DataFrame, max_attempts: int = model.MAX_ATTEMPTS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse import model
 from fleetpulse.functions.clock import instant
-from fleetpulse.functions.text import blank, empty_to_null, stable_id
+from fleetpulse.functions.text import blank, empty_to_null, stable_id, stripped
 
 REGISTRATION_FIELDS = ["id", "name", "hostname", "os", "arch", "version"]
 RULE_FIELDS = [
@@ -63,6 +63,12 @@ def by_id(df: DataFrame, row_id: str, key: str = "id") -> DataFrame:
     return df.where(F.col(key) == row_id)
 
 
+def by_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Rows of the ids asked for, and the ids that have no row; an id asked for twice counts once."""
+    wanted = ids.select(F.col("id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return df.join(wanted, key, "left_semi"), wanted.join(df.select(key), key, "left_anti")
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
     """A small fixed table. Through Arrow it becomes a local relation, whose size is known."""
     return spark.createDataFrame(pa.table({name: list(values) for name, values in zip(columns, zip(*rows))}))
@@ -93,12 +99,21 @@ def seed_rules(rules: DataFrame, as_of) -> DataFrame:
     return defaults.join(rules.select("id"), "id", "left_anti").unionByName(rules)
 
 
+def once(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row per id: of several the least, by all columns in order."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*").select(df.columns)
+
+
 def _with_severity(requests: DataFrame) -> DataFrame:
     return requests.withColumn("severity", F.coalesce(empty_to_null(F.col("severity")), F.lit(model.DEFAULT_SEVERITY)))
 
 
 def new_rules(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Rules to create, and the requests refused for a blank name, metric or operator."""
+    """Rules to create, and the requests refused for a blank name, metric or operator.
+
+    Requests that lead to one id make one rule.
+    """
     refused = blank(F.col("name")) | blank(F.col("metric")) | blank(F.col("operator"))
     made_id = stable_id(F.concat(F.lit("rule-"), F.col("metric")), *[F.col(c) for c in RULE_FIELDS])
     accepted = (
@@ -108,7 +123,7 @@ def new_rules(requests: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
         .withColumn("updated_at", instant(as_of))
         .select(*model.RULE.names)
     )
-    return accepted, requests.where(refused)
+    return once(accepted), requests.where(refused)
 
 
 def update_rules(rules: DataFrame, requests: DataFrame, as_of) -> DataFrame:
@@ -128,26 +143,30 @@ def update_rules(rules: DataFrame, requests: DataFrame, as_of) -> DataFrame:
 
 
 def normalize_channels(requests: DataFrame, as_of) -> DataFrame:
-    """Channel requests trimmed and defaulted, with ``reject_reason`` for the unusable ones."""
-    url = F.trim("url")
+    """Channel requests trimmed and defaulted, with ``reject_reason`` for the unusable ones.
+
+    Requests with equal name, address and type are one channel.
+    """
+    url = stripped(F.col("url"))
     scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    kind = F.coalesce(empty_to_null(F.trim("type")), F.lit("webhook"))
+    kind = F.coalesce(empty_to_null(stripped(F.col("type"))), F.lit("webhook"))
     no_address = F.coalesce(scheme == "", F.lit(True)) | F.coalesce(F.try_parse_url(url, F.lit("HOST")) == "", F.lit(True))
     reason = (
-        F.when(blank(F.col("name")), "name is required")
-        .when(blank(F.col("url")), "url is required")
-        .when(no_address, "url must be a valid http or https URL")
-        .when(~scheme.isin("http", "https"), "url must use http or https")
-        .when(~kind.isin(*model.CHANNEL_TYPES), "type must be either webhook or slack_webhook")
+        F.when(blank(F.col("name")), "missing_name")
+        .when(blank(F.col("url")), "missing_url")
+        .when(no_address, "bad_url")
+        .when(~scheme.isin("http", "https"), "bad_scheme")
+        .when(~kind.isin(*model.CHANNEL_TYPES), "bad_type")
     )
-    return requests.select(
+    channels = requests.select(
         stable_id("chan", F.col("name"), F.col("url"), F.col("type")).alias("id"),
-        F.trim("name").alias("name"),
+        stripped(F.col("name")).alias("name"),
         kind.alias("type"),
         F.concat(scheme, F.substr(url, F.length(scheme) + 1)).alias("url"),
-        F.coalesce(F.trim("secret"), F.lit("")).alias("secret"),
+        F.coalesce(stripped(F.col("secret")), F.lit("")).alias("secret"),
         F.coalesce("enabled", F.lit(True)).alias("enabled"),
         instant(as_of).alias("created_at"),
         instant(as_of).alias("updated_at"),
         reason.alias("reject_reason"),
     )
+    return once(channels)

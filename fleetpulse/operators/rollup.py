@@ -26,9 +26,9 @@ def rollup_measures(telemetry: DataFrame, strict_cast: bool = False) -> DataFram
         "timestamp",
         N.sql_number(m, model.CPU_PATH, strict_cast).alias("cpu"),
         N.sql_number(m, model.MEMORY_PATH, strict_cast).alias("memory"),
-        N.root_partition_percent(m, model.PARTITIONS_PATH).alias("disk"),
-        N.sum_whole(m, model.INTERFACES_PATH, "bytes_recv").alias("received"),
-        N.sum_whole(m, model.INTERFACES_PATH, "bytes_sent").alias("sent"),
+        N.root_partition_percent(m, model.PARTITIONS_PATH, strict_cast).alias("disk"),
+        N.sum_whole(m, model.INTERFACES_PATH, "bytes_recv", strict_cast).alias("received"),
+        N.sum_whole(m, model.INTERFACES_PATH, "bytes_sent", strict_cast).alias("sent"),
     )
 
 

@@ -24,7 +24,7 @@ def points(telemetry: DataFrame) -> DataFrame:
         N.number_or_zero(m, model.DISK_PATH).alias("disk"),
         N.sum_bytes(m, model.INTERFACES_PATH, "bytes_recv").alias("bytes_received"),
         N.sum_bytes(m, model.INTERFACES_PATH, "bytes_sent").alias("bytes_sent"),
-        N.number_or_zero(m, model.PROCESSES_PATH).cast("int").alias("running_processes"),
+        N.clamped_whole(N.number_or_zero(m, model.PROCESSES_PATH)).alias("running_processes"),
     )
 
 

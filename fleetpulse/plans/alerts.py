@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import alerting as A
 from fleetpulse.operators import incidents as I
-from fleetpulse.plans.common import TELEMETRY_SQL, Entry
+from fleetpulse.plans.common import TELEMETRY_SQL, Entry, id_sql, rules_sql
 from fleetpulse.plans.fleet import HEALTHY, STALE
 from fleetpulse.sources import benchmark_tables as B
 from fleetpulse.sources.tables import materialized
@@ -17,12 +17,12 @@ HOLD_SECONDS = 21600
 TICK_START, TICK_STEP, TICK_COUNT = datetime(2024, 1, 1, 12), 12 * 3600, 60
 
 
-def evaluations(spark, sf_dir, dense=False):
-    return A.evaluate(A.metric_samples(B.telemetry(spark, sf_dir, dense)), B.rules(spark, HOLD_SECONDS))
+def evaluations(spark, sf_dir):
+    return A.evaluate(A.metric_samples(B.telemetry(spark, sf_dir)), B.rules(spark, HOLD_SECONDS))
 
 
-def alerts(spark, sf_dir, dense=False):
-    return A.alerts(A.alert_episodes(evaluations(spark, sf_dir, dense)), B.rules(spark, HOLD_SECONDS))
+def alerts(spark, sf_dir):
+    return A.alerts(A.alert_episodes(evaluations(spark, sf_dir)), B.rules(spark, HOLD_SECONDS))
 
 
 def stored_alerts(spark, sf_dir):
@@ -35,7 +35,7 @@ def rule_evaluation(spark, sf_dir):
 
 
 def alert_lifecycle(spark, sf_dir):
-    return alerts(spark, sf_dir, dense=True)
+    return alerts(spark, sf_dir)
 
 
 def alert_lifecycle_sustained(spark, sf_dir):
@@ -51,7 +51,10 @@ def alert_offline(spark, sf_dir):
 
 
 def ack_commands(alerts):
-    """Commands on every alert: too early, twice in time or after the fact, and one astray."""
+    """Commands on every alert: too early, twice in time or after the fact, and one astray.
+
+    Disk alerts get none in time, so some open alerts stay firing.
+    """
     at = F.col("started_at")
     minute = lambda n: F.timestamp_add("MINUTE", F.lit(n), at)
     command = lambda seq, when, user, comment, suffix="": F.struct(
@@ -65,7 +68,8 @@ def ack_commands(alerts):
         command(4, F.coalesce("resolved_at", minute(60)), "late", "after"),
         command(5, minute(5), "bob", "lost", "-unknown"),
     )
-    return alerts.select("id", F.explode(commands).alias("c")).select(
+    sent = alerts.select("id", "rule_id", F.explode(commands).alias("c"))
+    return sent.where(~((F.col("rule_id") == "rule-disk-high") & F.col("c.seq").isin(2, 3))).select(
         F.concat("id", "c.suffix").alias("alert_id"), "c.seq", "c.at", "c.user", "c.comment"
     )
 
@@ -94,11 +98,17 @@ def alerts_enriched(spark, sf_dir):
 
 
 def alerts_active(spark, sf_dir):
-    return I.active_alerts(I.list_alerts(acknowledged(spark, sf_dir), B.rules(spark), status="acknowledged")).select(
-        "id", "rule_name", "severity", "acknowledged_at"
+    return I.active_alerts(I.list_alerts(acknowledged(spark, sf_dir), B.rules(spark))).select(
+        "id", "rule_name", "severity", "status", "acknowledged_at"
     )
 
 
+def rule_comparators(spark, sf_dir):
+    """Every comparator and an unknown one over all disk samples."""
+    samples = A.metric_samples(B.telemetry(spark, sf_dir)).where(F.col("metric") == "disk_usage")
+    return A.evaluate(samples, B.comparator_rules(spark)).select("rule_id", "agent_id", "id", "breaching")
+
+
 def comment_requests(spark, sf_dir, alerts):
     """Conversations as comments on the first alert of the agent with the same number."""
     first = alerts.groupBy("agent_id").agg(F.min_by("id", F.struct("started_at", "id")).alias("alert_id"))
@@ -110,7 +120,7 @@ def comment_requests(spark, sf_dir, alerts):
         .select(
             F.coalesce("alert_id", F.lit("alert-none")).alias("alert_id"),
             F.when(F.col("role") == "system", "").otherwise(F.col("role")).alias("author_id"),
-            F.when(turn % 5 == 4, "   ").otherwise(F.col("text")).alias("comment"),
+            F.when(turn % 5 == 4, " \t\n").otherwise(F.col("text")).alias("comment"),
             F.timestamp_add("MINUTE", (F.col("conv_id") * 10 + turn).cast("int"), A.instant("2024-02-01T00:00:00")).alias("at"),
             turn.alias("seq"),
         )
@@ -128,21 +138,18 @@ def comment_threads(spark, sf_dir):
 
 RULES_SQL = f"""
 rules(rule_id, rule_name, metric, op, threshold, hold, severity) AS (VALUES
-  ('rule-cpu-high', 'High CPU Usage', 'cpu_usage', '>', 80.0, 0, 'warning'),
-  ('rule-mem-high', 'High Memory Usage', 'memory_usage', '>', 85.0, 0, 'warning'),
-  ('rule-disk-high', 'High Disk Usage', 'disk_usage', '>', 90.0, 0, 'warning'),
-  ('rule-agent-offline', 'Agent Offline', 'agent_offline', '==', 1.0, 0, 'warning'),
+  {rules_sql()},
   ('rule-cpu-sustained', 'Sustained CPU', 'cpu_usage', '>', 20.0, {HOLD_SECONDS}, 'critical')
 )"""
 
 
-def evaluations_sql(agent: str = "agent_id") -> str:
-    return f"""
+def evaluations_sql() -> str:
+    return """
 samples AS (
-  SELECT {agent} AS agent_id, id, ts AS clock, 'cpu_usage' AS metric, cpu_strict AS value FROM telemetry
+  SELECT agent_id, id, ts AS clock, 'cpu_usage' AS metric, cpu_strict AS value FROM telemetry
   WHERE cpu_strict IS NOT NULL
-  UNION ALL SELECT {agent}, id, ts, 'memory_usage', memory FROM telemetry
-  UNION ALL SELECT {agent}, id, ts, 'disk_usage', disk FROM telemetry
+  UNION ALL SELECT agent_id, id, ts, 'memory_usage', memory FROM telemetry
+  UNION ALL SELECT agent_id, id, ts, 'disk_usage', disk FROM telemetry
 ), evals AS (
   SELECT rule_id, agent_id, clock, id, value, value > threshold AS breaching, hold AS hold_seconds
   FROM samples JOIN rules USING (metric)
@@ -166,9 +173,9 @@ grouped AS (
     ON c.rule_id = f.rule_id AND c.agent_id = f.agent_id AND c.g = f.g + 1
 )"""
 
-ALERTS_SQL = """
+ALERTS_SQL = f"""
 alerts AS (
-  SELECT 'alert-' || substr(sha256(concat_ws('|', rule_id, agent_id, epoch_us(started_at), started_id)), 1, 24) AS id,
+  SELECT {id_sql("'alert'", 'rule_id', 'agent_id', 'epoch_us(started_at)', 'started_id')} AS id,
     rule_id, agent_id, CASE WHEN resolved_at IS NULL THEN 'firing' ELSE 'resolved' END AS status,
     started_at, resolved_at, started_value, coalesce(resolved_value, started_value) AS last_value,
     printf('[%s] %s: %.1f %s %.1f', severity, rule_name, started_value, op, threshold) AS message,
@@ -179,8 +186,8 @@ alerts AS (
 ACKS_SQL = """
 commands AS (
   SELECT id AS alert_id, 1 AS seq, started_at - INTERVAL 1 MINUTE AS "at", 'early' AS who, 'too early' AS note FROM alerts
-  UNION ALL SELECT id, 2, started_at + INTERVAL 30 MINUTE, '', 'looking' FROM alerts
-  UNION ALL SELECT id, 3, started_at + INTERVAL 31 MINUTE, 'alice', 'me too' FROM alerts
+  UNION ALL SELECT id, 2, started_at + INTERVAL 30 MINUTE, '', 'looking' FROM alerts WHERE rule_id <> 'rule-disk-high'
+  UNION ALL SELECT id, 3, started_at + INTERVAL 31 MINUTE, 'alice', 'me too' FROM alerts WHERE rule_id <> 'rule-disk-high'
   UNION ALL SELECT id, 4, coalesce(resolved_at, started_at + INTERVAL 60 MINUTE), 'late', 'after' FROM alerts
   UNION ALL SELECT id || '-unknown', 5, started_at + INTERVAL 5 MINUTE, 'bob', 'lost' FROM alerts
 ), winners AS (
@@ -195,17 +202,17 @@ commands AS (
   FROM alerts a LEFT JOIN winners w ON w.alert_id = a.id
 )"""
 
-COMMENTS_SQL = """
+COMMENTS_SQL = f"""
 requests AS (
   SELECT coalesce(f.alert_id, 'alert-none') AS alert_id, CASE WHEN role = 'system' THEN 'operator' ELSE role END AS author_id,
-    CASE WHEN turn % 5 = 4 THEN '   ' ELSE text END AS comment,
+    CASE WHEN turn % 5 = 4 THEN ' ' || chr(9) || chr(10) ELSE text END AS comment,
     TIMESTAMP '2024-02-01 00:00:00' + to_minutes(conv_id * 10 + turn) AS "at", turn AS seq
   FROM conversations c LEFT JOIN (SELECT agent_id, arg_min(id, (started_at, id)) AS alert_id FROM alerts GROUP BY agent_id) f
     ON f.agent_id = 'agent-' || c.conv_id
 ), comments AS (
-  SELECT 'cmt-' || substr(sha256(concat_ws('|', alert_id, epoch_us("at"), seq)), 1, 24) AS id,
+  SELECT {id_sql("'cmt'", 'alert_id', 'epoch_us("at")', 'seq')} AS id,
     alert_id, author_id, comment, "at" AS created_at
-  FROM requests WHERE trim(comment) <> '' AND alert_id IN (SELECT id FROM alerts)
+  FROM requests WHERE trim(comment, ' ' || chr(9) || chr(10)) <> '' AND alert_id IN (SELECT id FROM alerts)
 )"""
 
 BASE_SQL = f"WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql()}"
@@ -224,7 +231,7 @@ WITH {RULES_SQL}, ticks AS (
   FROM customer CROSS JOIN ticks t LEFT JOIN events e ON e.user_id = c_custkey
   GROUP BY ALL
 ), evals AS (
-  SELECT rule_id, agent_id, clock, id, breaching, hold AS hold_seconds, CASE WHEN breaching THEN 1.0 ELSE 0.0 END AS value
+  SELECT rule_id, agent_id, clock, id, breaching, hold AS hold_seconds, CASE WHEN breaching THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
   FROM (SELECT *, seen IS NULL OR (epoch_us(clock) - epoch_us(seen)) // 1000000 >= {STALE} AS breaching FROM states),
     (SELECT * FROM rules WHERE metric = 'agent_offline')
 ), {EPISODES_SQL}
@@ -236,9 +243,9 @@ QUERIES = {
     ),
     "alert_lifecycle": Entry(
         alert_lifecycle,
-        f"""WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql('dense_agent_id')}, {EPISODES_SQL}, {ALERTS_SQL}
+        f"""WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql()}, {EPISODES_SQL}, {ALERTS_SQL}
 SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_value, 9) AS started_value,
-  round(last_value, 9) AS last_value, message, created_at FROM alerts""",
+  round(last_value, 9) AS last_value, message, created_at, rule_name, severity FROM alerts""",
     ),
     "alert_lifecycle_sustained": Entry(
         alert_lifecycle_sustained,
@@ -263,7 +270,14 @@ WHERE NOT EXISTS (SELECT 1 FROM winners w WHERE w.alert_id = c.alert_id AND w.se
     ),
     "alerts_active": Entry(
         alerts_active,
-        f"{ALERT_CTES}, {ACKS_SQL} SELECT id, rule_name, severity, acknowledged_at FROM acked WHERE status = 'acknowledged'",
+        f"{ALERT_CTES}, {ACKS_SQL} SELECT id, rule_name, severity, status, acknowledged_at FROM acked WHERE status <> 'resolved'",
+    ),
+    "rule_comparators": Entry(
+        rule_comparators,
+        f"""WITH {TELEMETRY_SQL}
+SELECT 'rule-' || op AS rule_id, agent_id, id, CASE op WHEN '>' THEN disk > 45 WHEN '>=' THEN disk >= 45 WHEN '<' THEN disk < 45
+  WHEN '<=' THEN disk <= 45 WHEN '==' THEN disk = 45 ELSE false END AS breaching
+FROM telemetry, (SELECT unnest(['>', '>=', '<', '<=', '==', '!=']) AS op) WHERE disk IS NOT NULL""",
     ),
     "comment_threads": Entry(comment_threads, f"{ALERT_CTES}, {COMMENTS_SQL} SELECT * FROM comments"),
 }

@@ -73,7 +73,7 @@ def purge_report(spark, sf_dir):
 
 def hourly_rollup_upsert(spark, sf_dir):
     """A rollup stored earlier, brought up to date from the raw rows that retention left."""
-    telemetry = B.telemetry(spark, sf_dir, dense=True)
+    telemetry = B.telemetry(spark, sf_dir)
     stored = U.hourly_rollup(telemetry, EARLIER)
     fresh = U.hourly_rollup(M.retained(telemetry, B.AS_OF, SHORT_DAYS), B.AS_OF)
     return U.replace_rollup(stored, fresh)
@@ -140,8 +140,9 @@ NUMBER_SQL = """CAST(CASE WHEN last_value = floor(last_value) THEN CAST(CAST(las
 def frame_sql(resolved: str) -> str:
     """Bodies list their keys in alphabetical order."""
     return f"""CAST(json_object('type', event_type, 'agent_id', agent_id, 'timestamp', {D.time_sql('"at"')}, 'alert', json_object(
-    'agent_id', agent_id, 'id', alert_id, 'last_value', {NUMBER_SQL}, 'message', message, {resolved}
-    'rule_id', rule_id, 'started_at', {D.time_sql('started_at')}, 'status', status)) AS VARCHAR)"""
+    'agent_id', agent_id, 'created_at', {D.time_sql('created_at')}, 'id', alert_id, 'last_value', {NUMBER_SQL}, 'message', message,
+    {resolved} 'rule_id', rule_id, 'rule_name', rule_name, 'severity', severity, 'started_at', {D.time_sql('started_at')},
+    'status', status, 'updated_at', {D.time_sql('updated_at')})) AS VARCHAR)"""
 
 
 FRAMES_SQL = f"""{A.ALERT_CTES}, {D.EVENTS_SQL}
@@ -152,10 +153,10 @@ FROM occasions"""
 
 UPSERT_SQL = f"""
 WITH {TELEMETRY_SQL}, stored AS (
-  SELECT dense_agent_id AS agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+  SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
   FROM telemetry WHERE ts < date_trunc('hour', TIMESTAMP '{EARLIER}') GROUP BY ALL
 ), fresh AS (
-  SELECT dense_agent_id AS agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+  SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
   FROM telemetry WHERE ts < date_trunc('hour', {AS_OF_SQL}) AND ts >= {AS_OF_SQL} - INTERVAL {SHORT_DAYS} DAY GROUP BY ALL
 )
 SELECT * FROM fresh UNION ALL

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetpulse import model
 from fleetpulse.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +45,23 @@ def registered(query: Query) -> Query:
     return run
 
 
+def id_sql(prefix: str, *parts: str) -> str:
+    """``stable_id`` in SQL; ``prefix`` is a SQL expression too."""
+    key = " || ".join(f"coalesce(length(({p})::VARCHAR) || ':' || ({p})::VARCHAR, '-')" for p in parts)
+    return f"{prefix} || '-' || substr(sha256({key}), 1, 24)"
+
+
+def rules_sql() -> str:
+    """The default rules as SQL rows (id, name, metric, operator, threshold, hold, severity)."""
+    rows = [(i, n, m, o, t) for i, n, m, o, t, _ in model.DEFAULT_RULES]
+    return ",\n  ".join(f"('{i}', '{n}', '{m}', '{o}', {t}, 0, '{model.DEFAULT_SEVERITY}')" for i, n, m, o, t in rows)
+
+
+def strip_sql(c: str) -> str:
+    """Without the kinds of white space that the derived requests have."""
+    return f"trim({c}, ' ' || chr(9) || chr(10) || chr(8195))"
+
+
 # Telemetry straight from the source columns: what the JSON of each event must read as.
 TELEMETRY_SQL = """
 telemetry AS (

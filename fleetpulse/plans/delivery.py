@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import notify as N
 from fleetpulse.plans.alerts import ALERT_CTES, stored_alerts
-from fleetpulse.plans.common import Entry
+from fleetpulse.plans.common import Entry, id_sql
 from fleetpulse.sources import benchmark_tables as B
 from fleetpulse.sources.tables import materialized
 
+ROUNDS = [f"2024-02-01T00:0{n}:00" for n in range(3)]
 DUE_AT = "2024-01-15T00:00:00"
 HEX = "0123456789abcdef"
 
@@ -75,6 +76,11 @@ def delivery_attempts(spark, sf_dir):
     return N.attempt(requests, answer, B.AS_OF)
 
 
+def delivery_rounds(spark, sf_dir):
+    """Sent, sent again when due, until every delivery is delivered or failed."""
+    return N.deliver(planned(spark, sf_dir), answer, ROUNDS)[0].select(*LEDGER_COLUMNS, "next_attempt_at")
+
+
 def delivery_status(spark, sf_dir):
     return ledger(spark, sf_dir).select(*LEDGER_COLUMNS, "next_attempt_at")
 
@@ -96,9 +102,11 @@ def pad_hex(secret: str, constant: int) -> str:
 
 EVENTS_SQL = """
 occasions AS (
-  SELECT id AS alert_id, rule_id, agent_id, started_at, message, 'alert.firing' AS event_type, started_at AS "at",
-    'firing' AS status, started_value AS last_value, NULL::TIMESTAMP AS resolved_at FROM alerts
-  UNION ALL SELECT id, rule_id, agent_id, started_at, message, 'alert.resolved', resolved_at, 'resolved', last_value, resolved_at
+  SELECT id AS alert_id, rule_id, agent_id, rule_name, severity, started_at, message, created_at, 'alert.firing' AS event_type,
+    started_at AS "at", 'firing' AS status, started_value AS last_value, NULL::TIMESTAMP AS resolved_at, started_at AS updated_at
+  FROM alerts
+  UNION ALL SELECT id, rule_id, agent_id, rule_name, severity, started_at, message, created_at, 'alert.resolved',
+    resolved_at, 'resolved', last_value, resolved_at, resolved_at
   FROM alerts WHERE resolved_at IS NOT NULL
 )"""
 
@@ -106,9 +114,9 @@ PLAN_SQL = f"""
 {EVENTS_SQL}, channels(channel_id, type, url) AS (VALUES ('chan-signed', 'webhook', 'https://hooks.example.com/a'),
   ('chan-plain', 'webhook', 'https://hooks.example.com/b'), ('chan-chat', 'slack_webhook', 'https://chat.example.com/c')
 ), deliveries AS (
-  SELECT 'del-' || substr(sha256(concat_ws('|', alert_id, event_type, channel_id)), 1, 24) AS id,
-    'notif-' || substr(sha256(concat_ws('|', alert_id, event_type)), 1, 24) AS notification_id, channel_id, type, url,
-    o.*, "at" AS created_at
+  SELECT {id_sql("'del'", 'alert_id', 'event_type', 'channel_id')} AS id,
+    {id_sql("'notif'", 'alert_id', 'event_type')} AS notification_id, channel_id, type, url,
+    o.* EXCLUDE (created_at), "at" AS created_at, o.created_at AS alert_created_at
   FROM occasions o CROSS JOIN channels
 )"""
 
@@ -125,12 +133,14 @@ bodies AS (
       CASE event_type WHEN 'alert.firing' THEN '🚨' ELSE '✅' END || ' *Notification: ' || event_type || '*' || chr(10)
       || 'Event: `' || event_type || '` | Time: `' || strftime("at", '%Y-%m-%dT%H:%M:%SZ') || '`') AS VARCHAR)
     WHEN resolved_at IS NULL THEN CAST(json_object('id', notification_id, 'event', event_type, 'timestamp', {time_sql('"at"')},
-      'alert', json_object('id', alert_id, 'rule_id', rule_id, 'agent_id', agent_id, 'status', status,
-        'started_at', {time_sql('started_at')}, 'last_value', last_value, 'message', message)) AS VARCHAR)
+      'alert', json_object('id', alert_id, 'rule_id', rule_id, 'agent_id', agent_id, 'rule_name', rule_name,
+        'severity', severity, 'status', status, 'started_at', {time_sql('started_at')}, 'last_value', last_value,
+        'message', message, 'created_at', {time_sql('alert_created_at')}, 'updated_at', {time_sql('updated_at')})) AS VARCHAR)
     ELSE CAST(json_object('id', notification_id, 'event', event_type, 'timestamp', {time_sql('"at"')},
-      'alert', json_object('id', alert_id, 'rule_id', rule_id, 'agent_id', agent_id, 'status', status,
-        'started_at', {time_sql('started_at')}, 'resolved_at', {time_sql('resolved_at')},
-        'last_value', last_value, 'message', message)) AS VARCHAR) END AS body
+      'alert', json_object('id', alert_id, 'rule_id', rule_id, 'agent_id', agent_id, 'rule_name', rule_name,
+        'severity', severity, 'status', status, 'started_at', {time_sql('started_at')}, 'resolved_at', {time_sql('resolved_at')},
+        'last_value', last_value, 'message', message, 'created_at', {time_sql('alert_created_at')},
+        'updated_at', {time_sql('updated_at')})) AS VARCHAR) END AS body
   FROM deliveries
 )"""
 
@@ -171,7 +181,17 @@ FROM bodies WHERE channel_id = 'chan-signed'""",
         delivery_attempts,
         f"""{ALERT_CTES}, {LEDGER_SQL} SELECT id AS delivery_id, 1 AS attempt,
   CASE WHEN kind = 0 THEN 200 WHEN kind = 4 THEN 0 ELSE 503 END AS response_status,
-  CASE WHEN kind = 4 THEN 'no answer' ELSE '' END AS error_message, TIMESTAMP '2024-01-31 00:30:00' AS "at" FROM kinds""",
+  CASE WHEN kind = 4 THEN 'no answer' WHEN kind = 0 THEN '' WHEN type = 'slack_webhook' THEN 'slack webhook responded with HTTP 503'
+    ELSE 'webhook responded with HTTP 503' END AS error_message, TIMESTAMP '2024-01-31 00:30:00' AS "at" FROM kinds""",
+    ),
+    "delivery_rounds": Entry(
+        delivery_rounds,
+        f"""{ALERT_CTES}, {LEDGER_SQL} SELECT id, channel_id, alert_id, event_type, created_at, CASE WHEN kind = 0 THEN 1 ELSE 3 END AS attempts,
+  CASE WHEN kind = 0 THEN 'delivered' ELSE 'failed' END AS status,
+  CASE WHEN kind = 0 THEN 200 WHEN kind = 4 THEN 0 ELSE 503 END AS response_status,
+  CASE WHEN kind = 4 THEN 'no answer' WHEN kind = 0 THEN '' WHEN type = 'slack_webhook' THEN 'slack webhook responded with HTTP 503'
+    ELSE 'webhook responded with HTTP 503' END AS error_message,
+  CASE WHEN kind = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS sent_at, NULL::TIMESTAMP AS next_attempt_at FROM kinds""",
     ),
     "delivery_status": Entry(
         delivery_status, f"{ALERT_CTES}, {LEDGER_SQL} SELECT {LEDGER_OUT_SQL}, next_attempt_at FROM ledger"

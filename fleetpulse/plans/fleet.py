@@ -88,7 +88,7 @@ SELECT {columns} FROM ranked WHERE rn <= {n}"""
 RANGE_SQL = f"ts BETWEEN TIMESTAMP '{RANGE_START}' AND TIMESTAMP '{RANGE_END}'"
 WEEK_SQL = f"ts BETWEEN {AS_OF_SQL} - INTERVAL 7 DAY AND {AS_OF_SQL}"
 POINT_SQL = """ts AS timestamp, round(cpu_zero, 9) AS cpu, memory, disk, received AS bytes_received,
-  sent AS bytes_sent, CAST(processes AS INTEGER) AS running_processes, '7d' AS range"""
+  sent AS bytes_sent, CAST(processes AS BIGINT) AS running_processes, '7d' AS range"""
 
 SUMMARY_SQL = f"""
 WITH {TELEMETRY_SQL}

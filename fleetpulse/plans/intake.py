@@ -8,7 +8,7 @@ from fleetpulse.functions import documents as D
 from fleetpulse.functions import numbers as N
 from fleetpulse.operators import ingest as G
 from fleetpulse.operators import registry as R
-from fleetpulse.plans.common import Entry
+from fleetpulse.plans.common import Entry, id_sql, rules_sql, strip_sql
 from fleetpulse.sources import benchmark_tables as B
 
 
@@ -29,7 +29,7 @@ def payloads(spark, sf_dir):
     metrics = B.metrics_text(F.col("event_id"), F.col("value"), F.col("props"))
 
     agent = (
-        F.when(kind == 2, field("agent_id", F.lit('"  "')))
+        F.when(kind == 2, field("agent_id", F.lit('" \\t\\n"')))
         .when(kind == 4, field("agent_id", F.lit("17")))
         .when(kind == 11, field("agent_id", F.lit('"agent-other"')))
         .when(kind != 3, field("agent_id", quoted(own)))
@@ -54,7 +54,7 @@ def payloads(spark, sf_dir):
         .when(kind == 16, F.concat(whole, F.lit(" trailing words")))
         .otherwise(whole)
     )
-    return B.spread(B.table(spark, sf_dir, "events")).select(
+    return B.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), own.alias("target_id"), text.alias("payload"), B.as_utc(F.col("ts")).alias("created_at")
     )
 
@@ -76,12 +76,12 @@ def ingest_rejected(spark, sf_dir):
 
 def telemetry_of_known_agents(spark, sf_dir):
     rows = B.telemetry(spark, sf_dir).select("id", "agent_id", "timestamp")
-    return G.known_agents(rows, registered_agents(spark, sf_dir), spread_by=["id"])
+    return G.known_agents(rows, registered_agents(spark, sf_dir))
 
 
 def telemetry_of_unknown_agents(spark, sf_dir):
     rows = B.telemetry(spark, sf_dir).select("id", "agent_id", "timestamp")
-    return G.known_agents(rows, registered_agents(spark, sf_dir), known=False, spread_by=["id"])
+    return G.known_agents(rows, registered_agents(spark, sf_dir), known=False)
 
 
 def registrations(spark, sf_dir):
@@ -118,13 +118,29 @@ def agent_documents(spark, sf_dir):
     return agents.select("id", F.to_json(D.agent_document(agents.columns)).alias("document"))
 
 
+def agents_by_ids(spark, sf_dir):
+    """The agents that events name, and the names without an agent."""
+    asked = B.table(spark, sf_dir, "events").select(F.concat(F.lit("agent-"), F.col("user_id").cast("string")).alias("id"))
+    found, missing = R.by_ids(registered_agents(spark, sf_dir), asked)
+    return found.select("id", "name").unionByName(missing.withColumn("name", F.lit(None).cast("string")))
+
+
+def rules_listed(spark, sf_dir):
+    return R.oldest_first(R.seed_rules(stored_rules(spark, sf_dir), B.AS_OF)).select("id", "created_at")
+
+
+def channels_listed(spark, sf_dir):
+    channels = R.normalize_channels(channel_requests(spark, sf_dir), B.AS_OF).where("reject_reason IS NULL")
+    return R.oldest_first(channels).select("id", "name", "type")
+
+
 def rule_requests(spark, sf_dir):
     """Parts as rule requests: names, metrics and operators of all kinds, some blank."""
     size = F.col("p_size")
     operators = F.array(*[F.lit(o) for o in (">", ">=", "<", "<=", "==", " ")])
     return B.table(spark, sf_dir, "part").select(
         F.when(size % 3 == 0, "").otherwise(F.concat(F.lit("rule-"), F.col("p_partkey").cast("string"))).alias("id"),
-        F.when(size % 11 == 0, "  ").otherwise(F.col("p_name")).alias("name"),
+        F.when(size % 11 == 0, " \t\n").otherwise(F.col("p_name")).alias("name"),
         F.lower("p_type").alias("metric"),
         F.element_at(operators, (size % 6) + 1).alias("operator"),
         F.col("p_retailprice").alias("threshold"),
@@ -171,18 +187,19 @@ def rules_seeded(spark, sf_dir):
 
 
 def channel_requests(spark, sf_dir):
-    """Pages as channel requests: their own URLs, some spoilt, and all kinds of types."""
+    """Pages as channel requests: their own URLs, some spoilt, all kinds of types, some sent twice."""
     page = F.col("page_id")
     kind = page % 12
     url = (
-        F.when(kind == 0, "  ")
+        F.when(kind == 0, " \u2003\n")
         .when(kind == 1, F.concat(F.lit("ftp://files.example.com/"), page.cast("string")))
         .when(kind == 2, F.concat(F.lit("not-a-url-"), page.cast("string")))
         .when(kind == 3, F.concat(F.lit("HTTPS://Hooks.example.com/"), page.cast("string")))
         .otherwise(F.concat(F.lit(" "), F.col("url"), F.lit(" ")))
     )
-    types = F.array(F.lit("webhook"), F.lit("slack_webhook"), F.lit(""), F.lit("pager"), F.lit(" webhook "))
-    return B.table(spark, sf_dir, "pages").select(
+    types = F.array(F.lit("webhook"), F.lit("slack_webhook"), F.lit("\t"), F.lit("pager"), F.lit(" webhook\n"))
+    times = F.when(page % 9 == 0, 2).otherwise(1)
+    return B.table(spark, sf_dir, "pages").withColumn("_time", F.explode(F.sequence(F.lit(1), times))).select(
         page.alias("page_id"),
         F.when(page % 13 == 0, " ").otherwise(F.concat(F.lit(" page "), page.cast("string"))).alias("name"),
         F.element_at(types, (page % 5 + 1).cast("int")).alias("type"),
@@ -238,22 +255,24 @@ FROM (SELECT * FROM agents WHERE c_mktsegment <> 'BUILDING') o FULL JOIN newest
 RULE_REQUESTS_SQL = """
 requests AS (
   SELECT p_partkey, p_brand, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'rule-' || p_partkey END AS id,
-    CASE WHEN p_size % 11 = 0 THEN '  ' ELSE p_name END AS name, lower(p_type) AS metric,
+    CASE WHEN p_size % 11 = 0 THEN ' ' || chr(9) || chr(10) ELSE p_name END AS name, lower(p_type) AS metric,
     [ '>', '>=', '<', '<=', '==', ' '][p_size % 6 + 1] AS operator, p_retailprice AS threshold,
     p_size AS duration_seconds, p_size * 2 AS for_duration_seconds,
     CASE WHEN p_size % 2 = 0 THEN 'warning' ELSE 'critical' END AS severity, p_size % 4 <> 0 AS enabled,
     CASE WHEN p_size % 2 = 0 THEN '' ELSE 'critical' END AS asked_severity
   FROM part
-), valid AS (SELECT * FROM requests WHERE trim(name) <> '' AND trim(operator) <> '')"""
+), valid AS (SELECT * FROM requests WHERE trim(name, ' ' || chr(9) || chr(10)) <> '' AND trim(operator) <> '')"""
 
 RULE_OUT_SQL = "name, metric, operator, round(threshold, 9) AS threshold, for_duration_seconds, severity, enabled"
 
 # The made-up id hashes the request; numbers are spelt the way Spark casts them to text.
+RULE_ID_SQL = id_sql(
+    "'rule-' || metric", "name", "metric", "operator", "CAST(threshold AS VARCHAR)", "duration_seconds", "for_duration_seconds", "0",
+    "severity", "CASE WHEN enabled THEN 'true' ELSE 'false' END",
+)
 RULES_SQL = f"""
 WITH {RULE_REQUESTS_SQL}
-SELECT CASE WHEN id <> '' THEN id ELSE 'rule-' || metric || '-' || substr(sha256(concat_ws('|', name, metric, operator,
-    CAST(threshold AS VARCHAR), duration_seconds, for_duration_seconds, 0, severity,
-    CASE WHEN enabled THEN 'true' ELSE 'false' END)), 1, 24) END AS id, {RULE_OUT_SQL}
+SELECT DISTINCT CASE WHEN id <> '' THEN id ELSE {RULE_ID_SQL} END AS id, {RULE_OUT_SQL}
 FROM valid"""
 
 RULES_UPDATED_SQL = f"""
@@ -266,27 +285,25 @@ FROM valid"""
 RULES_SEEDED_SQL = f"""
 WITH {RULE_REQUESTS_SQL}
 SELECT 'rule-' || p_partkey AS id, name, metric, round(threshold, 9) AS threshold, severity FROM valid
-UNION ALL SELECT * FROM (VALUES ('rule-cpu-high', 'High CPU Usage', 'cpu_usage', 80.0, 'warning'),
-  ('rule-mem-high', 'High Memory Usage', 'memory_usage', 85.0, 'warning'),
-  ('rule-disk-high', 'High Disk Usage', 'disk_usage', 90.0, 'warning'),
-  ('rule-agent-offline', 'Agent Offline', 'agent_offline', 1.0, 'warning'))"""
+UNION ALL SELECT id, name, metric, threshold, severity FROM (VALUES
+  {rules_sql()}) defaults(id, name, metric, operator, threshold, hold, severity)"""
 
-CHANNELS_SQL = """
+CHANNELS_SQL = f"""
 WITH requests AS (
   SELECT page_id, CASE WHEN page_id % 13 = 0 THEN ' ' ELSE ' page ' || page_id END AS name,
-    ['webhook', 'slack_webhook', '', 'pager', ' webhook '][page_id % 5 + 1] AS type,
-    CASE page_id % 12 WHEN 0 THEN '  ' WHEN 1 THEN 'ftp://files.example.com/' || page_id
+    ['webhook', 'slack_webhook', chr(9), 'pager', ' webhook' || chr(10)][page_id % 5 + 1] AS type,
+    CASE page_id % 12 WHEN 0 THEN ' ' || chr(8195) || chr(10) WHEN 1 THEN 'ftp://files.example.com/' || page_id
       WHEN 2 THEN 'not-a-url-' || page_id WHEN 3 THEN 'HTTPS://Hooks.example.com/' || page_id
       ELSE ' ' || url || ' ' END AS url
   FROM pages
 )
-SELECT 'chan-' || substr(sha256(concat_ws('|', name, url, type)), 1, 24) AS id, trim(name) AS name,
-  coalesce(nullif(trim(type), ''), 'webhook') AS type,
-  CASE page_id % 12 WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'https://Hooks.example.com/' || page_id ELSE trim(url) END AS url,
+SELECT DISTINCT {id_sql("'chan'", 'name', 'url', 'type')} AS id, {strip_sql('name')} AS name,
+  coalesce(nullif({strip_sql('type')}, ''), 'webhook') AS type,
+  CASE page_id % 12 WHEN 0 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'https://Hooks.example.com/' || page_id ELSE {strip_sql('url')} END AS url,
   CASE WHEN page_id % 2 = 0 THEN 's-' || page_id ELSE '' END AS secret, page_id % 7 <> 0 AS enabled,
-  CASE WHEN trim(name) = '' THEN 'name is required' WHEN trim(url) = '' THEN 'url is required'
-    WHEN page_id % 12 = 2 THEN 'url must be a valid http or https URL' WHEN page_id % 12 = 1 THEN 'url must use http or https'
-    WHEN trim(type) = 'pager' THEN 'type must be either webhook or slack_webhook' END AS reject_reason
+  CASE WHEN {strip_sql('name')} = '' THEN 'missing_name' WHEN {strip_sql('url')} = '' THEN 'missing_url'
+    WHEN page_id % 12 = 2 THEN 'bad_url' WHEN page_id % 12 = 1 THEN 'bad_scheme'
+    WHEN {strip_sql('type')} = 'pager' THEN 'bad_type' END AS reject_reason
 FROM requests"""
 
 DOCUMENTS_SQL = f"""
@@ -323,11 +340,23 @@ FROM judged WHERE reject_reason IS NOT NULL""",
         """SELECT 'agent-' || user_id AS id, ts AS event_time, event_id AS seq FROM events
 WHERE event_type = 'signup' AND event_id % 17 = 0""",
     ),
+    "agents_by_ids": Entry(
+        agents_by_ids,
+        """SELECT DISTINCT 'agent-' || e.user_id AS id, c.c_name AS name FROM events e
+LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_mktsegment <> 'BUILDING'""",
+    ),
+    "rules_listed": Entry(
+        rules_listed,
+        f"""WITH {RULE_REQUESTS_SQL} SELECT 'rule-' || p_partkey AS id, TIMESTAMP '2024-01-01 00:00:00' AS created_at FROM valid
+UNION ALL SELECT id, TIMESTAMP '2024-01-31 00:30:00' FROM (VALUES
+  {rules_sql()}) defaults(id, name, metric, operator, threshold, hold, severity)""",
+    ),
+    "channels_listed": Entry(channels_listed, f"SELECT id, name, type FROM ({CHANNELS_SQL}) c WHERE reject_reason IS NULL"),
     "agent_documents": Entry(agent_documents, DOCUMENTS_SQL),
     "rules_normalized": Entry(rules_normalized, RULES_SQL),
     "rules_refused": Entry(
         rules_refused,
-        f"WITH {RULE_REQUESTS_SQL} SELECT p_partkey AS seq, name, operator FROM requests WHERE trim(name) = '' OR trim(operator) = ''",
+        f"WITH {RULE_REQUESTS_SQL} SELECT p_partkey AS seq, name, operator FROM requests WHERE trim(name, ' ' || chr(9) || chr(10)) = '' OR trim(operator) = ''",
     ),
     "rules_updated": Entry(rules_updated, RULES_UPDATED_SQL),
     "rules_seeded": Entry(rules_seeded, RULES_SEEDED_SQL),

@@ -20,13 +20,13 @@ ROLLUP_COLUMNS_SQL = """
 
 HOURLY_SQL = f"""
 WITH {TELEMETRY_SQL}
-SELECT dense_agent_id AS agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
 FROM telemetry WHERE ts < date_trunc('hour', {AS_OF_SQL})
 GROUP BY ALL"""
 
 
 def hourly_rollup(spark, sf_dir):
-    return R.hourly_rollup(B.telemetry(spark, sf_dir, dense=True), B.AS_OF)
+    return R.hourly_rollup(B.telemetry(spark, sf_dir), B.AS_OF)
 
 
 QUERIES = {

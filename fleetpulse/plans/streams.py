@@ -11,15 +11,15 @@ from fleetpulse.streaming import alert_stream as L
 from fleetpulse.streaming import rollup_stream as H
 
 
-def telemetry_stream(spark, sf_dir, dense=False):
+def telemetry_stream(spark, sf_dir):
     """The events as a file stream; as a pattern the path may be one file or a folder of them."""
     events = spark.readStream.schema(B.EVENTS).parquet(f"{sf_dir}/events.parque[t]")
-    return B.events_as_telemetry(events, dense)
+    return B.events_as_telemetry(events)
 
 
 def stream_rollup(spark, sf_dir):
     root = scratch_dir(spark, "stream-rollup")
-    rollup = H.hourly_rollup_stream(telemetry_stream(spark, sf_dir, dense=True))
+    rollup = H.hourly_rollup_stream(telemetry_stream(spark, sf_dir))
     H.start_append(rollup, f"{root}/table", f"{root}/checkpoint").awaitTermination()
     return spark.read.schema(rollup.schema).parquet(f"{root}/table")
 
@@ -36,7 +36,7 @@ QUERIES = {
         stream_rollup,
         f"""
 WITH {TELEMETRY_SQL}
-SELECT dense_agent_id AS agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
 FROM telemetry
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
 GROUP BY ALL""",

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "fleetpulse") -> SparkSessi
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()

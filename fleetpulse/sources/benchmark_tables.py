@@ -29,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a table out when it came in fewer splits than there are cores.
-
-    A table of many files or row groups is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def as_utc(c: Column) -> Column:
     return c.cast("timestamp")
 
@@ -85,7 +76,7 @@ def events_as_telemetry(events: DataFrame, dense: bool = False) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return events_as_telemetry(spread(table(spark, sf_dir, "events")), dense)
+    return events_as_telemetry(table(spark, sf_dir, "events"), dense)
 
 
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +121,13 @@ def rules(spark: SparkSession, sustained_seconds: int = 21600) -> DataFrame:
     )
 
 
+def comparator_rules(spark: SparkSession) -> DataFrame:
+    """A disk rule for every comparator, and for one that there is not."""
+    operators = [">", ">=", "<", "<=", "==", "!="]
+    rows = [(f"rule-{o}", "Disk", "disk_usage", o, 45.0, 0, 0, "info", True) for o in operators]
+    return literal_rows(spark, rows, RULE_COLUMNS)
+
+
 def channels(spark: SparkSession) -> DataFrame:
     at = F.lit("2023-12-01T00:00:00Z").cast("timestamp")
     rows = [

@@ -30,7 +30,7 @@ def mark_late(evaluations: DataFrame, state: DataFrame | None) -> DataFrame:
     seen = state.select(*A.PAIR, "last_clock", "last_id")
     newer = F.struct("clock", "id") > F.struct(F.col("last_clock").alias("clock"), F.col("last_id").alias("id"))
     return (
-        lookup(evaluations, seen, A.PAIR, "left", ["clock", "id"])
+        lookup(evaluations, seen, A.PAIR, "left")
         .withColumn("late", F.col("last_clock").isNotNull() & ~newer)
         .drop("last_clock", "last_id")
     )

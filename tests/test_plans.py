@@ -4,9 +4,11 @@ import pytest
 
 import __spark_entry__ as registry
 
+from fleetpulse.plans.registry import entries
+
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = registry.queries()
-PYTHON_SENDER = {"delivery_attempts"}
+QUERIES = {name: registry.queries()[name] for name in entries()}
+PYTHON_SENDER = set()  # the sender ran before its stored attempts are read
 
 
 def plan_of(df) -> str:
@@ -35,3 +37,17 @@ def test_latest_reads_json_only_for_the_rows_found(spark):
 def test_newest_rows_are_cut_before_the_shuffle(spark):
     plan = plan_of(QUERIES["analytics_points"](spark, SF_DIR))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("name", ["telemetry_latest", "telemetry_history"])
+def test_no_json_goes_through_a_shuffle_below_the_join(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(QUERIES[name](spark, SF_DIR))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = plan.index("BroadcastHashJoin")
+    assert "SortMergeJoin" not in plan
+    exchanges = [line for line in plan[join:].split("\n") if "Exchange" in line]
+    assert all("BroadcastExchange" in line for line in exchanges)

@@ -108,28 +108,56 @@ def hot(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_lookup_equals_plain_join(spark, how):
     dim = spark.range(0, 40, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
     plain = hot(spark).join(dim, ["k"], how)
-    for joined in (
-        J.salted_join(hot(spark), dim, ["k"], how, ["id"]),
-        J.lookup(hot(spark), dim, ["k"], how, ["id"]),
-        J.lookup(hot(spark), dim, ["k"], how, ["id"], limit=0),
-    ):
+    for joined in (J.lookup(hot(spark), dim, ["k"], how), J.lookup(hot(spark), dim, ["k"], how, limit=0)):
         assert sorted(map(tuple, joined.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
 
 
-def test_salt_spreads_a_hot_key(spark):
-    dim = spark.range(50).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = J.salted_join(hot(spark).where("k = 0"), dim, ["k"], "inner", ["id"])
-        parts = joined.groupBy(F.spark_partition_id()).count().count()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert parts > 4
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "200",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+}
+
+
+@pytest.fixture
+def skew_settings(spark):
+    before = {k: spark.conf.get(k) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_a_hot_key_is_split_over_tasks(spark, tmp_path, skew_settings):
+    """A third of the rows share a key; 200 partitions. The rows in the fullest task stay near the median."""
+    rows = spark.range(0, 400_000, 1, 32).select(F.xxhash64("id").alias("h"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 20_000).alias("k"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    dim = spark.range(20_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    dim.write.parquet(f"{tmp_path}/dim")
+    left, right = spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/dim")
+    joined = J.lookup(left, right, ["k"], limit=0)
+    tasks = joined.select("h", "v", F.spark_partition_id().alias("p")).groupBy("p")
+    sizes = sorted(r["n"] for r in tasks.agg(F.count("*").alias("n"), F.max("h"), F.max("v")).collect())
+    assert sum(sizes) == 400_000
+    assert sizes[-1] < 30_000, "one task would hold 133,000"
+
+
+def test_uniform_keys_are_not_repeated(spark, skew_settings):
+    dim = spark.range(5000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = J.lookup(spark.range(5000).select(F.col("id").alias("k")), dim, ["k"], limit=0)
+    assert "Generate" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 100])
+def test_pick(spark, limit):
+    narrow = spark.range(0, 40, 2).select(F.col("id").alias("k"), F.lit(7).alias("v"))
+    assert J.pick(hot(spark), narrow, ["k"], "k", limit).count() == hot(spark).join(narrow, "k").count()
 
 
 @pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 0])
@@ -142,6 +170,12 @@ def test_fan_out(spark, limit):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_a_large_fan_out_uses_all_tasks(spark, skew_settings):
+    items = spark.range(400).select(F.col("id").alias("item"))
+    out = J.fan_out(hot(spark), items, "i", 0)
+    assert out.groupBy(F.spark_partition_id()).count().count() > 150
+
+
 def test_fan_out_to_nothing(spark):
     items = spark.range(5).where("id < 0")
     assert J.fan_out(hot(spark), items, "i").count() == 0

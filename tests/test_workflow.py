@@ -15,12 +15,16 @@ from fleetpulse.operators import series as S
 from fleetpulse.operators.registry import literal_rows
 from fleetpulse.streaming import rollup_stream as H
 
-ALERT = "id string, rule_id string, agent_id string, started_at timestamp, resolved_at timestamp, started_value double, last_value double, message string"
+ALERT = "id string, rule_id string, agent_id string, started_at timestamp, resolved_at timestamp, started_value double, last_value double, message string, rule_name string, severity string, created_at timestamp"
 
 
 def alerts(spark, at):
     return spark.createDataFrame(
-        [("x", "r", "a", at(100), at(200), 90.0, 10.0, "m"), ("y", "r", "a", at(300), None, 91.0, 91.0, "m"), ("z", "r", "b", at(0), None, 1.0, 1.0, "m")],
+        [
+            ("x", "r", "a", at(100), at(200), 90.0, 10.0, "m", "Name", "warning", at(100)),
+            ("y", "r", "a", at(300), None, 91.0, 91.0, "m", "Name", "warning", at(300)),
+            ("z", "r", "b", at(0), None, 1.0, 1.0, "m", "Name", "warning", at(0)),
+        ],
         ALERT,
     )
 
@@ -82,6 +86,8 @@ def test_requests(spark, at):
     hooks = [r for r in rows if r.channel_id == "c1"]
     body = next(json.loads(r.body) for r in hooks if r.alert_id == "x" and r.event_type == model.ALERT_RESOLVED)
     assert body["alert"]["resolved_at"].endswith("Z") and body["alert"]["last_value"] == 10.0 and "agent" not in body
+    assert (body["alert"]["rule_name"], body["alert"]["severity"]) == ("Name", "warning")
+    assert body["alert"]["updated_at"] == body["alert"]["resolved_at"] != body["alert"]["created_at"]
     assert all(r.signature.startswith("sha256=") for r in hooks)
     chats = [r for r in rows if r.channel_id == "c2"]
     assert all(r.signature is None and "`alert." in json.loads(r.body)["text"] for r in chats)
@@ -106,7 +112,7 @@ def test_fold(spark, at):
         "id string, status string, attempts int, response_status int, error_message string, created_at timestamp, sent_at timestamp",
     )
     tried = [(f"d{i}", n, code, "" if code < 300 else "e", at(n)) for i, f in enumerate(FOLD) for n, code in enumerate(f[0], 1)]
-    folded = N.fold_attempts(deliveries, spark.createDataFrame(tried, N.ATTEMPT))
+    folded = N.fold_attempts(deliveries, spark.createDataFrame(tried, "delivery_id string, attempt int, response_status int, error_message string, at timestamp"))
     rows = {r.id: r for r in folded.collect()}
     for i, (codes, status, attempts, code, due) in enumerate(FOLD):
         r = rows[f"d{i}"]
@@ -129,6 +135,28 @@ def test_attempts_name_the_error(spark, at):
 
     rows = N.attempt(N.build_requests(planned), sender, at(0)).collect()
     assert {(r.attempt, r.response_status, r.error_message) for r in rows} == {(1, 204, ""), (1, 0, "no route")}
+    refused = N.attempt(N.build_requests(planned), lambda *request: 503, at(0)).collect()
+    assert {r.error_message for r in refused} == {"webhook responded with HTTP 503", "slack webhook responded with HTTP 503"}
+
+
+def test_an_attempt_is_sent_once_whatever_is_read_later(spark, at, tmp_path):
+    planned = N.plan_deliveries(N.alert_events(alerts(spark, at)), channels(spark, at))
+
+    def sender(url, body, signature, delivery_id):
+        with open(f"{tmp_path}/{delivery_id}", "a") as f:
+            f.write("x")
+        return 200
+
+    sent = N.attempt(N.build_requests(planned), sender, at(0))
+    assert sent.count() == sent.count() == len(sent.collect()) == 8
+    assert {p.read_text() for p in tmp_path.iterdir()} == {"x"}
+
+
+def test_rounds_end_final(spark, at):
+    planned = N.plan_deliveries(N.alert_events(alerts(spark, at)), channels(spark, at))
+    final, attempts = N.deliver(planned, lambda url, *request: 200 if url == "https://a" else 500, [at(1000 + 60 * n) for n in range(4)])
+    assert {(r.channel_id, r.status, r.attempts) for r in final.collect()} == {("c1", "delivered", 1), ("c2", "failed", 3)}
+    assert attempts.count() == 4 + 3 * 4
 
 
 def test_change_without_time_gets_the_clock(spark, at):
