@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from fleetpulse.plans.alerts import BASE_SQL, EPISODES_SQL, HOLD_SECONDS
-from fleetpulse.plans.common import TELEMETRY_SQL, Entry
+from fleetpulse.plans import intake as K
+from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.plans.rollups import ROLLUP_COLUMNS_SQL
 from fleetpulse.session import scratch_dir
+from fleetpulse.operators.rollup import hourly_rollup
 from fleetpulse.sources import benchmark_tables as B
+from fleetpulse.sources.payloads import stream_payloads
+from fleetpulse.sources.tables import read_telemetry
 from fleetpulse.streaming import alert_stream as L
 from fleetpulse.streaming import rollup_stream as H
+from fleetpulse.streaming.ingest_stream import start_ingest
 
 
 def telemetry_stream(spark, sf_dir):
@@ -31,7 +36,27 @@ def stream_alerts(spark, sf_dir):
     return L.streamed_episodes(spark, root)
 
 
+def ingest_to_rollup(spark, sf_dir):
+    """Payload files through the ingest stream into stored telemetry, and that into the rollup."""
+    root = scratch_dir(spark, "ingest")
+    K.payloads(spark, sf_dir).select("payload").write.text(f"{root}/in")
+    agents = lambda: K.registered_agents(spark, sf_dir)
+    start_ingest(stream_payloads(spark, f"{root}/in"), agents, f"{root}/out", f"{root}/checkpoint", arrived=B.AS_OF).awaitTermination()
+    return hourly_rollup(read_telemetry(spark, f"{root}/out/accepted"), B.AS_OF)
+
+
 QUERIES = {
+    "ingest_to_rollup": Entry(
+        ingest_to_rollup,
+        f"""{K.REASON_SQL}, {TELEMETRY_SQL}, taken AS (
+  SELECT t.agent_id, CASE WHEN kind = 14 THEN t.ts - INTERVAL 150 MINUTE ELSE t.ts END AS ts,
+    CASE WHEN kind <> 12 THEN cpu_sql END AS cpu_sql, CASE WHEN kind <> 12 THEN t.memory END AS memory,
+    CASE WHEN kind <> 12 THEN root_disk END AS root_disk, CASE WHEN kind <> 12 THEN received ELSE 0 END AS received,
+    CASE WHEN kind <> 12 THEN sent ELSE 0 END AS sent
+  FROM judged j JOIN telemetry t ON t.id = j.event_id WHERE reject_reason IS NULL)
+SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+FROM taken WHERE ts < date_trunc('hour', {AS_OF_SQL}) GROUP BY ALL""",
+    ),
     "stream_rollup": Entry(
         stream_rollup,
         f"""

@@ -12,7 +12,10 @@ from fleetpulse.functions.clock import instant
 from fleetpulse.session import prepare, scratch_dir
 
 DATE = "event_date="
+BATCH = "batch="
 VERSION = "version="
+# Names that readers skip: written to the end, set aside, being written.
+READY, OLD, STAGE = "_ready-", "_old-", "_stage-"
 DONE = "_SUCCESS"
 
 
@@ -38,9 +41,23 @@ def append_telemetry(telemetry: DataFrame, path: str) -> None:
     )
 
 
+def store_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Telemetry rows of one micro-batch, under ``event_date=.../batch=N``.
+
+    A batch that is run again first takes away what it wrote before, and so replaces itself.
+    """
+    spark = rows.sparkSession
+    prepare(spark)
+    fs, at = _filesystem(spark, path)
+    for found in fs.globStatus(at(f"{path}/{DATE}*/{BATCH}{batch_id}")) or []:
+        fs.delete(found.getPath(), True)
+    dated = with_event_date(rows).withColumn("batch", F.lit(batch_id))
+    dated.sortWithinPartitions("event_date", "agent_id", "timestamp").write.mode("append").partitionBy("event_date", "batch").parquet(path)
+
+
 def read_telemetry(spark: SparkSession, path: str, start=None, end=None) -> DataFrame:
     """Telemetry of a closed date range; other date folders are not listed into the scan."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).drop("batch")
     if start is not None:
         rows = rows.where(F.col("event_date") >= F.lit(start).cast("date"))
     if end is not None:
@@ -48,16 +65,69 @@ def read_telemetry(spark: SparkSession, path: str, start=None, end=None) -> Data
     return rows
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """The file system of a path, and how to name its paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _move(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"{source} was not renamed to {target}")
+
+
+def _aside(root: str, kind: str, name: str) -> str:
+    """Where a partition folder stands aside; a name with = would be read as a partition."""
+    return f"{root}/{kind}{name.replace('=', '~')}"
+
+
+def replace_folder(spark: SparkSession, root: str, name: str, staged: str) -> None:
+    """Put a folder that was written to the end in the place of ``root/name``.
+
+    The old one is set aside, where readers skip it, until the new one stands. A stop at any
+    step leaves one of the two complete, and ``recover`` finishes what was begun.
+    """
+    fs, at = _filesystem(spark, root)
+    if not fs.exists(at(f"{staged}/{DONE}")):
+        raise OSError(f"{staged} is not complete")
+    ready, old, place = at(_aside(root, READY, name)), at(_aside(root, OLD, name)), at(f"{root}/{name}")
+    _move(fs, at(staged), ready)
+    if fs.exists(place):
+        _move(fs, place, old)
+    _move(fs, ready, place)
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, root: str) -> None:
+    """Finish replacements that were stopped: a folder that is ready takes its place, leftovers go."""
+    fs, at = _filesystem(spark, root)
+    if not fs.exists(at(root)):
+        return
+    names = [s.getPath().getName() for s in fs.listStatus(at(root))]
+    for name in [n[len(READY) :].replace("~", "=") for n in names if n.startswith(READY)]:
+        place, old = at(f"{root}/{name}"), at(_aside(root, OLD, name))
+        if fs.exists(place) and not fs.exists(old):
+            _move(fs, place, old)
+        _move(fs, at(_aside(root, READY, name)), place)
+    for status in fs.listStatus(at(root)):
+        if status.getPath().getName().startswith((OLD, STAGE)):
+            fs.delete(status.getPath(), True)
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Versions written to the end; a half-written one has no marker and is passed over."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    fs, at = _filesystem(spark, root)
+    if not fs.exists(at(root)):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = [int(n[len(VERSION) :]) for n in names if n.startswith(VERSION)]
-    return sorted(n for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{VERSION}{n}/{DONE}")))
+    found = fs.globStatus(at(f"{root}/{VERSION}*/{DONE}")) or []
+    return sorted(int(s.getPath().getParent().getName()[len(VERSION) :]) for s in found)
+
+
+def expire(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Remove all but the newest complete versions of a table."""
+    fs, at = _filesystem(spark, root)
+    for old in _versions(spark, root)[:-keep]:
+        fs.delete(at(f"{root}/{VERSION}{old}"), True)
 
 
 def current(spark: SparkSession, root: str, below: int | None = None) -> DataFrame | None:
@@ -103,20 +173,17 @@ def purge_telemetry(spark: SparkSession, path: str, cutoff: datetime) -> None:
     """Remove stored rows before ``cutoff`` (UTC).
 
     Older dates go as whole folders. The date the cutoff falls into is rewritten beside
-    its folder, which readers skip, and then takes its place.
+    its folder and then takes its place; a purge that was stopped is finished by the next one.
     """
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    recover(spark, path)
+    fs, at = _filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(at(path))]
     dates = [n[len(DATE) :] for n in names if n.startswith(DATE)]
     day = cutoff.date().isoformat()
     for old in [d for d in dates if d < day]:
         fs.delete(at(f"{path}/{DATE}{old}"), True)
     if day in dates and cutoff.time() != time.min:
-        folder = f"{path}/{DATE}{day}"
-        kept = spark.read.parquet(folder).where(F.col("timestamp") >= instant(cutoff))
-        beside = f"{path}/_kept-{uuid.uuid4().hex}"
-        kept.write.parquet(beside)
-        fs.delete(at(folder), True)
-        fs.rename(at(beside), at(folder))
+        kept = spark.read.parquet(f"{path}/{DATE}{day}").where(F.col("timestamp") >= instant(cutoff))
+        staged = f"{path}/{STAGE}{uuid.uuid4().hex}"
+        kept.write.partitionBy(*[c for c in ["batch"] if c in kept.columns]).parquet(staged)
+        replace_folder(spark, path, f"{DATE}{day}", staged)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.operators import alerting as A
 from fleetpulse.operators.joins import lookup
-from fleetpulse.sources.tables import current, publish
+from fleetpulse.sources.tables import _filesystem, current, expire, publish
 
 BEFORE = -(2**62)
 MEMORY = [*A.PAIR, "open_first", "last_clock", "last_id", "hold_seconds"]
@@ -52,7 +52,8 @@ def remembered(state: DataFrame) -> DataFrame:
 def advance(on_time: DataFrame, state: DataFrame | None, chunk_seconds: int) -> tuple[DataFrame, DataFrame]:
     """Episodes touched by a batch, and per pair what the next batch has to know.
 
-    Touched are the episodes that start in the batch and the active ones it resolves.
+    Touched are the episodes that start in the batch and the active ones it resolves; an active one
+    that nothing happened to stays in the state and gives no row.
     """
     before = remembered(state) if state is not None else None
     started, carried = A.episodes_and_chunks(on_time, chunk_seconds, before)
@@ -68,15 +69,19 @@ def advance(on_time: DataFrame, state: DataFrame | None, chunk_seconds: int) ->
             F.col("next_clear.id").alias("resolved_id"),
             F.col("next_clear.value").alias("resolved_value"),
         )
-        touched = touched.unionByName(older.withColumn("carried_over", F.lit(True)))
+        ended = older.where(F.col("resolved_at").isNotNull())
+        touched = touched.unionByName(ended.withColumn("carried_over", F.lit(True)))
     latest = F.max_by(F.struct(F.col("open_out").alias("open_first"), "last_clock", "last_id", "hold_seconds"), "chunk")
     memory = carried.groupBy(*A.PAIR).agg(latest.alias("m")).select(*A.PAIR, "m.*")
     return touched, memory
 
 
-def next_state(touched: DataFrame, memory: DataFrame) -> DataFrame:
+def next_state(touched: DataFrame, memory: DataFrame, state: DataFrame | None = None) -> DataFrame:
     """A pair has at most one unresolved episode, the one to resolve later."""
     active = touched.where(F.col("resolved_at").isNull()).select(*A.PAIR, *ACTIVE)
+    if state is not None:
+        ended = touched.where("carried_over").select(*A.PAIR)
+        active = active.unionByName(state.where(F.col("started_at").isNotNull()).select(*A.PAIR, *ACTIVE).join(ended, A.PAIR, "left_anti"))
     return memory.join(active, A.PAIR, "left").select(*MEMORY, *ACTIVE)
 
 
@@ -106,7 +111,10 @@ def start_alerts(
         touched, memory = advance(on_time, state, chunk_seconds)
         touched.write.mode("overwrite").parquet(f"{root}/touched/batch={batch_id}")
         written = spark.read.parquet(f"{root}/touched/batch={batch_id}")
-        publish(next_state(written, memory), f"{root}/state", version)
+        publish(next_state(written, memory, state), f"{root}/state", version)
+        # The version before serves a batch that is repeated; older ones, and their samples in time, are done with.
+        expire(spark, f"{root}/state")
+        expire_samples(spark, f"{root}/samples", batch_id - 1)
 
     return (
         telemetry.writeStream.foreachBatch(run)
@@ -116,6 +124,12 @@ def start_alerts(
     )
 
 
+def expire_samples(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove the judged samples of an earlier batch; late ones stay."""
+    fs, at = _filesystem(spark, path)
+    fs.delete(at(f"{path}/batch={batch_id}/late=false"), True)
+
+
 def stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """Reads back a table with a given schema, which an empty one does not hold."""
     return spark.read.schema(like.schema).parquet(path)

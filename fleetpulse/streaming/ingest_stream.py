@@ -8,7 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fleetpulse.operators.ingest import judge
+from fleetpulse.functions.clock import instant
+from fleetpulse.operators.ingest import judge, rejected
+from fleetpulse.sources.tables import materialized, store_batch
+
+
+def stored_rows(judged: DataFrame, arrived=None) -> DataFrame:
+    """Accepted rows as TELEMETRY: the id is a hash of the payload, so a replay gives the same row.
+
+    ``created_at`` is ``arrived``, or the time of the batch.
+    """
+    kept = judged.where(F.col("reject_reason").isNull())
+    row_id = F.xxhash64("agent_id", F.unix_micros("timestamp"), "payload").bitwiseAND(F.lit(2**63 - 1))
+    at = F.current_timestamp() if arrived is None else instant(arrived)
+    return kept.select(row_id.alias("id"), "agent_id", "timestamp", "metrics", at.alias("created_at"))
 
 
 def start_ingest(
@@ -17,18 +30,20 @@ def start_ingest(
     path: str,
     checkpoint: str,
     target: str | None = None,
+    arrived=None,
     **trigger,
 ) -> StreamingQuery:
-    """Writes ``path/batch=N/outcome=accepted|rejected``.
+    """Writes accepted rows as telemetry to ``path/accepted``, by date, the others to ``path/rejected``.
 
-    Agents are loaded anew for each batch, so one registered meanwhile is known. A batch
-    that is run again replaces its own folder.
+    ``path/accepted`` is what ``read_telemetry``, the rollup, the alert stream and the purge read.
+    Agents are loaded anew for each batch, so one registered meanwhile is known. A batch is decoded once;
+    one that is run again replaces what it wrote.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
-        judged = judge(batch, load_agents(), target).withColumn("outcome", outcome)
-        judged.write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/batch={batch_id}")
+        judged = materialized(judge(batch, load_agents(), target), "judged")
+        store_batch(stored_rows(judged, arrived), f"{path}/accepted", batch_id)
+        rejected(judged).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
 
     return (
         payloads.writeStream.foreachBatch(store)

@@ -174,3 +174,18 @@ def test_stream_equals_batch_over_many_files(spark, at, tmp_path):
     assert episodes_by_pair(streamed.collect(), at) == episodes_by_pair(batch.collect(), at)
     kept_late = spark.read.parquet(f"{root}/samples").where("late = 'true'").collect()
     assert [r.id for r in kept_late] == [10**9]
+
+
+def test_an_idle_active_alert_costs_nothing(spark, at, tmp_path):
+    """Ten batches; the alert that fires in the first and then gets no samples is written once."""
+    for n in range(10):
+        rows = [(n, "busy", float(n), 10.0)] + ([(100, "idle", 0.0, 90.0)] if n == 0 else [])
+        telemetry(spark, at, rows).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+    stream = spark.readStream.schema(model.TELEMETRY).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    root = tmp_path / "out"
+    L.start_alerts(stream, lambda: rules(spark, at, 0), str(root), str(tmp_path / "cp")).awaitTermination()
+    touched = spark.read.parquet(f"{root}/touched").where("agent_id = 'idle'").groupBy("batch").count().collect()
+    assert len(touched) == 1
+    assert len(list((root / "state").iterdir())) == 2
+    open_ = L.streamed_episodes(spark, str(root)).where("agent_id = 'idle'").collect()
+    assert open_ and all(r.resolved_at is None for r in open_)

@@ -1,6 +1,7 @@
 """Payload checks, registry upserts and channel normalization on small frames."""
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,11 @@ from fleetpulse.functions import documents as D
 from fleetpulse.operators import ingest as G
 from fleetpulse.operators import registry as R
 from fleetpulse.operators.registry import literal_rows
+from fleetpulse.operators.retention import read_rollup, run_retention
 from fleetpulse.sources import payloads as P
-from fleetpulse.streaming.ingest_stream import start_ingest
+from fleetpulse.sources.tables import purge_telemetry, read_telemetry, store_batch
+from fleetpulse.streaming.alert_stream import start_alerts, streamed_episodes
+from fleetpulse.streaming.ingest_stream import start_ingest, stored_rows
 
 T = '"timestamp":"2026-08-08T18:00:00Z"'
 OK = '"agent_id":"agent-1",' + T
@@ -76,11 +80,53 @@ def test_payload_stream(spark, tmp_path):
     stream = P.stream_payloads(spark, str(tmp_path / "in"), max_files=1)
     out = str(tmp_path / "out")
     start_ingest(stream, lambda: agents(spark), out, str(tmp_path / "cp")).awaitTermination()
-    stored = spark.read.parquet(out)
+    taken, refused = spark.read.parquet(f"{out}/accepted"), spark.read.parquet(f"{out}/rejected")
     whole = G.judge(P.read_payloads(spark, str(tmp_path / "in")), agents(spark))
-    assert stored.count() == len(lines) == whole.count()
-    assert stored.where("outcome = 'accepted'").count() == G.accepted(whole).count()
-    assert stored.select("batch").distinct().count() == 3
+    assert taken.count() + refused.count() == len(lines) == whole.count()
+    assert taken.count() == G.accepted(whole).count()
+    assert set(model.TELEMETRY.names) | {"event_date", "batch"} == set(taken.columns)
+    assert refused.select("batch").distinct().count() == 3
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = stored_rows(G.judge(spark.createDataFrame([(p,) for p, target, _ in PAYLOADS if p], "payload string"), agents(spark)), "2026-08-08T18:00:01")
+    for batch in (0, 1, 1, 0):
+        store_batch(rows, out, batch)
+    stored = read_telemetry(spark, out)
+    assert stored.count() == 2 * rows.count() and stored.select("id").distinct().count() == rows.select("id").distinct().count()
+
+
+def test_ingest_feeds_alerts_rollup_and_purge(spark, tmp_path):
+    """Payload files in; the other jobs read what the ingest stream stored."""
+    (tmp_path / "in").mkdir()
+    for day in range(3):
+        lines = [
+            f'{{"agent_id":"a","timestamp":"2026-08-0{day + 1}T{h:02d}:{m}:00Z","metrics":{{"system":{{"cpu":{{"usage_percent":{90 if h == 5 else 10}}}}}}}}}'
+            for h in range(24)
+            for m in ("00", "30")
+        ]
+        (tmp_path / "in" / f"{day}.jsonl").write_text("\n".join([*lines, "not json"]) + "\n")
+    known = lambda: spark.createDataFrame([("a",)], "id string")
+    out, hourly = str(tmp_path / "out"), str(tmp_path / "hourly")
+    stream = P.stream_payloads(spark, str(tmp_path / "in"), max_files=1)
+    start_ingest(stream, known, out, str(tmp_path / "cp")).awaitTermination()
+    accepted = f"{out}/accepted"
+    assert read_telemetry(spark, accepted).count() == 3 * 48
+    assert read_telemetry(spark, accepted, "2026-08-02", "2026-08-02").count() == 48
+
+    telemetry = spark.readStream.schema(model.TELEMETRY).parquet(f"{accepted}/event_date=*/batch=*")
+    rules = lambda: R.default_rules(spark, "2026-08-01T00:00:00")
+    start_alerts(telemetry, rules, str(tmp_path / "alerts"), str(tmp_path / "cp2")).awaitTermination()
+    episodes = streamed_episodes(spark, str(tmp_path / "alerts")).collect()
+    assert len(episodes) == 3 and all((e.resolved_at - e.started_at).total_seconds() == 3600 for e in episodes)
+
+    now = datetime(2026, 8, 4, tzinfo=timezone.utc)
+    run_retention(spark, accepted, hourly, now, days=1, align="hour")
+    assert read_rollup(spark, hourly).count() == 72
+    assert read_telemetry(spark, accepted).count() == 48
+    purge_telemetry(spark, accepted, datetime(2026, 8, 3, 12, 15, tzinfo=timezone.utc))
+    assert read_telemetry(spark, accepted).count() == 23
 
 
 def test_upsert_agents(spark, at):
@@ -168,3 +214,17 @@ def test_documents_leave_empty_values_out(spark, at):
     text = row.select(F.to_json(D.alert_document(row.columns))).first()[0]
     assert json.loads(text) == {"id": "a", "started_at": "2023-11-14T22:13:20Z"}
     assert D.listing(row.where("id = 'none'"), "alert").collect() == []
+
+
+def test_equal_requests_are_one_row(spark):
+    rows = [("n", "webhook", "https://h/x", "s", True)] * 2 + [(" n ", "webhook", "https://h/x", "", None)]
+    df = spark.createDataFrame(rows, "name string, type string, url string, secret string, enabled boolean")
+    assert R.normalize_channels(df, "2024-01-01T00:00:00").count() == 2
+    blank = spark.createDataFrame([("\t\u2003\n", "webhook", "https://h/x", "", True)], df.schema)
+    assert R.normalize_channels(blank, "2024-01-01T00:00:00").first().reject_reason == "missing_name"
+
+
+def test_lookup_of_many_ids(spark):
+    found, missing = R.by_ids(agents(spark), spark.createDataFrame([("agent-1",), ("agent-1",), ("nobody",), (None,)], "id string"))
+    assert [r.id for r in found.select("id").collect()] == ["agent-1"]
+    assert [r.id for r in missing.collect()] == ["nobody"]

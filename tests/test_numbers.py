@@ -97,3 +97,23 @@ def test_disk_values_keep_their_order(spark):
     }
     rows = parsed(spark, docs).select("t", N.disk_values(F.col("m"), model.DISK_PATH, model.PARTITIONS_PATH))
     assert dict(map(tuple, rows.collect())) == docs
+
+
+def test_huge_counts_do_not_fail_a_query(spark):
+    df = spark.createDataFrame([("3000000000",), ("1e300",), ("-1e300",), ("2.9",)], "t string").select(F.parse_json("t").alias("v"))
+    found = [r[0] for r in df.select(N.clamped_whole(N.number_or_zero(F.col("v"), "$"))).collect()]
+    assert found == [3_000_000_000, 2**63 - 1, -(2**63), 2]
+
+
+def test_sums_of_huge_values(spark):
+    text = '{"a":[{"b":90000000000000000000},{"b":90000000000000000000}]}'
+    df = spark.createDataFrame([(text,)], "t string").select(F.parse_json("t").alias("v"))
+    assert int(df.select(N.sum_bytes(F.col("v"), "$.a", "b")).first()[0]) == 180000000000000000000
+
+
+@pytest.mark.parametrize("value", ['"x"', "1.5", "true"])
+def test_strict_sums_raise(spark, value):
+    df = spark.createDataFrame([('{"a":[{"b":%s}]}' % value,)], "t string").select(F.parse_json("t").alias("v"))
+    assert df.select(N.sum_whole(F.col("v"), "$.a", "b")).first()[0] == 0
+    with pytest.raises(Exception, match="no whole number"):
+        df.select(N.sum_whole(F.col("v"), "$.a", "b", True)).collect()

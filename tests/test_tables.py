@@ -58,10 +58,10 @@ def test_retention_run(spark, tmp_path, align):
     oldest = spark.read.parquet(raw).agg(F.min("timestamp").cast("timestamp_ntz")).first()[0]
     edge = NOON - timedelta(days=3)
     assert oldest == (edge if align == "exact" else edge.replace(minute=0)).replace(tzinfo=None)
-    assert S.current(spark, hourly).count() == before
+    assert R.read_rollup(spark, hourly).count() == before
 
     R.run_retention(spark, raw, hourly, NOON, days=3, align=align)
-    table = S.current(spark, hourly)
+    table = R.read_rollup(spark, hourly)
     assert table.count() == before
     hour = table.where(F.col("bucket_start") == F.lit(edge.replace(minute=0)))
     # An exact cut leaves half of its hour, and the second run rolls up that half only.
@@ -72,7 +72,7 @@ def test_retention_since(spark, tmp_path):
     raw, hourly = str(tmp_path / "raw"), str(tmp_path / "hourly")
     S.append_telemetry(snapshots(spark), raw)
     R.run_retention(spark, raw, hourly, NOON, since=NOON - timedelta(hours=2))
-    assert S.current(spark, hourly).count() == 4
+    assert R.read_rollup(spark, hourly).count() == 4
 
 
 def test_purge_matches_the_keep_filter(spark, tmp_path):
@@ -85,6 +85,67 @@ def test_purge_matches_the_keep_filter(spark, tmp_path):
     assert report.kept == kept.count() and report.purged + report.kept == 8 * 96
 
 
+class Stop(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", range(3))
+def test_a_purge_stopped_at_any_step_loses_nothing(spark, tmp_path, monkeypatch, step):
+    raw = str(tmp_path / "raw")
+    S.append_telemetry(snapshots(spark), raw)
+    move, calls = S._move, []
+
+    def failing(fs, source, target):
+        calls.append(1)
+        if len(calls) > step:
+            raise Stop
+        move(fs, source, target)
+
+    monkeypatch.setattr(S, "_move", failing)
+    with pytest.raises(Stop):
+        S.purge_telemetry(spark, raw, R.cutoff_time(NOON, 2))
+    monkeypatch.setattr(S, "_move", move)
+    S.purge_telemetry(spark, raw, R.cutoff_time(NOON, 2))
+    kept = {r.id for r in M.retained(snapshots(spark), NOON, 2).collect()}
+    assert {r.id for r in spark.read.parquet(raw).collect()} == kept
+    assert not [p for p in (tmp_path / "raw").iterdir() if p.name.startswith(("_old", "_ready", "_stage"))]
+
+
+@pytest.mark.parametrize("step", [0, 1, 2, 4, 7])
+def test_a_rollup_stopped_at_any_step_keeps_all_hours(spark, tmp_path, monkeypatch, step):
+    raw, hourly = str(tmp_path / "raw"), str(tmp_path / "hourly")
+    S.append_telemetry(snapshots(spark, 4), raw)
+    R.run_retention(spark, raw, hourly, NOON, days=3)
+    before = sorted(map(tuple, R.read_rollup(spark, hourly).select("agent_id", "bucket_start").collect()))
+    move, calls = S._move, []
+
+    def failing(fs, source, target):
+        calls.append(1)
+        if len(calls) > step:
+            raise Stop
+        move(fs, source, target)
+
+    monkeypatch.setattr(S, "_move", failing)
+    with pytest.raises(Stop):
+        R.run_retention(spark, raw, hourly, NOON, days=2)
+    monkeypatch.setattr(S, "_move", move)
+    assert sorted(map(tuple, R.read_rollup(spark, hourly).select("agent_id", "bucket_start").collect())) == before
+    R.run_retention(spark, raw, hourly, NOON, days=2)
+    assert sorted(map(tuple, R.read_rollup(spark, hourly).select("agent_id", "bucket_start").collect())) == before
+
+
+def test_following_runs_rewrite_only_new_dates(spark, tmp_path):
+    raw, hourly = str(tmp_path / "raw"), tmp_path / "hourly"
+    S.append_telemetry(snapshots(spark), raw)
+    R.run_retention(spark, raw, str(hourly), NOON - timedelta(days=1))
+    files = {p.parent.name: p.name for p in hourly.rglob("*.parquet")}
+    R.run_retention(spark, raw, str(hourly), NOON, follow=timedelta(hours=1))
+    again = {p.parent.name: p.name for p in hourly.rglob("*.parquet")}
+    assert {d for d in again if again[d] != files.get(d)} == {"bucket_date=2024-01-09", "bucket_date=2024-01-10"}
+    whole = U.hourly_rollup(snapshots(spark), NOON)
+    assert R.read_rollup(spark, str(hourly)).count() == whole.count()
+
+
 def test_row_exactly_at_the_cutoff_stays(spark):
     df = spark.createDataFrame([(1, NOON - timedelta(days=30)), (2, NOON - timedelta(days=30, microseconds=1))], "id bigint, timestamp timestamp")
     assert [r.id for r in M.retained(df, NOON, 0).collect()] == [1]

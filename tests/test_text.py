@@ -107,3 +107,14 @@ def test_ranges_and_limits():
     for bad in ("abc", "0", "-1", "501", "1.5"):
         with pytest.raises(ValueError):
             C.history_limit(bad)
+
+
+def test_different_keys_have_different_ids(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("x", None), ("-", "x"), ("", "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(X.stable_id("k", F.col("a"), F.col("b")).alias("id")).distinct().count() == len(rows)
+
+
+def test_blank_is_any_white_space(spark):
+    df = spark.createDataFrame([("\t",), ("\n \x85",), ("\u3000\xa0",), (None,), ("\u200b",), ("x ",)], "c string")
+    assert [r[0] for r in df.select(X.blank(F.col("c"))).collect()] == [True, True, True, True, False, False]
