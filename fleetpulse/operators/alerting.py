@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fleetpulse import model
 from fleetpulse.functions import numbers as N
 from fleetpulse.functions.clock import instant
-from fleetpulse.functions.conditions import compare, health_class, age_seconds
+from fleetpulse.functions.conditions import compare, health_thresholds
 from fleetpulse.functions.text import alert_message, stable_id
 from fleetpulse.operators.joins import fan_out, lookup
 
@@ -56,54 +56,64 @@ def evaluate(samples: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def offline_samples(
+def offline_segments(
     agents: DataFrame, telemetry: DataFrame, start: datetime, step_seconds: int, count: int, healthy=None, stale=None
 ) -> DataFrame:
-    """Offline state (1 or 0) of every agent at ``count`` regular evaluation times.
+    """When agents are offline at ``count`` regular evaluation times, as ticks 0, 1, 2, ...
 
-    Telemetry is folded to the newest sample per agent and interval, and the state at a
-    tick is the running maximum over an agent's at most ``count`` intervals.
+    Telemetry is folded to the newest sample per agent and interval. Such a sample holds from its tick
+    ``first`` until before the tick ``until`` of the next one, and its agent is offline from the tick ``off`` on, when the
+    sample has become stale; ``run`` is where that offline run began. An agent has a row per
+    interval with samples and one for the time before, so a quiet agent costs nothing.
     """
-    first = instant(start)
-    step = step_seconds * 1_000_000
-    since = F.unix_micros("timestamp") - F.unix_micros(first)
-    tick = F.greatest(F.ceil(since / F.lit(step)), F.lit(0)).cast("bigint")
+    _, limit = health_thresholds(healthy, stale)
+    begin, step = F.unix_micros(instant(start)), step_seconds * 1_000_000
+    tick_after = lambda micros: F.greatest(F.ceil((micros - begin) / F.lit(step)), F.lit(0)).cast("bigint")
     seen = (
-        telemetry.select(F.col("agent_id"), tick.alias("id"), "timestamp")
-        .where(F.col("id") < count)
-        .groupBy("agent_id", "id")
-        .agg(F.max("timestamp").alias("seen"))
+        telemetry.select("agent_id", tick_after(F.unix_micros("timestamp")).alias("first"), F.unix_micros("timestamp").alias("at"))
+        .where(F.col("first") < count)
+        .groupBy("agent_id", "first")
+        .agg(F.max("at").alias("at"))
     )
-    ticks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint")))
-    grid = agents.select(F.col("id").alias("agent_id"), ticks.alias("id"))
-    so_far = Window.partitionBy("agent_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    clock = F.timestamp_micros(F.unix_micros(first) + F.col("id") * F.lit(step))
-    status = health_class(age_seconds(F.col("last_seen"), F.col("clock")), healthy, stale)
+    known = agents.select(F.col("id").alias("agent_id")).distinct()
+    unseen = known.withColumns({"first": F.lit(0).cast("bigint"), "at": F.lit(None).cast("bigint")})
+    in_time = Window.partitionBy("agent_id").orderBy("first", F.col("at").asc_nulls_first())
+    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    off = F.greatest(F.col("first"), F.coalesce(tick_after(F.col("at") + limit * 1_000_000), F.lit(0).cast("bigint")))
+    begins = F.col("offline") & ((F.col("off") > F.col("first")) | ~F.coalesce(F.lag("offline").over(in_time), F.lit(False)))
     return (
-        grid.join(seen, ["agent_id", "id"], "left")
-        .withColumn("last_seen", F.max("seen").over(so_far))
-        .withColumn("clock", clock)
-        .select(
-            "agent_id",
-            "id",
-            "clock",
-            F.lit(model.OFFLINE_METRIC).alias("metric"),
-            F.when(status == "offline", 1.0).otherwise(0.0).alias("value"),
-        )
+        seen.join(known, "agent_id", "left_semi")
+        .unionByName(unseen)
+        .withColumn("until", F.coalesce(F.lead("first").over(in_time), F.lit(count).cast("bigint")))
+        .withColumn("off", off)
+        .where(F.col("first") < F.col("until"))
+        .withColumn("offline", F.col("off") < F.col("until"))
+        .withColumn("begins", begins)
+        .withColumn("run", F.last(F.when(F.col("begins"), F.col("off")), ignorenulls=True).over(so_far))
+        .select("agent_id", "first", "off", "until", "run")
     )
 
 
-def evaluate_offline(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """Offline samples breach by being 1, whatever operator and threshold the rule names.
+def evaluate_offline(segments: DataFrame, rules: DataFrame, start: datetime, step_seconds: int) -> DataFrame:
+    """Offline states (1 or 0) against the rules for them, whatever operator and threshold these name.
 
-    All samples share one metric, so every rule of it meets every sample.
+    Only the ticks that decide are rows: where an agent is back, where it goes offline, and where it
+    has been so for the hold time. All segments share one metric, so every rule of it meets them all.
     """
     active = rules.where(F.col("enabled") & (F.col("metric") == model.OFFLINE_METRIC)).select(
         F.col("id").alias("rule_id"), F.col("for_duration_seconds").alias("hold_seconds")
     )
+    back = F.when(F.col("first") < F.col("off"), F.col("first"))
+    off = F.when(F.col("off") < F.col("until"), F.col("off"))
+    due = F.col("run") + F.ceil(F.col("rule.hold_seconds") / F.lit(step_seconds)).cast("bigint")
+    held = F.when((due > F.col("off")) & (due < F.col("until")), due)
+    ticks = F.array_compact(F.array(back, off, held))
+    clock = F.timestamp_micros(F.unix_micros(instant(start)) + F.col("id") * F.lit(step_seconds * 1_000_000))
     return (
-        fan_out(samples, active, "rule")
-        .withColumn("breaching", F.col("value") == 1.0)
+        fan_out(segments, active, "rule")
+        .withColumn("id", F.explode(ticks))
+        .withColumn("breaching", F.col("id") >= F.col("off"))
+        .withColumns({"clock": clock, "value": F.when(F.col("breaching"), 1.0).otherwise(0.0)})
         .select("*", "rule.*")
         .select(*EVALUATION)
     )

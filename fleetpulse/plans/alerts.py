@@ -45,9 +45,9 @@ def alert_lifecycle_sustained(spark, sf_dir):
 
 
 def alert_offline(spark, sf_dir):
-    samples = A.offline_samples(B.agents(spark, sf_dir), B.telemetry(spark, sf_dir), TICK_START, TICK_STEP, TICK_COUNT, HEALTHY, STALE)
-    # A pair has no more samples than there are ticks, so one chunk may span them all.
-    return A.alert_episodes(A.evaluate_offline(samples, B.rules(spark)), TICK_STEP * TICK_COUNT)
+    segments = A.offline_segments(B.agents(spark, sf_dir), B.telemetry(spark, sf_dir), TICK_START, TICK_STEP, TICK_COUNT, HEALTHY, STALE)
+    # A pair has no more rows than there are ticks, so one chunk may span them all.
+    return A.alert_episodes(A.evaluate_offline(segments, B.rules(spark), TICK_START, TICK_STEP), TICK_STEP * TICK_COUNT)
 
 
 def ack_commands(alerts):

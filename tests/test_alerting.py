@@ -131,14 +131,43 @@ def test_missing_metric_does_not_break_a_run(spark, at):
     assert [(r.started_id, r.started_value) for r in found.collect()] == [(3, 91.0)]
 
 
-def test_offline_samples(spark, at):
+@pytest.mark.parametrize("stale, hold", [(120, 0), (120, 250), (250, 100), (60, 0), (60, 230), (1000, 0)])
+def test_offline_episodes_equal_a_grid(spark, at, stale, hold):
+    """Against the state of every agent at every tick; a stale limit under the step leaves gaps in between."""
+    step, count, rng = 100, 30, random.Random(stale + hold)
+    times = {f"a{n}": sorted(rng.uniform(-200, 3200) for _ in range(rng.choice([0, 1, 4, 12]))) for n in range(12)}
+    times["exact"] = [0.0, 100.0, 300.0, 1500.0]
+    agents = literal_rows(spark, [(a,) for a in times], ["id"])
+    rows = telemetry(spark, at, [(n, a, t, 1) for a, ts in [*times.items(), ("stranger", [5.0])] for n, t in enumerate(ts)])
+    rule = literal_rows(spark, [("r", "agent_offline", hold, True)], ["id", "metric", "for_duration_seconds", "enabled"])
+    segments = A.offline_segments(agents, rows, at(0), step, count, healthy=30, stale=stale)
+    found = A.alert_episodes(A.evaluate_offline(segments, rule, at(0), step), step * count).collect()
+    expected = []
+    for agent, ts in times.items():
+        states = []
+        for tick in range(count):
+            seen = [t for t in ts if t <= tick * step]
+            states.append(not seen or int(tick * step - max(seen)) >= stale)
+        tick = 0
+        while tick < count:
+            if not states[tick]:
+                tick += 1
+                continue
+            first = tick
+            while tick < count and states[tick]:
+                tick += 1
+            fires = next((t for t in range(first, tick) if (t - first) * step >= hold), None)
+            if fires is not None:
+                expected.append((agent, fires, tick if tick < count else None))
+    assert sorted((r.agent_id, r.started_id, r.resolved_id) for r in found) == sorted(expected, key=lambda e: (e[0], e[1]))
+    assert all(r.started_value == 1.0 for r in found)
+
+
+def test_a_quiet_agent_is_one_row(spark, at):
     agents = literal_rows(spark, [("a",), ("b",)], ["id"])
-    rows = telemetry(spark, at, [(1, "a", 0, 1), (2, "a", 100, 1), (3, "a", 1000, 1)])
-    found = A.offline_samples(agents, rows, at(0), 100, 5, healthy=30, stale=120).collect()
-    assert sorted((r.agent_id, r.id, r.value) for r in found) == [
-        ("a", 0, 0.0), ("a", 1, 0.0), ("a", 2, 0.0), ("a", 3, 1.0), ("a", 4, 1.0),
-        *[("b", i, 1.0) for i in range(5)],
-    ]
+    rows = telemetry(spark, at, [(1, "a", 0, 1), (2, "a", 50, 1)])
+    segments = A.offline_segments(agents, rows, at(0), 10, 1_000_000, healthy=30, stale=120)
+    assert sorted(map(tuple, segments.collect())) == [("a", 0, 12, 5, None), ("a", 5, 17, 1_000_000, 17), ("b", 0, 0, 1_000_000, 0)]
 
 
 def test_message_and_ids(spark, at):
