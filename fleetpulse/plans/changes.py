@@ -55,8 +55,20 @@ def event_log(spark, sf_dir):
 
 
 def event_frames(spark, sf_dir):
-    changes = E.alert_changes(N.alert_events(A.alerts(spark, sf_dir)))
-    return E.frames(changes).select("type", "agent_id", "timestamp", "frame")
+    """Frames of registrations, firings, resolutions, acknowledgements and comments."""
+    alerts = A.stored_alerts(spark, sf_dir)
+    acked = I.acknowledge(alerts, A.ack_commands(alerts))
+    comments = I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts))
+    complete, _ = R.split_registrations(K.registrations(spark, sf_dir))
+    newcomers = R.upsert_agents(B.agents(spark, sf_dir).where(F.lit(False)), complete)
+    log = E.event_log(
+        E.alert_changes(N.alert_events(alerts)),
+        E.registration_changes(newcomers),
+        E.acknowledgement_changes(acked),
+        E.comment_changes(comments),
+        as_of=B.AS_OF,
+    )
+    return E.frames(log).select("type", "agent_id", "timestamp", "frame")
 
 
 def purge_retention(spark, sf_dir):
@@ -145,8 +157,30 @@ def frame_sql(resolved: str) -> str:
     'status', status, 'updated_at', {D.time_sql('updated_at')})) AS VARCHAR)"""
 
 
-FRAMES_SQL = f"""{A.ALERT_CTES}, {D.EVENTS_SQL}
-SELECT event_type AS type, agent_id, "at" AS timestamp, 'event: ' || event_type || chr(10) || 'data: ' ||
+REGISTERED_SQL = f"""CAST(json_object('type', 'agent.registered', 'agent_id', id, 'timestamp', {D.time_sql('ts')}, 'data', json_object(
+    'arch', arch, 'created_at', {D.time_sql('first_time')}, 'hostname', hostname, 'id', id, 'last_seen', {D.time_sql('ts')},
+    'name', name, 'os', os, 'status', 'online', 'version', version)) AS VARCHAR)"""
+
+ACKED_SQL = f"""CAST(json_object('type', 'alert.acknowledged', 'agent_id', agent_id, 'timestamp', {D.time_sql('acknowledged_at')},
+  'alert', json_object('acknowledged_at', {D.time_sql('acknowledged_at')}, 'acknowledged_by', acknowledged_by,
+    'acknowledged_comment', acknowledged_comment, 'agent_id', agent_id, 'created_at', {D.time_sql('created_at')}, 'id', id,
+    'last_value', {NUMBER_SQL}, 'message', message, 'rule_id', rule_id, 'rule_name', rule_name, 'severity', severity,
+    'started_at', {D.time_sql('started_at')}, 'status', 'acknowledged', 'updated_at', {D.time_sql('acknowledged_at')})) AS VARCHAR)"""
+
+COMMENTED_SQL = f"""CAST(json_object('type', 'alert.comment_added', 'timestamp', {D.time_sql('created_at')}, 'data', json_object(
+    'alert_id', alert_id, 'author_id', author_id, 'comment', comment, 'created_at', {D.time_sql('created_at')}, 'id', id)) AS VARCHAR)"""
+
+FRAMES_SQL = f"""{A.ALERT_CTES}, {A.ACKS_SQL}, {A.COMMENTS_SQL}, {K.SIGNUPS_SQL}, {D.EVENTS_SQL}, newcomers AS (
+  SELECT *, min(ts) OVER (PARTITION BY id) AS first_time FROM signups
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) = 1
+), confirmed AS (SELECT * REPLACE (started_value AS last_value) FROM acked WHERE acknowledged_at IS NOT NULL)
+SELECT 'agent.registered' AS type, id AS agent_id, ts AS timestamp,
+  'event: agent.registered' || chr(10) || 'data: ' || {REGISTERED_SQL} || chr(10) || chr(10) AS frame FROM newcomers
+UNION ALL SELECT 'alert.acknowledged', agent_id, acknowledged_at,
+  'event: alert.acknowledged' || chr(10) || 'data: ' || {ACKED_SQL} || chr(10) || chr(10) FROM confirmed
+UNION ALL SELECT 'alert.comment_added', NULL, created_at,
+  'event: alert.comment_added' || chr(10) || 'data: ' || {COMMENTED_SQL} || chr(10) || chr(10) FROM comments
+UNION ALL SELECT event_type AS type, agent_id, "at" AS timestamp, 'event: ' || event_type || chr(10) || 'data: ' ||
   CASE WHEN resolved_at IS NULL THEN {frame_sql('')}
     ELSE {frame_sql(f"'resolved_at', {D.time_sql('resolved_at')},")} END || chr(10) || chr(10) AS frame
 FROM occasions"""
