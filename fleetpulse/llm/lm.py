@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +19,17 @@ ADD = 0.1
 # frequent; half of that where it was seen CALM times.
 SHARE, CALM = 0.6, 8.0
 BASE = 2.0
-BITS_PER_ENTRY = 12
+BITS_PER_ENTRY = 10
 PROBES = 6
-SECTION_BITS = 1 << 23
-# Sections that are broadcast at once. More n-grams than these hold are scored in further passes.
-MAX_SECTIONS = 64
+# N-grams of one section, on average: a task builds it, a worker finds it by its number.
+SECTION_TOKENS = 1 << 19
+# Bytes of sections that are broadcast at once. More n-grams than these hold are scored in further passes.
+MAX_BYTES = 80 << 20
 # Words whose exact counts are broadcast: at most so many, of at most so many bytes.
-HOT_WORDS, HOT_BYTES = 1 << 17, 64
+HOT_WORDS, HOT_BYTES = 1 << 19, 64
 END = b"\n"  # no word holds white space
 _U64 = np.uint64
-_PENDING = 1 << 21
+_PENDING, _KNOWN = 1 << 22, 1 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,52 +51,61 @@ def level_count(levels: np.ndarray, base: float = BASE) -> np.ndarray:
 
 
 def section_of(hashes: np.ndarray, sections: int) -> np.ndarray:
-    return (hashes >> _U64(32)) % _U64(sections)
+    return ((hashes >> _U64(32)) % _U64(sections)).astype(np.int64)
 
 
-def _places(hashes: np.ndarray, level: int | np.ndarray, probe: int) -> np.ndarray:
-    """Bit of a section that one probe of (n-gram, level) looks at."""
-    a = _mixed(hashes + _U64(0x9E3779B97F4A7C15) * np.asarray(level, _U64))
-    return (a + _U64(probe) * (_mixed(a) | _U64(1))) % _U64(SECTION_BITS)
+def _places(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
+    """Bit of its section, of ``bits`` bits, that one probe of (n-gram, level) looks at."""
+    a = _mixed(hashes + _U64(0x9E3779B97F4A7C15) * _U64(level))
+    return ((a + _U64(probe) * (_mixed(a) | _U64(1))) % np.asarray(bits, _U64)).astype(np.int64)
 
 
-def build_section(hashes: np.ndarray, counts: np.ndarray, base: float = BASE) -> bytes:
-    """Bits of one section: every n-gram is put in once for each level up to its own."""
-    bits = np.zeros(SECTION_BITS // 8, np.uint8)
+def build_section(hashes: np.ndarray, counts: np.ndarray, bits: float = BITS_PER_ENTRY, base: float = BASE) -> bytes:
+    """Bits of one section: every n-gram is put in once for each level up to its own.
+
+    The section has ``bits`` bits for each of these entries, so the rate of false levels is the
+    same in all sections and at every size of the corpus.
+    """
     levels = level(counts, base)
+    size = 8 * max(8, int(np.ceil(levels.sum() * bits / 8)))
+    found = np.zeros(size, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
         here = hashes[levels >= j]
         for probe in range(PROBES):
-            at = _places(here, j, probe)
-            np.bitwise_or.at(bits, (at >> _U64(3)).astype(np.int64), (1 << (at & _U64(7))).astype(np.uint8))
-    return bits.tobytes()
+            found[_places(here, j, probe, size)] = True
+    return np.packbits(found, bitorder="little").tobytes()
 
 
 @dataclass
 class Filter:
-    """Sections first, first + 1, ... of ``total``; the others are not at hand."""
+    """Sections ``first`` up to ``last`` of a filter: where each begins and ends in ``data``.
 
+    A section may have no n-grams, and so no bytes. The sections of other passes have none either.
+    """
+
+    starts: np.ndarray
+    data: bytes | bytearray
     first: int
-    total: int
-    data: bytes
+    last: int
     base: float = BASE
 
     def owns(self, hashes: np.ndarray) -> np.ndarray:
-        at = section_of(hashes, self.total).astype(np.int64) - self.first
-        return (at >= 0) & (at < len(self.data) * 8 // SECTION_BITS)
+        section = section_of(hashes, len(self.starts) - 1)
+        return (section >= self.first) & (section < self.last)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Highest level up to which all levels are found; too high at times, never too low."""
-        bits = np.frombuffer(self.data, np.uint8)
-        offset = (section_of(hashes, self.total).astype(np.int64) - self.first) * (SECTION_BITS // 8)
+        data = np.frombuffer(self.data, np.uint8)
+        section = section_of(hashes, len(self.starts) - 1)
+        first, bits = self.starts[section], 8 * np.diff(self.starts)[section]
         found = np.zeros(len(hashes), np.int64)
-        open_ = np.arange(len(hashes))
+        open_ = np.flatnonzero(bits)
         j = 0
         while len(open_) and j < 64:
             j += 1
             for probe in range(PROBES):
-                at = _places(hashes[open_], j, probe)
-                hit = bits[offset[open_] + (at >> _U64(3)).astype(np.int64)] >> (at & _U64(7)).astype(np.uint8) & 1
+                at = _places(hashes[open_], j, probe, bits[open_])
+                hit = data[first[open_] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1
                 open_ = open_[hit.astype(bool)]
             found[open_] = j
         return found
@@ -126,84 +136,138 @@ def sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, np.concatenate([[end], ids[:-1]]).astype(_U64), np.repeat(np.arange(len(sizes)), sizes + 1)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, gram, n) counted within a task before they are shuffled; in parts of bounded size."""
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the pairs, counted within a task before they are shuffled; in parts of bounded size."""
+    pending: list[np.ndarray] = []
 
     def flush() -> pa.RecordBatch:
-        kind, grams = (np.concatenate(x) for x in zip(*pending))
+        grams, counts = np.unique(np.concatenate(pending), return_counts=True)
         pending.clear()
-        parts = [(k, *np.unique(grams[kind == k], return_counts=True)) for k in (1, 2)]
-        kinds = np.concatenate([np.full(len(g), k, np.int8) for k, g, _ in parts])
-        columns = [kinds, np.concatenate([g for _, g, _ in parts]).view(np.int64), np.concatenate([n for *_, n in parts]).astype(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int32))], ["gram", "n"])
 
     for batch in batches:
         ids, before, _ = sequence(tokenize(batch.column("text"), lower=True))
-        pending.append((np.repeat(np.array([1, 2], np.int8), len(ids)), np.concatenate([unigram(ids), bigram(before, ids)])))
-        if sum(len(k) for k, _ in pending) > _PENDING:
+        pending.append(bigram(before, ids))
+        if sum(map(len, pending)) > _PENDING:
             yield flush()
     if pending:
         yield flush()
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(kind, gram, n): counts of the hashed unigrams (kind 1) and bigrams (kind 2) of all texts."""
-    partial = docs.select("text").mapInArrow(_summed, "kind byte, gram long, n long")
-    return partial.groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n) of the words of the exact counts."""
+    for batch in batches:
+        ids = np.array([xxhash.xxh64_intdigest(w, 0) for w in batch.column("word").to_pylist()], _U64)
+        yield pa.RecordBatch.from_arrays([pa.array(unigram(ids).view(np.int64)), batch.column("c")], ["gram", "n"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): exact counts of the words, as bytes, and of the ends of texts."""
+    """(word, c): exact counts of the words, as bytes, and of the ends of texts.
+
+    Counted within a task first, so a word that every text has is a row for each task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+            counts.clear()
+            return out
+
         for batch in batches:
             tokens = tokenize(batch.column("text"), lower=True)
-            words = pa.concat_arrays([tokens.vocabulary.cast(pa.binary()), pa.array([END], pa.binary())])
-            counts = np.append(np.bincount(tokens.codes, minlength=len(tokens.vocabulary)), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([words, pa.array(counts.astype(np.int64))], ["word", "c"])
+            times = np.bincount(tokens.codes, minlength=len(tokens.vocabulary)).tolist()
+            for word, n in zip(tokens.vocabulary.cast(pa.binary()).to_pylist(), times):
+                counts[word] = counts.get(word, 0) + n
+            counts[END] = counts.get(END, 0) + batch.num_rows
+            if len(counts) > _KNOWN:
+                yield flush()
+        if counts:
+            yield flush()
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _level(n: Column, base: float) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(base))) + 1e-9) + 1
-
-
-def filter_passes(counts: DataFrame, kind: int, base: float = BASE, bits: float = BITS_PER_ENTRY, most: int = MAX_SECTIONS) -> Iterator[Filter]:
-    """The filter of one kind of n-gram, at most ``most`` sections at a time.
+def sections(grams: DataFrame, tokens: int, bits: float = BITS_PER_ENTRY, base: float = BASE, section_tokens: int = SECTION_TOKENS) -> tuple[DataFrame, int]:
+    """(section, data) of the filter of (gram, n) rows, and how many sections there are.
 
-    Its size follows the number of entries, so the rate of false levels is the same at every size. A
-    section is built by one task from its own n-grams; the driver holds one pass of sections.
+    The rows of a gram are summed in the task that builds its section: they are shuffled once. The
+    number of sections follows the tokens, so a section stays of bounded size.
     """
-    grams = counts.where(F.col("kind") == kind)
-    entries = grams.agg(F.coalesce(F.sum(_level(F.col("n"), base)), F.lit(0))).first()[0]
-    total = max(1, int(np.ceil(entries * bits / SECTION_BITS)))
-    high = F.shiftrightunsigned("gram", 32)
-    placed = grams.select(F.pmod(high, F.lit(total)).alias("section"), "gram", "n")
+    total = max(1, -(-tokens // section_tokens))
+    placed = grams.withColumn("section", F.pmod(F.shiftrightunsigned("gram", 32), F.lit(total)).cast("int"))
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        data = build_section(rows["gram"].to_numpy().view(_U64), rows["n"].to_numpy(), base)
-        return pd.DataFrame({"section": rows["section"].iloc[:1].to_numpy(), "data": [data]})
-
-    for first in range(0, total, most):
-        here = placed.where((F.col("section") >= first) & (F.col("section") < first + most))
-        made = {r.section: r.data for r in here.groupBy("section").applyInPandas(build, "section long, data binary").collect()}
-        blank = bytes(SECTION_BITS // 8)
-        yield Filter(first, total, b"".join(bytes(made.get(s, blank)) for s in range(first, min(total, first + most))), base)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if rows is None:
+            return
+        section = rows["section"].to_numpy()
+        order = np.argsort(section, kind="stable")
+        gram, n = rows["gram"].to_numpy().view(_U64)[order], rows["n"].to_numpy()[order]
+        names, cuts = np.unique(section[order], return_index=True)
+        for name, a, b in zip(names.tolist(), cuts, [*cuts[1:], len(order)]):
+            distinct, back = np.unique(gram[a:b], return_inverse=True)
+            data = build_section(distinct, np.bincount(back, n[a:b]).astype(np.int64), bits, base)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([data], pa.binary())], ["section", "data"])
+
+    return stored(placed.repartition(total, "section").mapInArrow(build, "section int, data binary"), "lm-sections"), total
+
+
+def passes(made: DataFrame, total: int, most: int = MAX_BYTES, base: float = BASE) -> Iterator[Filter]:
+    """The filter, as many sections at a time as ``most`` bytes hold; at least one."""
+    sizes = np.zeros(total, np.int64)
+    for row in made.select("section", F.octet_length("data").alias("bytes")).collect():
+        sizes[row.section] = row.bytes
+    first = 0
+    while first < total:
+        last = max(first + 1, int(np.searchsorted(np.cumsum(sizes[first:]), most, "right")) + first)
+        here = np.where((np.arange(total) >= first) & (np.arange(total) < last), sizes, 0)
+        starts = np.concatenate([[0], np.cumsum(here)])
+        data = bytearray(int(starts[-1]))
+        # A partition at a time: the driver never holds the sections twice.
+        for row in made.where((F.col("section") >= first) & (F.col("section") < last)).toLocalIterator():
+            data[starts[row.section] : starts[row.section + 1]] = row.data
+        yield Filter(starts, data, first, last, base)
+        first = last
 
 
 @dataclass
 class Exact:
-    """Totals of the training tokens, and the exact counts of the most frequent words."""
+    """Totals of the training tokens, and the exact counts of the most frequent words by their hashes."""
 
     tokens: int
     distinct: int
-    hot: dict[bytes, int]
+    ends: int
+    hashes: np.ndarray
+    words: pa.Array
+    counts: np.ndarray
 
     def log_probability(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADD) / (self.tokens + ADD * (self.distinct + 1)))
 
+    def of(self, vocabulary: pa.Array) -> np.ndarray:
+        """Counts of words, 0 for those not at hand; the words themselves decide, not their hashes."""
+        found = np.zeros(len(vocabulary), np.int64)
+        if not len(self.words) or not len(vocabulary):
+            return found
+        names = vocabulary.cast(pa.large_binary())
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in names.to_pylist()), _U64, len(names))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = np.asarray(pc.equal(self.words.take(pa.array(at)), names))
+        found[same] = self.counts[at[same]]
+        return found
+
+
+def frequent_words(counts: DataFrame, totals, most: int = HOT_WORDS) -> Exact:
+    """The exact table; its size is bounded by the number of words and their length."""
+    chosen = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(most).toArrow()
+    words = chosen["word"].combine_chunks().cast(pa.large_binary())
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py(), 0) for w in words), _U64, len(words))
+    order = np.argsort(hashes, kind="stable")
+    ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    return Exact(totals["n"], totals["v"], ends, hashes[order], words.take(pa.array(order)), chosen["c"].to_numpy()[order])
+
 
 def score_batch(tokens: Tokens, exact: Exact, words: Filter, pairs: Filter) -> np.ndarray:
     """Log10 probabilities of the texts, of the tokens whose pair is in the sections at hand.
@@ -218,14 +282,18 @@ def score_batch(tokens: Tokens, exact: Exact, words: Filter, pairs: Filter) -> n
     both = np.minimum(pairs.counts(grams), whole)
     own = 10 ** exact.log_probability(words.counts(unigram(ids)))
     mixed = SHARE * both / (whole + CALM) + (1 - SHARE * whole / (whole + CALM)) * own
-    return np.bincount(row, np.log10(mixed), len(tokens.starts) - 1)
+    # Without any token bincount counts in whole numbers.
+    return np.bincount(row, np.log10(mixed), len(tokens.starts) - 1).astype(np.float64)
 
 
-def score(docs: DataFrame, train: Column, base: float = BASE, bits: float = BITS_PER_ENTRY, sections: int = MAX_SECTIONS, hot_words: int = HOT_WORDS) -> DataFrame:
+def score(
+    docs: DataFrame, train: Column, base: float = BASE, bits: float = BITS_PER_ENTRY, most_bytes: int = MAX_BYTES,
+    hot_words: int = HOT_WORDS, section_tokens: int = SECTION_TOKENS,
+) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; ``train`` marks the rows to learn from.
 
-    * Counts cover all training rows: summed within tasks, then by word or n-gram.
-    * The filters are broadcast, ``sections`` MiB at a time: bigrams beyond that are scored in
+    * Counts cover all training rows: summed within tasks, then by word, or by pair in the section of the filter.
+    * The filters are broadcast, ``most_bytes`` at a time: pairs beyond that are scored in
       further passes over the documents, each of which owns the tokens of its sections. The filter of the
       single words has as much room; with more words than that it gets fewer bits for each.
     * The base is exact. Frequent words are looked up in a broadcast table of bounded size, which also
@@ -236,38 +304,35 @@ def score(docs: DataFrame, train: Column, base: float = BASE, bits: float = BITS
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"), train.alias("train"))
     learnt = own.where("train")
     counts = stored(word_counts(learnt), "lm-words")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(hot_words)
-    exact = Exact(totals["n"], totals["v"], {bytes(r.word): r.c for r in frequent.collect()})
-    # Every text has an end, whatever its rank.
-    exact.hot |= {END: r.c for r in counts.where(F.col("word") == F.lit(bytearray(END))).collect()}
-    grams = stored(gram_counts(learnt), "lm-grams")
-    entries = grams.where("kind = 1").agg(F.coalesce(F.sum(_level(F.col("n"), base)), F.lit(0))).first()[0]
-    room = sections * SECTION_BITS
-    (words,) = filter_passes(grams, 1, base, min(bits, room / max(1, entries)), sections + 1)
+    entries = F.floor(F.log(F.col("c").cast("double")) / F.lit(float(np.log(base))) + 1e-9) + 1
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(entries), F.lit(0)).alias("entries")).first()
+    room = min(bits, 8 * most_bytes / max(1, totals["entries"]))
+    single, total = sections(counts.mapInArrow(_singles, "gram long, n long"), totals["v"], room, base, section_tokens)
+    (words,) = passes(single, total, 2 * most_bytes + 64 * total, base)
+    pairs_made, total = sections(learnt.select("text").mapInArrow(_pairs, "gram long, n int"), totals["n"], bits, base, section_tokens)
     context = docs.sparkSession.sparkContext
+    exact = frequent_words(counts, totals, hot_words)
     shared = context.broadcast((exact, words))
+    n, v = exact.tokens, exact.distinct
+    del exact, words
 
     def first_pass(pairs):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             exact, words = shared.value
             names = ["doc_id", "key", "n_tokens", "known", "base", "score", "rare"]
-            kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
             for batch in batches:
                 tokens = tokenize(batch.column("text"), lower=True)
-                known = tokens.vocabulary.cast(pa.binary()).to_pylist()
-                c = np.array([exact.hot.get(w, 0) for w in known], np.int64)
+                size = np.int64(max(1, len(tokens.vocabulary)))
+                of = exact.of(tokens.vocabulary)[tokens.codes]
                 sizes = np.diff(tokens.starts)
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
-                of = c[tokens.codes] if len(known) else np.empty(0, np.int64)
                 hot = of > 0
-                ends = exact.hot.get(END, 0)
-                base_sum = np.bincount(owner[hot], exact.log_probability(of[hot]), batch.num_rows) + exact.log_probability(np.float64(ends))
-                n_known = np.bincount(owner[hot], minlength=batch.num_rows) + (ends > 0)
-                left, times = np.unique(owner[~hot] * np.int64(max(1, len(known))) + tokens.codes[~hot], return_counts=True)
-                cuts = np.searchsorted(left, np.arange(batch.num_rows + 1) * np.int64(max(1, len(known))))
-                listed = [{"word": known[k % len(known)], "times": int(n)} for k, n in zip(left.tolist(), times.tolist())]
-                rare = pa.array([listed[a:b] for a, b in zip(cuts, cuts[1:])], kind)
+                base_sum = np.bincount(owner[hot], exact.log_probability(of[hot]), batch.num_rows) + exact.log_probability(np.float64(exact.ends))
+                n_known = np.bincount(owner[hot], minlength=batch.num_rows) + (exact.ends > 0)
+                left, times = np.unique(owner[~hot] * size + tokens.codes[~hot], return_counts=True)
+                cuts = np.searchsorted(left, np.arange(batch.num_rows + 1) * size).astype(np.int32)
+                word = tokens.vocabulary.take(pa.array(left % size)).cast(pa.binary())
+                rare = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([word, pa.array(times.astype(np.int64))], ["word", "times"]))
                 scores = score_batch(tokens, exact, words, pairs.value)
                 columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes + 1), pa.array(n_known.astype(np.int64)), pa.array(base_sum), pa.array(scores), rare]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -286,7 +351,7 @@ def score(docs: DataFrame, train: Column, base: float = BASE, bits: float = BITS
         return own.select("doc_id", "key", "text").mapInArrow(run, schema).groupBy("doc_id", "key").agg(F.first("more").alias("more"))
 
     rows = None
-    for pairs in filter_passes(grams, 2, base, bits, sections):
+    for pairs in passes(pairs_made, total, most_bytes, base):
         sent = context.broadcast(pairs)
         if rows is None:
             rows = stored(first_pass(sent).withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
@@ -300,10 +365,10 @@ def score(docs: DataFrame, train: Column, base: float = BASE, bits: float = BITS
     seen = rows.select("rid", F.explode("rare").alias("r")).select("rid", "r.word", "r.times")
     met = seen.join(counts.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
     c = F.coalesce("c", F.lit(0))
-    part = F.log10((c + ADD) / F.lit(exact.tokens + ADD * (exact.distinct + 1))) * F.col("times")
+    part = F.log10((c + ADD) / F.lit(n + ADD * (v + 1))) * F.col("times")
     rest = met.groupBy("rid").agg(F.sum(part).alias("rest"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
     full = rows.drop("rare", "key").join(rest.withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left")
     return full.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(exact.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score",
     )

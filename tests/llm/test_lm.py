@@ -60,11 +60,11 @@ def rounded(found):
     return sorted(((*r[:5], round(r[5], 6), round(r[6], 6)) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("sections, hot", [(64, 50), (1, 3), (64, 0)])
-def test_against_brute_force(spark, documents, rows, monkeypatch, sections, hot):
-    monkeypatch.setattr(lm, "MAX_SECTIONS", sections)
+@pytest.mark.parametrize("most_bytes, hot, section_tokens", [(1 << 26, 50, 1 << 19), (40_000, 3, 300), (1 << 26, 0, 500), (1 << 26, 9, 2)])
+def test_against_brute_force(spark, documents, rows, most_bytes, hot, section_tokens):
+    """With room enough for no false levels; the second case takes several passes."""
     df = frame(documents, rows)
-    found = lm.score(df, fold(F.col("doc_id"), 10) != 0, bits=400 if sections == 64 else 8000, sections=sections if sections == 64 else 2, hot_words=hot)
+    found = lm.score(df, fold(F.col("doc_id"), 10) != 0, bits=400, most_bytes=most_bytes, hot_words=hot, section_tokens=section_tokens)
     out = found.select("doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
     assert rounded(out.collect()) == plain(rows)
 
@@ -84,9 +84,10 @@ def test_filter_never_tells_too_little():
     rng = np.random.default_rng(0)
     grams = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
     counts = np.minimum(rng.zipf(1.5, 20_000), 10**6)
-    made = lm.Filter(0, 1, lm.build_section(grams, counts))
+    data = lm.build_section(grams, counts, bits=16)
+    made = lm.Filter(np.array([0, len(data)]), data, 0, 1)
     found = made.levels(grams)
-    assert (found >= lm.level(counts)).all() and (found == lm.level(counts)).mean() > 0.999
+    assert (found >= lm.level(counts)).all() and (found == lm.level(counts)).mean() > 0.99
     assert (made.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0).mean() < 0.01
 
 
