@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -99,11 +100,15 @@ class Tokens:
     starts: np.ndarray
     vocabulary: pa.Array
 
-    def ids(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash per word occurrence; each distinct word is hashed once."""
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash per word of the vocabulary."""
         known = self.vocabulary.cast(pa.binary()).to_pylist()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in known), np.uint64, len(known))
-        return hashes[self.codes] if len(known) else np.empty(0, np.uint64)
+        return np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))
+
+    def ids(self) -> np.ndarray:
+        """The hash of each word occurrence."""
+        return self.hashes[self.codes]
 
 
 def tokenize(texts: pa.Array | pa.ChunkedArray, lower: bool) -> Tokens:

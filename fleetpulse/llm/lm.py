@@ -54,10 +54,10 @@ def section_of(hashes: np.ndarray, sections: int) -> np.ndarray:
     return ((hashes >> _U64(32)) % _U64(sections)).astype(np.int64)
 
 
-def _places(hashes: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """Bit of its section, of ``bits`` bits, that one probe of (n-gram, level) looks at."""
-    a = _mixed(hashes + _U64(0x9E3779B97F4A7C15) * _U64(level))
-    return ((a + _U64(probe) * (_mixed(a) | _U64(1))) % np.asarray(bits, _U64)).astype(np.int64)
+def _walk(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (n-gram, level) begin, and the step from one to the next."""
+    start = _mixed(hashes + _U64(0x9E3779B97F4A7C15 * level % (1 << 64)))
+    return start, _mixed(start) | _U64(1)
 
 
 def build_section(hashes: np.ndarray, counts: np.ndarray, bits: float = BITS_PER_ENTRY, base: float = BASE) -> bytes:
@@ -70,9 +70,10 @@ def build_section(hashes: np.ndarray, counts: np.ndarray, bits: float = BITS_PER
     size = 8 * max(8, int(np.ceil(levels.sum() * bits / 8)))
     found = np.zeros(size, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        here = hashes[levels >= j]
-        for probe in range(PROBES):
-            found[_places(here, j, probe, size)] = True
+        at, step = _walk(hashes[levels >= j], j)
+        for _ in range(PROBES):
+            found[(at % _U64(size)).astype(np.int64)] = True
+            at = at + step
     return np.packbits(found, bitorder="little").tobytes()
 
 
@@ -97,16 +98,18 @@ class Filter:
         """Highest level up to which all levels are found; too high at times, never too low."""
         data = np.frombuffer(self.data, np.uint8)
         section = section_of(hashes, len(self.starts) - 1)
-        first, bits = self.starts[section], 8 * np.diff(self.starts)[section]
+        first, bits = self.starts[section], 8 * np.diff(self.starts)[section].astype(_U64)
         found = np.zeros(len(hashes), np.int64)
         open_ = np.flatnonzero(bits)
         j = 0
         while len(open_) and j < 64:
             j += 1
-            for probe in range(PROBES):
-                at = _places(hashes[open_], j, probe, bits[open_])
-                hit = data[first[open_] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1
-                open_ = open_[hit.astype(bool)]
+            at, step = _walk(hashes[open_], j)
+            for _ in range(PROBES):
+                place = (at % bits[open_]).astype(np.int64)
+                hit = (data[first[open_] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+                open_, step = open_[hit], step[hit]
+                at = at[hit] + step
             found[open_] = j
         return found
 
@@ -123,17 +126,23 @@ def bigram(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(before + _U64(2)) * _U64(3) + ids)
 
 
+END_ID = np.array([xxhash.xxh64_intdigest(END)], _U64)
+
+
+def ids_are_words(tokens: Tokens) -> np.ndarray:
+    """Which places of ``sequence`` are words; the others are ends."""
+    word = np.ones(len(tokens.codes) + len(tokens.starts) - 1, bool)
+    word[np.cumsum(np.diff(tokens.starts) + 1) - 1] = False
+    return word
+
+
 def sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of the texts of a batch with an end after each; what stands before each; text rows."""
     sizes = np.diff(tokens.starts)
-    ends = np.cumsum(sizes + 1) - 1
-    end = _U64(xxhash.xxh64_intdigest(END, 0))
-    ids = np.full(len(tokens.codes) + len(sizes), end, _U64)
-    word = np.ones(len(ids), bool)
-    word[ends] = False
-    ids[word] = tokens.ids()
+    ids = np.full(len(tokens.codes) + len(sizes), END_ID[0], _U64)
+    ids[ids_are_words(tokens)] = tokens.ids()
     # A text begins after an end.
-    return ids, np.concatenate([[end], ids[:-1]]).astype(_U64), np.repeat(np.arange(len(sizes)), sizes + 1)
+    return ids, np.concatenate([END_ID, ids[:-1]]), np.repeat(np.arange(len(sizes)), sizes + 1)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +166,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n) of the words of the exact counts."""
     for batch in batches:
-        ids = np.array([xxhash.xxh64_intdigest(w, 0) for w in batch.column("word").to_pylist()], _U64)
+        ids = np.array([xxhash.xxh64_intdigest(w) for w in batch.column("word").to_pylist()], _U64)
         yield pa.RecordBatch.from_arrays([pa.array(unigram(ids).view(np.int64)), batch.column("c")], ["gram", "n"])
 
 
@@ -246,15 +255,13 @@ class Exact:
     def log_probability(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + ADD) / (self.tokens + ADD * (self.distinct + 1)))
 
-    def of(self, vocabulary: pa.Array) -> np.ndarray:
-        """Counts of words, 0 for those not at hand; the words themselves decide, not their hashes."""
-        found = np.zeros(len(vocabulary), np.int64)
-        if not len(self.words) or not len(vocabulary):
+    def of(self, tokens: Tokens) -> np.ndarray:
+        """Counts of the vocabulary, 0 for words not at hand; the words themselves decide, not their hashes."""
+        found = np.zeros(len(tokens.vocabulary), np.int64)
+        if not len(self.words) or not len(found):
             return found
-        names = vocabulary.cast(pa.large_binary())
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in names.to_pylist()), _U64, len(names))
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        same = np.asarray(pc.equal(self.words.take(pa.array(at)), names))
+        at = np.minimum(np.searchsorted(self.hashes, tokens.hashes), len(self.hashes) - 1)
+        same = np.asarray(pc.equal(self.words.take(pa.array(at)), tokens.vocabulary.cast(pa.large_binary())))
         found[same] = self.counts[at[same]]
         return found
 
@@ -263,7 +270,7 @@ def frequent_words(counts: DataFrame, totals, most: int = HOT_WORDS) -> Exact:
     """The exact table; its size is bounded by the number of words and their length."""
     chosen = counts.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("c"), "word").limit(most).toArrow()
     words = chosen["word"].combine_chunks().cast(pa.large_binary())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py(), 0) for w in words), _U64, len(words))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in words), _U64, len(words))
     order = np.argsort(hashes, kind="stable")
     ends = counts.where(F.col("word") == F.lit(bytearray(END))).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     return Exact(totals["n"], totals["v"], ends, hashes[order], words.take(pa.array(order)), chosen["c"].to_numpy()[order])
@@ -276,11 +283,15 @@ def score_batch(tokens: Tokens, exact: Exact, words: Filter, pairs: Filter) -> n
     all counts from the filters.
     """
     ids, before, row = sequence(tokens)
+    # A count per word of the vocabulary; a text's end stands after its words, and before the next text's.
+    end = level_count(words.levels(unigram(END_ID)), words.base)[0]
+    single = np.full(len(ids), end)
+    single[ids_are_words(tokens)] = level_count(words.levels(unigram(tokens.hashes)), words.base)[tokens.codes]
+    whole = np.concatenate([[end], single[:-1]])
     mine = pairs.owns(grams := bigram(before, ids))
-    ids, before, row, grams = ids[mine], before[mine], row[mine], grams[mine]
-    whole = words.counts(unigram(before))
+    row, grams, single, whole = row[mine], grams[mine], single[mine], whole[mine]
     both = np.minimum(pairs.counts(grams), whole)
-    own = 10 ** exact.log_probability(words.counts(unigram(ids)))
+    own = 10 ** exact.log_probability(single)
     mixed = SHARE * both / (whole + CALM) + (1 - SHARE * whole / (whole + CALM)) * own
     # Without any token bincount counts in whole numbers.
     return np.bincount(row, np.log10(mixed), len(tokens.starts) - 1).astype(np.float64)
@@ -323,7 +334,7 @@ def score(
             for batch in batches:
                 tokens = tokenize(batch.column("text"), lower=True)
                 size = np.int64(max(1, len(tokens.vocabulary)))
-                of = exact.of(tokens.vocabulary)[tokens.codes]
+                of = exact.of(tokens)[tokens.codes]
                 sizes = np.diff(tokens.starts)
                 owner = np.repeat(np.arange(batch.num_rows), sizes)
                 hot = of > 0
