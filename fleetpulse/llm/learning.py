@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +48,51 @@ def adam(start: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps:
     return x
 
 
-def word_features(words: list[bytes], seed: int, starts: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of words, as (word, bucket): the word itself and its first bytes."""
-    owner, buckets = [], []
-    for i, w in enumerate(words):
-        for part in (w + b"$", *[w[:n] for n in starts if n <= len(w)]):
-            owner.append(i)
-            buckets.append(xxhash.xxh64_intdigest(part, seed) % BUCKETS)
-    return np.array(owner, np.int64), np.array(buckets, np.int64)
+# Texts that a fit takes apart at a time: it keeps numbers of them, not words.
+PART = 256
+
+
+@dataclass
+class Vocabulary:
+    """Distinct words by their hashes, with the buckets of each word's features; -1 where it has fewer."""
+
+    hashes: np.ndarray
+    buckets: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Vocabulary:
+        if not parts:
+            return cls(np.empty(0, np.uint64), np.empty((0, 1), np.int32))
+        hashes, first = np.unique(np.concatenate([h for h, _ in parts]), return_index=True)
+        return cls(hashes, np.concatenate([b for _, b in parts])[first])
+
+    def used(self, spread: np.ndarray, least: int) -> np.ndarray:
+        """Buckets of words that ``least`` documents or more have, given the documents of each word."""
+        there = self.buckets >= 0
+        times = np.bincount(self.buckets[there], np.broadcast_to(spread[:, None], there.shape)[there], BUCKETS)
+        return np.flatnonzero(times >= least)
+
+
+def pooled(values: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sum of the features' values of each word; a column of -1 stands for none."""
+    return np.append(values, 0)[columns].sum(axis=1)
+
+
+def spread_back(gradient: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """The gradient of ``pooled``: each feature gets that of all its words."""
+    out = np.zeros(n + 1)
+    for k in range(columns.shape[1]):
+        out += np.bincount(np.where(columns[:, k] < 0, n, columns[:, k]), gradient, n + 1)
+    return out[:-1]
+
+
+def taken(sample: DataFrame) -> tuple[np.ndarray, list[bytes]]:
+    """Labels and texts of a sample, on the driver."""
+    rows = sample.select("label", "text").toArrow()
+    labels, texts = np.asarray(rows["label"].combine_chunks()).astype(np.int64), rows["text"].to_pylist()
+    del rows
+    pa.default_memory_pool().release_unused()
+    return labels, texts
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.llm.common import packed, tokenize, unpacked
-from fleetpulse.llm.learning import BUCKETS, FOLDS, adam, labelled_sample, sigmoid
+from fleetpulse.llm.learning import BUCKETS, FOLDS, PART, Vocabulary, adam, labelled_sample, pooled, sigmoid, spread_back, taken
 
 # A document is selected if it reaches this grade with this probability.
 SELECT_GRADE = 1
@@ -40,15 +40,11 @@ def _shape(word: bytes) -> bytes:
     return bytes(out)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of each word's hashed features: itself in lower case, its beginnings, its shape."""
-    owner, buckets = [], []
-    for i, w in enumerate(words):
-        low = w.lower()
-        for part in (b"w" + low, b"p" + low[:5], b"s" + _shape(w)):
-            owner.append(i)
-            buckets.append(xxhash.xxh64_intdigest(part, SEED) % BUCKETS)
-    return np.array(owner, np.int64), np.array(buckets, np.int64)
+def word_buckets(words: list[bytes]) -> np.ndarray:
+    """Buckets of each word's hashed features: itself in lower case, its beginning, its shape."""
+    of = xxhash.xxh64_intdigest
+    flat = [of(part, SEED) % BUCKETS for w in words for part in (b"w" + w.lower(), b"p" + w[:5].lower(), b"s" + _shape(w))]
+    return np.array(flat, np.int32).reshape(-1, 3)
 
 
 # Features of the text besides its words': words that repeat the one before, and texts without words.
@@ -75,8 +71,7 @@ class Model:
     def latent(self, texts: list[bytes | None]) -> np.ndarray:
         tokens, owner, sizes, repeats = _counts(texts)
         known = tokens.vocabulary.cast(pa.binary()).to_pylist()
-        of, buckets = word_features(known)
-        word = np.bincount(of, self.weights[buckets], len(known))
+        word = pooled(self.weights, word_buckets(known))
         total = np.bincount(owner, word[tokens.codes], len(sizes)) + repeats * self.weights[REPEAT]
         return np.where(sizes > 0, SCALE * total / np.maximum(sizes, 1), SCALE * self.weights[EMPTY])
 
@@ -98,21 +93,32 @@ def fit(grades: np.ndarray, texts: list[bytes], steps: int = STEPS, min_document
     weights = np.zeros(BUCKETS, np.float32)
     if len(np.unique(grades)) < 2:
         return Model(weights, prior)
-    tokens, owner, sizes, repeats = _counts(texts)
-    known = tokens.vocabulary.cast(pa.binary()).to_pylist()
-    n_docs, size = len(texts), np.int64(max(1, len(known)))
-    pairs, times = np.unique(owner * size + tokens.codes, return_counts=True)
-    doc, word = pairs // size, pairs % size
-    value = SCALE * times / sizes[doc]
-    of, buckets = word_features(known)
-    spread = np.bincount(word, minlength=len(known))
-    used = np.flatnonzero(np.bincount(buckets, spread[of], BUCKETS) >= min_documents)
-    used = np.union1d(used, [REPEAT, EMPTY])
-    column = np.full(BUCKETS, -1)
+    n_docs = len(texts)
+    vocabularies, names, docs, times, sizes, repeats = [], [], [], [], [], []
+    for k in range(0, n_docs, PART):
+        tokens, owner, size, repeat = _counts(texts[k : k + PART])
+        known = tokens.vocabulary.cast(pa.binary()).to_pylist()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+        vocabularies.append((hashes, word_buckets(known)))
+        wide = np.int64(max(1, len(known)))
+        pairs, count = np.unique(owner * wide + tokens.codes, return_counts=True)
+        names.append(hashes[pairs % wide])
+        docs.append((pairs // wide + k).astype(np.int32))
+        times.append(count.astype(np.int32))
+        sizes.append(size)
+        repeats.append(repeat)
+    vocabulary = Vocabulary.of(vocabularies)
+    word = np.searchsorted(vocabulary.hashes, np.concatenate(names)).astype(np.int32)
+    doc, sizes, repeats = np.concatenate(docs), np.concatenate(sizes), np.concatenate(repeats)
+    value = SCALE * np.concatenate(times) / sizes[doc]
+    del vocabularies, names, docs, times
+    n_words = len(vocabulary.hashes)
+    used = np.union1d(vocabulary.used(np.bincount(word, minlength=n_words), min_documents), [REPEAT, EMPTY])
+    column = np.full(BUCKETS + 1, -1, np.int32)
     column[used] = np.arange(len(used))
     at_repeat, at_empty = column[REPEAT], column[EMPTY]
-    column = column[buckets]
-    of, column = of[column >= 0], column[column >= 0]
+    columns = column[vocabulary.buckets]
+    del vocabulary, column
     repeated, empty = SCALE * repeats / np.maximum(sizes, 1), SCALE * (sizes == 0)
     n = len(used)
 
@@ -120,15 +126,14 @@ def fit(grades: np.ndarray, texts: list[bytes], steps: int = STEPS, min_document
         return x[n] + np.concatenate([[0], np.cumsum(np.exp(x[n + 1 :]))])
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        w = np.bincount(of, x[:n][column], len(known))
-        z = np.bincount(doc, value * w[word], n_docs) + repeated * x[at_repeat] + empty * x[at_empty]
+        z = np.bincount(doc, value * pooled(x[:n], columns)[word], n_docs) + repeated * x[at_repeat] + empty * x[at_empty]
         above = sigmoid(z[:, None] - thresholds(x))
         whole = np.column_stack([np.ones(n_docs), above, np.zeros(n_docs)])
         slope = whole * (1 - whole)
         row = np.arange(n_docs)
         p = np.maximum(whole[row, grades] - whole[row, grades + 1], 1e-9)
         gz = -(slope[row, grades] - slope[row, grades + 1]) / p / n_docs
-        gw = np.bincount(column, np.bincount(word, value * gz[doc], len(known))[of], n)
+        gw = spread_back(np.bincount(word, value * gz[doc], n_words), columns, n)
         gw[at_repeat] += repeated @ gz
         gw[at_empty] += empty @ gz
         gt = np.zeros(top + 2)
@@ -146,8 +151,7 @@ def fit(grades: np.ndarray, texts: list[bytes], steps: int = STEPS, min_document
 
 def train(sample: DataFrame) -> Model:
     """``fit`` of (label, text) rows, whose number and length their maker bounds."""
-    rows = sample.select("label", "text").toArrow()
-    return fit(np.asarray(rows["label"].combine_chunks()).astype(np.int64), rows["text"].to_pylist())
+    return fit(*taken(sample))
 
 
 def train_on(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:

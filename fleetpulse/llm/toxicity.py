@@ -7,18 +7,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetpulse.llm.common import packed, tokenize, unpacked
-from fleetpulse.llm.learning import BUCKETS, FOLDS, adam, labelled_sample, sigmoid, softplus, word_features
+from fleetpulse.llm.learning import BUCKETS, FOLDS, PART, Vocabulary, adam, labelled_sample, pooled, sigmoid, softplus, spread_back, taken
 
 THRESHOLD = 0.5
 # Words in fewer labelled documents than this have no weight: they would only learn single texts by heart.
 MIN_DOCUMENTS = 5
 STEPS, RATE, L1 = 250, 0.1, 1e-4
 SEED = 1
+# A word's features: 0 for the whole word, else so many of its first bytes.
+STARTS = (0, 4, 5, 6)
 SENTENCE_WORDS = 8
 _END = b"\x00"
 
@@ -71,6 +74,13 @@ def sentences(texts: list[bytes | None]) -> Sentences:
     return Sentences(pairs % size, pairs // size, owner[end], known)
 
 
+def word_buckets(words: list[bytes]) -> np.ndarray:
+    """Buckets of each word's features: the word itself, and its first bytes."""
+    of = xxhash.xxh64_intdigest
+    flat = [of(w[:n] if n else w + b"$", SEED) % BUCKETS if n <= len(w) else -1 for w in words for n in STARTS]
+    return np.array(flat, np.int32).reshape(-1, len(STARTS))
+
+
 @dataclass
 class Model:
     """Weights of hashed word features, of fixed size whatever the corpus."""
@@ -79,8 +89,7 @@ class Model:
     bias: float
 
     def logits(self, s: Sentences) -> np.ndarray:
-        owner, buckets = word_features(s.words, SEED)
-        word = np.bincount(owner, self.weights[buckets], len(s.words))
+        word = pooled(self.weights, word_buckets(s.words))
         return self.bias + np.bincount(s.sentence, word[s.word], len(s.row))
 
 
@@ -95,25 +104,35 @@ def fit(y: np.ndarray, texts: list[bytes], steps: int = STEPS, min_documents: in
     if not y.any() or y.all():
         share = min(max(float(y.mean()) if n_docs else 0.0, 1e-6), 1 - 1e-6)
         return Model(weights, float(np.log(share / (1 - share))))
-    s = sentences(texts)
-    n, size = len(s.row), np.int64(len(s.words))
-    owner, buckets = word_features(s.words, SEED)
-    # Documents of a feature: through the words of each document.
-    spread = np.bincount(np.unique(s.row[s.sentence] * size + s.word) % size, minlength=len(s.words))
-    used = np.flatnonzero(np.bincount(buckets, spread[owner], BUCKETS) >= min_documents)
-    column = np.full(BUCKETS, -1)
+    known, names, places, owners, n = [], [], [], [], 0
+    for k in range(0, n_docs, PART):
+        s = sentences(texts[k : k + PART])
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in s.words), np.uint64, len(s.words))
+        known.append((hashes, word_buckets(s.words)))
+        names.append(hashes[s.word])
+        places.append((s.sentence + n).astype(np.int32))
+        owners.append((s.row + k).astype(np.int32))
+        n += len(s.row)
+    vocabulary = Vocabulary.of(known)
+    word = np.searchsorted(vocabulary.hashes, np.concatenate(names)).astype(np.int32)
+    place, owner, size = np.concatenate(places), np.concatenate(owners), np.int64(len(vocabulary.hashes))
+    del known, names, places, owners
+    # Documents of a word.
+    spread = np.bincount(np.unique(owner[place] * size + word) % size, minlength=size)
+    used = vocabulary.used(spread, min_documents)
+    column = np.full(BUCKETS + 1, -1, np.int32)
     column[used] = np.arange(len(used))
-    column = column[buckets]
-    owner, column = owner[column >= 0], column[column >= 0]
+    columns = column[vocabulary.buckets]
+    del vocabulary, spread, column
 
     def gradient(x: np.ndarray) -> np.ndarray:
-        word = np.bincount(owner, x[:-1][column], len(s.words))
-        z = x[-1] + np.bincount(s.sentence, word[s.word], n)
-        clean = np.exp(-np.bincount(s.row, softplus(z), n_docs))
+        z = x[-1] + np.bincount(place, pooled(x[:-1], columns)[word], n)
+        clean = np.exp(-np.bincount(owner, softplus(z), n_docs))
         pull = np.where(y, -clean / np.maximum(1 - clean, 1e-12), 1.0)
-        g = sigmoid(z) * pull[s.row]
-        of_word = np.bincount(s.word, g[s.sentence], len(s.words))
-        return np.append(np.bincount(column, of_word[owner], len(used)), g.sum()) / n_docs + l1 * np.append(x[:-1] / (np.abs(x[:-1]) + 0.01), 0)
+        g = sigmoid(z) * pull[owner]
+        of_word = np.bincount(word, g[place], len(columns))
+        w = x[:-1]
+        return np.append(spread_back(of_word, columns, len(used)) / n_docs + l1 * w / (np.abs(w) + 0.01), g.sum() / n_docs)
 
     base = np.log(max(y.mean(), 1e-6) * n_docs / n)
     x = adam(np.append(np.zeros(len(used)), base), gradient, steps, RATE)
@@ -123,8 +142,8 @@ def fit(y: np.ndarray, texts: list[bytes], steps: int = STEPS, min_documents: in
 
 def train(sample: DataFrame) -> Model:
     """``fit`` of (label, text) rows, whose number and length their maker bounds."""
-    rows = sample.select("label", "text").toArrow()
-    return fit(np.asarray(rows["label"].combine_chunks()) > 0, rows["text"].to_pylist())
+    labels, texts = taken(sample)
+    return fit(labels > 0, texts)
 
 
 def score(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
