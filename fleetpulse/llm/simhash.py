@@ -125,12 +125,16 @@ def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle_w
 
 
 def drop_near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents without the near copies, all columns kept: one row of each group stays.
+    """The documents without the near copies, all columns kept: one row of each group stays, as ``keep_one`` says."""
+    return keep_one(docs, grouped(docs, max_distance, shingle_words))
+
+
+def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each ``component`` of ``found`` (doc_id, key, component), all columns kept.
 
     It is the row with the smallest doc_id; among rows that share that id the one whose text hashes
     lowest, and of rows equal in both any one. A group without any id keeps a row likewise.
     """
-    found = grouped(docs, max_distance, shingle_words)
     rank = F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "key")
     best = found.groupBy("component").agg(F.min(rank).alias("best"))
     same = found.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"))
