@@ -40,12 +40,20 @@ LETTERS = _letters()
 
 @dataclass
 class Sentences:
-    """Distinct words of each sentence of some texts: ``word`` of ``sentence``; the texts' rows; the words."""
+    """Distinct words of each instance of some texts: ``word`` of ``sentence``; the texts' rows; the words.
+
+    An instance is one sentence or several short ones. Every word of the texts, in order, has its ``code``,
+    its instance ``place``, and in ``part`` the number of its real sentence in its text; sentences without
+    words are not counted.
+    """
 
     word: np.ndarray
     sentence: np.ndarray
     row: np.ndarray
     words: list[bytes]
+    code: np.ndarray
+    place: np.ndarray
+    part: np.ndarray
 
 
 def sentences(texts: list[bytes | None]) -> Sentences:
@@ -71,7 +79,10 @@ def sentences(texts: list[bytes | None]) -> Sentences:
     number = np.cumsum(end) - end
     size = np.int64(max(1, len(known)))
     pairs = np.unique(number[~mark] * size + tokens.codes[~mark])
-    return Sentences(pairs % size, pairs // size, owner[end], known)
+    piece, text = np.cumsum(mark)[~mark], owner[~mark]
+    nth = np.cumsum(np.concatenate([[False], piece[1:] != piece[:-1]])[: len(piece)])
+    part = nth - nth[np.searchsorted(text, text)]
+    return Sentences(pairs % size, pairs // size, owner[end], known, tokens.codes[~mark], number[~mark], part)
 
 
 def word_buckets(words: list[bytes]) -> np.ndarray:
@@ -88,10 +99,39 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def logits(self, s: Sentences) -> np.ndarray:
-        word = pooled(self.weights, word_buckets(s.words))
+    def of_words(self, s: Sentences) -> np.ndarray:
+        return pooled(self.weights, word_buckets(s.words))
+
+    def logits(self, s: Sentences, word: np.ndarray | None = None) -> np.ndarray:
+        word = self.of_words(s) if word is None else word
         return self.bias + np.bincount(s.sentence, word[s.word], len(s.row))
 
+    def located(self, s: Sentences, word: np.ndarray, p: np.ndarray, least: float) -> list[tuple[int, dict]]:
+        """(row, entry of ``_offending``) of the real sentences of the instances with ``p`` of at least ``least``.
+
+        Of several sentences in an instance those that reach ``least`` by themselves, and the strongest.
+        """
+        bad = p >= least
+        found = bad[s.place]
+        wide, size = np.int64(s.part.max(initial=0) + 1), np.int64(max(1, len(s.words)))
+        names, back = np.unique(s.place[found] * wide + s.part[found], return_inverse=True)
+        pairs = np.unique(back * size + s.code[found])
+        z = self.bias + np.bincount(pairs // size, word[pairs % size], len(names))
+        place, part = names // wide, names % wide
+        best, low, high = np.full(len(p), -np.inf), np.full(len(p), wide), np.zeros(len(p), np.int64)
+        np.maximum.at(best, place, z)
+        np.minimum.at(low, place, part)
+        np.maximum.at(high, place, part)
+        out = []
+        for k in np.flatnonzero((sigmoid(z) >= least) | (z == best[place])):
+            i = place[k]
+            out.append((s.row[i], {"sentence": int(part[k]), "first": int(low[i]), "last": int(high[i]), "score": float(p[i])}))
+        # A text without words is one empty sentence.
+        filled = np.zeros(int(s.row.max(initial=-1)) + 1, bool)
+        filled[s.row[s.place]] = True
+        out += [(s.row[i], {"sentence": 0, "first": 0, "last": 0, "score": float(p[i])}) for i in np.flatnonzero(bad & ~filled[s.row])]
+        return out
+
 
 def fit(y: np.ndarray, texts: list[bytes], steps: int = STEPS, min_documents: int = MIN_DOCUMENTS, l1: float = L1) -> Model:
     """Fits sentence weights to document labels: a document is clean if all its sentences are (noisy-or).
@@ -149,8 +189,9 @@ def train(sample: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
     """All rows and columns, plus ``_score`` (0 to 1) and ``_offending``, the sentences of at least ``least``.
 
-    ``_offending`` lists (sentence, score): the number of the sentence in its text, from 0, where a
-    sentence ends at . ! ? or the end of a line. The model is of fixed size and broadcast.
+    ``_offending`` lists (sentence, first, last, score): the number of the sentence in its text, from 0, where a
+    sentence has a word and ends at . ! ? or the end of a line. Short sentences are scored together:
+    ``first`` to ``last`` are those that share the score. The model is of fixed size and broadcast.
 
     * Only the text is scored. NULL, empty and blank texts are one empty sentence.
     * Rows are judged one by one: repeated rows alike, an empty table gives none.
@@ -158,22 +199,21 @@ def score(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())]))
+        listed = pa.list_(pa.struct([("sentence", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
             s = sentences(batch.column("text").to_pylist())
-            z = shared.value.logits(s)
+            z = shared.value.logits(s, word := shared.value.of_words(s))
             total = 1 - np.exp(-np.bincount(s.row, softplus(z), batch.num_rows))
             p = sigmoid(z)
             offending: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            first = np.searchsorted(s.row, np.arange(batch.num_rows))
-            for k in np.flatnonzero(p >= least):
-                offending[s.row[k]].append({"sentence": int(k - first[s.row[k]]), "score": float(p[k])})
+            for row, entry in shared.value.located(s, word, p, least):
+                offending[row].append(entry)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(np.clip(total, 0, 1)), pa.array(offending, listed)], ["row", "score", "offending"]
             )
 
     own = packed(docs, text=F.col("text").cast("binary"))
-    found = T.ArrayType(T.StructType([T.StructField("sentence", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+    found = T.ArrayType(T.StructType([*[T.StructField(c, T.IntegerType()) for c in ("sentence", "first", "last")], T.StructField("score", T.DoubleType())]))
     schema = T.StructType([own.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("offending", found)])
     return unpacked(own.mapInArrow(run, schema), docs.columns, _score=F.col("score"), _offending=F.col("offending"))
 

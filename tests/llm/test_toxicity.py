@@ -67,6 +67,15 @@ def test_offending_sentences_are_located(spark, labelled):
     assert first["_score"] > 0.5 > second["_score"]
 
 
+def test_short_sentences_are_located(spark, labelled):
+    model = toxicity.train(spark.createDataFrame([(y, t.encode()) for _, t, y in labelled[:800]], "label int, text binary"))
+    rude, calm = RUDE[0], "w1 w2 w3 w4 w5 w6 w7 w8 w9"
+    texts = [f"W1 w2. W3 {rude}... W4.", f"W1. w2? W3. {calm}! W5 w6. W7 {rude}. {calm}. {calm} {rude}", f"{rude}. w1. {rude}. w2", None]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [[o.sentence for o in x["_offending"]] for x in scored] == [[1], [5, 7], [0, 2], []]
+    assert [(o.first, o.last) for o in scored[0]["_offending"]] == [(0, 2)]
+
+
 def test_scores_do_not_depend_on_the_batch(spark, labelled):
     model = toxicity.fit(np.array([y for *_, y in labelled[:300]], bool), [t.encode() for _, t, _ in labelled[:300]], steps=20)
     texts = [t.encode() for _, t, _ in labelled[:40]]
