@@ -18,10 +18,10 @@ SIMILARITY = 0.8
 # of 64 bits on average, with a deviation of 2.9. The radius lies 3.9 deviations above.
 RADIUS = 21
 BITS = 64
-# Counters of 16 bits, four to a long: a window has fewer shingles than a counter can hold.
-LANES = 16
-LANE_MASK = 0x0001000100010001
-MAX_ITEM_WORDS = 32_000
+# Counters of 16 bits, four to a long, hold the shingles of items of so many words; with a longer item
+# they have 32 bits, two to a long. The fingerprints are the same.
+LANES, WIDE_LANES = 16, 32
+NARROW_WORDS = 32_000
 
 
 def _hash(c: Column) -> Column:
@@ -46,18 +46,19 @@ def normal_words(text: Column) -> Column:
     return words(ascii_lower(text))
 
 
-def lane_counts(h: Column) -> list[Column]:
-    """Sums of the bits of hashes ``h``, four bits to a long."""
-    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANE_MASK))).alias(f"lane{i}") for i in range(LANES)]
+def lane_counts(h: Column, weight: Column, lanes: int = LANES) -> list[Column]:
+    """Sums of the bits of hashes ``h`` by their weights, every ``lanes``-th bit in one long."""
+    mask = F.lit(sum(1 << i for i in range(0, BITS, lanes)))
+    return [F.sum(F.shiftrightunsigned(h, i).bitwiseAND(mask) * weight).alias(f"lane{i}") for i in range(lanes)]
 
 
-def majority(n: Column) -> Column:
+def majority(n: Column, lanes: int = LANES) -> Column:
     """The fingerprint: bits that over half of ``n`` hashes have, from their lane counts."""
     bits = []
-    for i in range(LANES):
-        for part in range(BITS // LANES):
-            count = F.shiftrightunsigned(F.col(f"lane{i}"), 16 * part).bitwiseAND(F.lit(0xFFFF))
-            value = 1 << (i + 16 * part)
+    for i in range(lanes):
+        for part in range(BITS // lanes):
+            count = F.shiftrightunsigned(F.col(f"lane{i}"), lanes * part).bitwiseAND(F.lit((1 << lanes) - 1))
+            value = 1 << (i + lanes * part)
             value -= (value >> (BITS - 1)) << BITS
             bits.append(F.when(count * 2 > n, F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
     while len(bits) > 1:
@@ -84,8 +85,6 @@ def benchmark_items(benchmark: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """
     tokens = normal_words(F.col("text"))
     texts = benchmark.select("item_id", tokens.alias("tokens")).where(F.size("tokens") > 0)
-    if long := texts.where(F.size("tokens") > MAX_ITEM_WORDS).count():
-        raise ValueError(f"{long} benchmark items have more than {MAX_ITEM_WORDS} words; cut them into passages")
     texts = texts.groupBy("tokens").agg(F.min("item_id").alias("item_id"))
     own = texts.select(F.xxhash64("tokens").alias("item"), F.size("tokens").alias("n_words"), shingles(F.col("tokens"), k).alias("s"))
     each = own.select("item", "n_words", F.size("s").alias("n"), F.explode("s").alias("shingle"))
@@ -148,8 +147,10 @@ def contaminated(
     weighed = stored(each.groupBy("window", "n_words", "shingle").agg(F.count("*").alias("weight")), "bench-shingles")
 
     # 3: blocks.
-    window_prints = _prints(weighed.withColumn("h", _hash(F.col("shingle"))), "window", "fp")
-    item_prints = _prints(items, "item", "ifp")
+    longest = items.agg(F.max("n_words")).first()[0] or 0
+    lanes = LANES if longest <= NARROW_WORDS else WIDE_LANES
+    window_prints = _prints(weighed.withColumn("h", _hash(F.col("shingle"))), "window", "fp", lanes)
+    item_prints = _prints(items, "item", "ifp", lanes)
     blocked = window_prints.select("window", "n_words", "fp", F.explode(blocks(F.col("fp"), radius)).alias("b")).select("*", "b.*").drop("b")
     item_blocked = item_prints.select("item", "n_words", "ifp", F.explode(blocks(F.col("ifp"), radius)).alias("b")).select("*", "b.*").drop("b")
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius
@@ -170,11 +171,10 @@ def contaminated(
     return hit.groupBy("key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
 
 
-def _prints(weighed: DataFrame, name: str, fp: str) -> DataFrame:
+def _prints(weighed: DataFrame, name: str, fp: str, lanes: int = LANES) -> DataFrame:
     """(name, n_words, fp): the fingerprint of every window or item from its shingles, weights counted."""
-    lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANE_MASK)) * F.col("weight")).alias(f"lane{i}") for i in range(LANES)]
-    summed = weighed.groupBy(name, "n_words").agg(*lanes, F.sum("weight").alias("n"))
-    return summed.select(name, "n_words", majority(F.col("n")).alias(fp))
+    summed = weighed.groupBy(name, "n_words").agg(*lane_counts(F.col("h"), F.col("weight"), lanes), F.sum("weight").alias("n"))
+    return summed.select(name, "n_words", majority(F.col("n"), lanes).alias(fp))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

@@ -107,3 +107,12 @@ def test_native_plan(spark, documents):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     plan = decontaminate.judge(documents(["a b c d e f g"]), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_fingerprints_of_long_items(spark):
+    r = random.Random(8)
+    weighed = [(r.getrandbits(64) - (1 << 63), w) for w in (70_000, 66_000, 65_536, 1, 2)]
+    df = spark.createDataFrame([(1, 201_539, h, w) for h, w in weighed], "item long, n_words int, h long, weight long")
+    (found,) = decontaminate._prints(df, "item", "fp", decontaminate.WIDE_LANES).collect()
+    total = sum(w for _, w in weighed)
+    assert found.fp % (1 << 64) == sum(1 << b for b in range(64) if 2 * sum(w * (h >> b & 1) for h, w in weighed) > total)
