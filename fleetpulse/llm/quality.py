@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,14 +31,13 @@ def graded(quality: Column, toxic: Column) -> Column:
     return F.when(quality == 0, 0).when(toxic == 1, 1).when(quality == 1, 2)
 
 
+_KINDS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+_REPEATS = re.compile(rb"(.)\1+", re.DOTALL)
+
+
 def _shape(word: bytes) -> bytes:
     """Kinds of signs of a word in order, repeats left out: letters, capitals, digits, others as they are."""
-    out = bytearray()
-    for b in word[:64]:
-        kind = b"A" if 65 <= b <= 90 else b"a" if 97 <= b <= 122 or b >= 128 else b"9" if 48 <= b <= 57 else bytes([b])
-        if out[-1:] != kind:
-            out += kind
-    return bytes(out)
+    return _REPEATS.sub(rb"\1", word.translate(_KINDS))
 
 
 def word_buckets(words: list[bytes]) -> np.ndarray:

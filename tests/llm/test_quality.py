@@ -72,3 +72,9 @@ def test_one_grade_only(spark, grades):
     model = quality.train(spark.createDataFrame([(g, b"some words") for g in grades], "label int, text binary"))
     (p,) = model.tails(model.latent([b"any"]))[:, 0]
     assert (p > 0.5) == (2 in grades) or not grades
+
+
+def test_shape_is_of_the_whole_word():
+    assert quality._shape(b"aB9-\xc3\xa9zz..!") == b"aA9-a.!"
+    assert quality._shape(b"a" * 64 + b"9+/") == b"a9+/"
+    assert quality._shape(b"") == b""
