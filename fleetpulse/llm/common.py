@@ -115,6 +115,8 @@ def tokenize(texts: pa.Array | pa.ChunkedArray, lower: bool) -> Tokens:
     """Splits at the contract's white space; NULL has no words. Bytes that are no UTF-8 stay as they are."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:  # a slice is copied: the cast keeps its offset, which ascii_lower reads wrongly
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, bounds = parts.flatten(), np.asarray(parts.offsets)

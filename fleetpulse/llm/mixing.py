@@ -116,8 +116,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 # ``{docs}`` stands for the table that is mixed.
 TARGETS_SQL = r"""
 sized AS (
-  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS size FROM {docs}),
+  SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM {docs}),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT *, 2 * source_size AS cap,

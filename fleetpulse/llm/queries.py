@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, embeddings, lines, lm, mixing, quality, simhash, substrings, toxicity, urls
+from fleetpulse.llm import decontaminate, embeddings, lines, lm, mixing, quality, rules, simhash, substrings, toxicity, urls
 from fleetpulse.llm.common import fold, prepare, table
 from fleetpulse.llm.learning import FOLDS
 from fleetpulse.plans.common import Entry
@@ -87,6 +87,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = rules.judged(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    told = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    base_failed = F.col("_bits").bitwiseAND(F.lit(rules.BASE)) != 0
+    return found.select("doc_id", *[F.col("_measures").getField(m).alias(m) for m in told], base_failed.alias("base_failed"), F.col("_kept").alias("kept"))
+
+
 QUERIES: dict[str, Entry] = {
     "op1_toxicity": Entry(op1_toxicity),
     "op2_quality_classifier": Entry(op2_quality_classifier),
@@ -98,6 +106,7 @@ QUERIES: dict[str, Entry] = {
     "op8_embedding_near_dedup": Entry(op8_embedding_near_dedup),
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
     "op10_substring_dedup": Entry(op10_substring_dedup),
+    "op13_quality_rules": Entry(op13_quality_rules, rules.ORACLE_SQL),
 }
 
 
