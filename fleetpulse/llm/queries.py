@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import decontaminate, embeddings, lines, lm, mixing, quality, rules, simhash, substrings, toxicity, urls
+from fleetpulse.llm import codes, decontaminate, embeddings, lines, lm, mixing, quality, rules, simhash, substrings, toxicity, urls
 from fleetpulse.llm.common import fold, prepare, table
 from fleetpulse.llm.learning import FOLDS
 from fleetpulse.plans.common import Entry
@@ -87,6 +87,16 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.label_errors(coded)
+    digits = F.array_join(F.transform("_code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    return found.select(
+        "vec_id", digits.alias("code"), F.col("_error").alias("error"), F.col("_label_error").alias("label_error"), F.lit(books.sha256).alias("codebooks_sha256")
+    )
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = rules.judged(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -106,6 +116,7 @@ QUERIES: dict[str, Entry] = {
     "op8_embedding_near_dedup": Entry(op8_embedding_near_dedup),
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
     "op10_substring_dedup": Entry(op10_substring_dedup),
+    "op11_vector_codes": Entry(op11_vector_codes, codes.ORACLE_SQL),
     "op13_quality_rules": Entry(op13_quality_rules, rules.ORACLE_SQL),
 }
 

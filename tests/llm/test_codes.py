@@ -1,0 +1,113 @@
+"""Vector codes against plain Python in whole numbers of any length."""
+
+import hashlib
+import math
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from fleetpulse.llm import codes, queries
+
+SCHEMA = "vec_id long, embedding array<double>, label int, told string, vector int"
+
+
+def scaled(x):
+    return math.floor(256 * Fraction(x))
+
+
+def plain(rows, parts=16, entries=64, rounds=2):
+    """Brute force: ([(vec_id, label, code, error)], all entries) of (vec_id, vector, label)."""
+    kept = [(i, v, label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    size = max(1, -(-max((len(v) for _, v, _ in kept), default=0) // parts))
+    cut = lambda v: [[*map(scaled, v), *[0] * (parts * size - len(v))][p * size : (p + 1) * size] for p in range(parts)]
+    start = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))[:entries]
+    books = [[cut(v)[p] for _, v, _ in start] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda v: [min((far(x, e), k) for k, e in enumerate(books[p])) for p, x in enumerate(cut(v))]
+    for _ in range(rounds):
+        held = {}
+        for _, v, _ in kept:
+            for p, ((_, k), x) in enumerate(zip(near(v), cut(v))):
+                held.setdefault((p, k), []).append(x)
+        for (p, k), xs in held.items():
+            books[p][k] = [sum(c) // len(xs) for c in zip(*xs)]
+    return [(i, label, [k for _, k in near(v)], sum(d for d, _ in near(v))) for i, v, label in kept], books
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, label, "x", 1) for i, v, label in rows], SCHEMA).repartition(3)
+
+
+def vectors(n, dims, seed=1, spread=1.0):
+    r = random.Random(seed)
+    centres = [[r.gauss(0, spread) for _ in range(dims)] for _ in range(9)]
+    return [[x + r.gauss(0, spread / 5) for x in r.choice(centres)] for _ in range(n)]
+
+
+NAN, INF = math.nan, math.inf
+BAD = [(900, None, 1), (901, [NAN] * 32, 1), (902, [INF] + [0.0] * 31, None), (903, [None] + [1.0] * 31, 2), (904, [-INF] * 32, 2)]
+
+
+def cases():
+    some = [(i * 3, v, i % 4 if i % 7 else None) for i, v in enumerate(vectors(200, 32))]
+    yield "plain", some
+    ties = [(i, [float(k) for k in ([0, 1, 2, 3] * 8)[i % 3 :] + [0] * (i % 3)], 0) for i in range(90)]
+    yield "ties and repeats", ties + ties[:20] + [(None, [0.5] * 32, None)] * 2
+    yield "few rows", some[:5]
+    yield "odd lengths", [(i, v[: 1 + i % 35], i % 2) for i, v in enumerate(vectors(100, 35))] + [(1000, [], None)]
+    yield "large", [(i, v, 1) for i, v in enumerate(vectors(70, 16, 3, 1e30))] + [(500 + i, v, 2) for i, v in enumerate(vectors(70, 16, 4))]
+    yield "beyond single bytes", [(i, v, 1) for i, v in enumerate(vectors(70, 80, 5, 1e6))]
+    yield "largest doubles", [(0, [1.7e308] * 16, 1), (1, [-1.7e308, 5e-324] * 8, 1), (2, [-5e-324] * 16, 1)]
+
+
+@pytest.mark.parametrize("name,rows", list(cases()), ids=[n for n, _ in cases()])
+def test_against_brute_force(spark, name, rows):
+    rows = rows + BAD
+    expected, books = plain(rows)
+    frame = table(spark, rows)
+    coded, found = codes.compress(frame)
+    assert found.entries.tolist() == books
+    assert coded.columns == [*frame.columns, "_code", "_error"]
+    fits = lambda e: e if e < 2**63 else None
+    assert sorted(((r.vec_id, r.label, list(r._code), r._error) for r in coded.collect()), key=repr) == sorted(((i, l, c, fits(e)) for i, l, c, e in expected), key=repr)
+    totals = {label: fits(sum(e for _, l, _, e in expected if l == label)) for _, label, _, _ in expected}
+    assert {(r.label, r._label_error) for r in codes.label_errors(coded).collect()} == set(totals.items())
+
+
+@pytest.mark.parametrize("rows", [next(cases())[1] + BAD, [], BAD])
+def test_query(spark, tmp_path, rows):
+    table(spark, rows).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.op11_vector_codes(spark, str(tmp_path)).collect()
+    expected, books = plain(rows)
+    said = hashlib.sha256(",".join(str(x) for part in books for entry in part for x in entry).encode()).hexdigest()
+    totals = {label: sum(e for _, l, _, e in expected if l == label) for _, label, _, _ in expected}
+    assert sorted(map(tuple, found), key=repr) == sorted(((i, "".join(f"{k:02x}" for k in c), e, totals[l], said) for i, l, c, e in expected), key=repr)
+
+
+def test_transform_and_elimination():
+    r = np.random.default_rng(2)
+    for width in (1, 2, 3, 4, 7, 16, 33):
+        x, e = r.integers(-50, 50, (300, width)), r.integers(-50, 50, (20, width))
+        e[7] = e[3]
+        square = np.square(x[:, None] - e[None]).sum(axis=2)
+        index, least = codes.nearest(codes.walsh(x), codes.walsh(e))
+        assert (index == square.argmin(axis=1)).all() and (least == square.min(axis=1)).all()
+        wide = codes.nearest(codes.walsh(x.astype(object)), codes.walsh(e.astype(object)))
+        assert (wide[0] == index).all() and (wide[1] == least).all()
+    changes = (np.diff(codes.walsh(np.eye(16, dtype=int)).T) != 0).sum(axis=1)
+    assert changes.tolist() == list(range(16))
+
+
+def test_codes_of_other_rows(spark):
+    rows = [(i, v, 0) for i, v in enumerate(vectors(80, 32))]
+    books = codes.fit(table(spark, rows))
+    other = table(spark, [(1, [0.25] * 32, 0), (2, [0.25] * 33, 0), (3, [0.25] * 3, 0), *BAD])
+    coded = codes.encode(other, books)
+    told = {r.vec_id: r for r in coded.collect()}
+    assert set(told) == {1, 2, 3} and told[2]._code is None and told[2]._error is None
+    back = {r[0]: r[1] for r in coded.where("_code IS NOT NULL").select("vec_id", codes.decoded(coded._code, books)).collect()}
+    assert sum((a - b) ** 2 for a, b in zip([64] * 32, back[1])) == told[1]._error
+    none = codes.fit(table(spark, []))
+    assert none.entries.size == 0 and [r._code for r in codes.encode(other, none).collect()] == [None] * 3
