@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import codes, decontaminate, embeddings, lines, lm, mixing, quality, rules, simhash, substrings, toxicity, urls
+from fleetpulse.llm import codes, decontaminate, embeddings, lines, lm, mixing, quality, rules, simhash, substrings, toxicity, tries, urls
 from fleetpulse.llm.common import fold, prepare, table
 from fleetpulse.llm.learning import FOLDS
 from fleetpulse.plans.common import Entry
@@ -97,6 +97,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return tries.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = rules.judged(rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Entry] = {
     "op9_line_dedup": Entry(op9_line_dedup, lines.ORACLE_SQL),
     "op10_substring_dedup": Entry(op10_substring_dedup),
     "op11_vector_codes": Entry(op11_vector_codes, codes.ORACLE_SQL),
+    "op12_prefix_trie": Entry(op12_prefix_trie, tries.ORACLE_SQL),
     "op13_quality_rules": Entry(op13_quality_rules, rules.ORACLE_SQL),
 }
 
