@@ -488,7 +488,7 @@ nodes AS (
   FROM prefixes GROUP BY ALL),
 children AS (SELECT list_slice(node, 1, depth - 1) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
 figures AS (
-  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * node[depth].words ELSE 0 END AS own
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * n.node[depth].words ELSE 0 END AS own
   FROM nodes n LEFT JOIN children c ON n.node = c.node),
 subtrees AS (
   SELECT list_slice(node, 1, i) AS node, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
