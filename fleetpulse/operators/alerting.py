@@ -1,7 +1,8 @@
 """Threshold rules over telemetry, and the alert episodes they lead to.
 
-An episode starts at the first breaching sample that lies at least the hold time after
-the first breaching sample of its run, and ends at the next sample that does not breach.
+An episode starts at the first breaching sample that lies at least its hold time after
+the first breaching sample of its run, and ends at the next sample that does not breach. A rule
+may change while it breaches: every sample counts with the hold time of the rule as it was then.
 
 One (rule, agent) may hold a large part of all samples, so no step sorts a whole history
 in one task. Samples are ordered within short time chunks only. What one chunk has to know
@@ -119,15 +120,18 @@ def evaluate_offline(segments: DataFrame, rules: DataFrame, start: datetime, ste
     )
 
 
-def _held(clock: Column, first: Column, hold: str = "hold_seconds") -> Column:
-    return F.unix_micros(clock) - F.unix_micros(first) >= F.col(hold) * F.lit(1_000_000).cast("bigint")
+def _reaches(due: Column, first: Column) -> Column:
+    """Whether a run that began at ``first`` had gone on long enough for a sample, or for one of several."""
+    return F.coalesce(due >= F.unix_micros(first), F.lit(False))
 
 
 def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
     """Samples with their place in the runs of their chunk.
 
-    ``run_first``  first breaching time of the run the sample belongs to, within the chunk
-    ``leading``    breaching, with no clear sample before it in the chunk
+    ``run``     first breaching sample (clock, id) of the run the sample belongs to, within the chunk
+    ``leading`` breaching, with no clear sample before it in the chunk
+    ``due``     a run that began by then has been held long enough at the sample
+    ``reach``   the latest ``due`` of the samples before it in its run, within the chunk
 
     The frame is read twice, for the summary and for the candidates. The key filter stands
     here so that both readings have the same plan below the shuffle and share it.
@@ -136,38 +140,44 @@ def _marked(evaluations: DataFrame, chunk_seconds: int) -> DataFrame:
     here = Window.partitionBy(*CHUNK).orderBy("clock", "id")
     so_far = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     breaching = F.col("breaching")
-    run_start = F.when(breaching & ~F.coalesce("prev_breaching", F.lit(False)), F.col("clock"))
+    run_start = F.when(breaching & ~F.coalesce("prev_breaching", F.lit(False)), F.struct("clock", "id"))
+    # Runs come one after the other, so the greatest of all before is of the sample's own run if that has any.
+    latest = F.max(F.when(breaching, F.struct("run", "due"))).over(here.rowsBetween(Window.unboundedPreceding, -1))
     return (
         evaluations.withColumn("chunk", chunk)
         .where(F.col("rule_id").isNotNull() & F.col("agent_id").isNotNull() & F.col("chunk").isNotNull())
-        .withColumns({"prev_breaching": F.lag("breaching").over(here), "prev_clock": F.lag("clock").over(here)})
+        .withColumn("due", F.unix_micros("clock") - F.col("hold_seconds") * F.lit(1_000_000).cast("bigint"))
+        .withColumn("prev_breaching", F.lag("breaching").over(here))
         .withColumns(
             {
-                "run_first": F.last(run_start, ignorenulls=True).over(so_far),
+                "run": F.last(run_start, ignorenulls=True).over(so_far),
                 "leading": breaching & ~F.max(~breaching).over(so_far),
             }
         )
+        .withColumn("_latest", latest)
+        .withColumn("reach", F.when(breaching & (F.col("_latest.run") == F.col("run")), F.col("_latest.due")))
+        .drop("_latest")
     )
 
 
 def _chunk_summary(marked: DataFrame) -> DataFrame:
     """Per chunk: its first clear sample, and the run still open at its end, if any."""
     sample = F.struct("clock", "id", "value")
-    open_first = F.when(F.col("breaching"), F.col("run_first")).alias("open_first")
+    breaching = F.col("breaching")
+    open_run = [F.when(breaching, F.col("run.clock")).alias("open_first"), F.when(breaching, F.greatest("reach", "due")).alias("open_reach")]
     return (
         marked.groupBy(*CHUNK)
         .agg(
-            F.min(F.when(~F.col("breaching"), sample)).alias("first_clear"),
-            F.max(F.struct("clock", "id", open_first)).alias("tail"),
-            F.max("hold_seconds").alias("hold_seconds"),
+            F.min(F.when(~breaching, sample)).alias("first_clear"),
+            F.max(F.struct("clock", "id", *open_run)).alias("tail"),
         )
         .select(
             *CHUNK,
             "first_clear",
             F.col("tail.open_first").alias("open_first"),
+            F.col("tail.open_reach").alias("open_reach"),
             F.col("tail.clock").alias("last_clock"),
             F.col("tail.id").alias("last_id"),
-            "hold_seconds",
         )
     )
 
@@ -176,8 +186,8 @@ def _carried(summary: DataFrame) -> DataFrame:
     """Adds what each chunk gets from its neighbours; one row per chunk, so rows stay few.
 
     ``open_out``    start of the run open at the chunk's end
-    ``open_in``     the same for the chunk before
-    ``last_in``     last sample time of the chunk before
+    ``reach_out``   the latest ``due`` of that run so far
+    ``open_in``, ``reach_in``  the same for the chunk before
     ``next_clear``  first clear sample in a later chunk
     """
     forward = Window.partitionBy(*PAIR).orderBy("chunk")
@@ -185,18 +195,20 @@ def _carried(summary: DataFrame) -> DataFrame:
     later = Window.partitionBy(*PAIR).orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     # A chunk decides anew what is open at its end unless it only prolongs an open run.
     prolongs = F.col("first_clear").isNull() & F.col("_open_before").isNotNull()
-    decided = F.when(~prolongs, F.struct("open_first"))
+    decided = F.when(~prolongs, F.struct("chunk", "open_first"))
     return (
         summary.withColumn("_open_before", F.lag("open_first").over(forward))
-        .withColumn("open_out", F.last(decided, ignorenulls=True).over(so_far)["open_first"])
+        .withColumn("_decided", F.last(decided, ignorenulls=True).over(so_far))
+        .withColumns({"open_out": F.col("_decided.open_first"), "_reach": F.max(F.struct("_decided.chunk", "open_reach")).over(so_far)})
+        .withColumn("reach_out", F.col("_reach.open_reach"))
         .withColumns(
             {
                 "open_in": F.lag("open_out").over(forward),
-                "last_in": F.lag("last_clock").over(forward),
+                "reach_in": F.lag("reach_out").over(forward),
                 "next_clear": F.last("first_clear", ignorenulls=True).over(later),
             }
         )
-        .drop("_open_before")
+        .drop("_open_before", "_decided", "_reach")
     )
 
 
@@ -214,20 +226,17 @@ def episodes_and_chunks(
         summary = summary.unionByName(before)
     carried = _carried(summary)
 
-    breaching, leading = F.col("breaching"), F.col("leading")
+    breaching, leading, due = F.col("breaching"), F.col("leading"), F.col("due")
     clears_run = ~breaching & F.coalesce("prev_breaching", F.lit(False))
-    run_goes_on = F.coalesce("prev_breaching", F.lit(False))
-    first_held = breaching & _held(F.col("clock"), F.col("run_first")) & ~(
-        run_goes_on & _held(F.col("prev_clock"), F.col("run_first"))
-    )
+    first_held = breaching & _reaches(due, F.col("run.clock")) & ~_reaches(F.col("reach"), F.col("run.clock"))
     candidates = marked.where(clears_run | leading | first_held)
 
     continues = leading & F.col("open_in").isNotNull()
-    first = F.when(continues, F.col("open_in")).otherwise(F.col("run_first"))
-    prev = F.when(run_goes_on, F.col("prev_clock")).when(continues, F.col("last_in"))
-    fires = breaching & _held(F.col("clock"), first, "hold") & ~F.coalesce(_held(prev, first, "hold"), F.lit(False))
+    first = F.when(continues, F.col("open_in")).otherwise(F.col("run.clock"))
+    reach = F.when(continues, F.greatest("reach", "reach_in")).otherwise(F.col("reach"))
+    fires = breaching & _reaches(due, first) & ~_reaches(reach, first)
 
-    neighbours = carried.select(*CHUNK, "open_in", "last_in", "next_clear", F.col("hold_seconds").alias("hold"))
+    neighbours = carried.select(*CHUNK, "open_in", "reach_in", "next_clear")
     marks = (
         candidates.join(neighbours, CHUNK)
         .withColumns({"fires": fires, "first_breach": first})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import alerting as A
 from fleetpulse.operators import incidents as I
+from fleetpulse.operators import versions as V
 from fleetpulse.plans.common import TELEMETRY_SQL, Entry, id_sql, rules_sql
 from fleetpulse.plans.fleet import HEALTHY, STALE
 from fleetpulse.sources import benchmark_tables as B
@@ -50,6 +51,41 @@ def alert_offline(spark, sf_dir):
     return A.alert_episodes(A.evaluate_offline(segments, B.rules(spark), TICK_START, TICK_STEP), TICK_STEP * TICK_COUNT)
 
 
+def rule_changes(spark, sf_dir):
+    """The rules, and a change of one of them for every nation: thresholds, hold times, metrics, on and off."""
+    key = F.col("n_nationkey")
+    updated = F.timestamp_add("HOUR", (key * 28 + 5).cast("int"), A.instant("2024-01-01T00:00:00"))
+    one = F.when(key % 3 == 0, "rule-cpu-high").when(key % 3 == 1, "rule-cpu-sustained").otherwise("rule-disk-high")
+    changes = B.table(spark, sf_dir, "nation").select(
+        one.alias("id"),
+        F.concat(F.lit("Changed by "), F.col("n_name")).alias("name"),
+        F.when(key % 3 < 2, "cpu_usage").when(key % 2 == 0, "memory_usage").otherwise("disk_usage").alias("metric"),
+        F.when(key % 5 == 4, "<=").otherwise(">").alias("operator"),
+        (F.lit(15.0) + key * 2).alias("threshold"),
+        F.lit(0).alias("duration_seconds"),
+        ((key % 4) * 10800).cast("int").alias("for_duration_seconds"),
+        F.lit(0).alias("cooldown_seconds"),
+        F.when(key % 2 == 0, "critical").otherwise("warning").alias("severity"),
+        (key % 7 != 6).alias("enabled"),
+        updated.alias("created_at"),
+        updated.alias("updated_at"),
+    )
+    return V.rule_versions(B.rules(spark, HOLD_SECONDS).unionByName(changes))
+
+
+def rule_evaluation_versions(spark, sf_dir):
+    found = V.evaluate_versions(A.metric_samples(B.telemetry(spark, sf_dir)), rule_changes(spark, sf_dir))
+    return found.withColumnRenamed("clock", "timestamp")
+
+
+def alert_lifecycle_versions(spark, sf_dir):
+    """Episodes under changing rules, dense agents, so that rules change within breaches."""
+    versions = materialized(rule_changes(spark, sf_dir), "rule-versions")
+    found = V.evaluate_versions(A.metric_samples(B.telemetry(spark, sf_dir, dense=True)), versions)
+    episodes = materialized(A.alert_episodes(found), "episodes")
+    return V.named_at_start(episodes, versions)
+
+
 def ack_commands(alerts):
     """Commands on every alert: too early, twice in time or after the fact, and one astray.
 
@@ -174,7 +210,7 @@ grouped AS (
 )"""
 
 ALERTS_SQL = f"""
-alerts AS (
+alerts AS MATERIALIZED (
   SELECT {id_sql("'alert'", 'rule_id', 'agent_id', 'epoch_us(started_at)', 'started_id')} AS id,
     rule_id, agent_id, CASE WHEN resolved_at IS NULL THEN 'firing' ELSE 'resolved' END AS status,
     started_at, resolved_at, started_value, coalesce(resolved_value, started_value) AS last_value,
@@ -184,7 +220,7 @@ alerts AS (
 )"""
 
 ACKS_SQL = """
-commands AS (
+commands AS MATERIALIZED (
   SELECT id AS alert_id, 1 AS seq, started_at - INTERVAL 1 MINUTE AS "at", 'early' AS who, 'too early' AS note FROM alerts
   UNION ALL SELECT id, 2, started_at + INTERVAL 30 MINUTE, '', 'looking' FROM alerts WHERE rule_id <> 'rule-disk-high'
   UNION ALL SELECT id, 3, started_at + INTERVAL 31 MINUTE, 'alice', 'me too' FROM alerts WHERE rule_id <> 'rule-disk-high'
@@ -215,6 +251,32 @@ requests AS (
   FROM requests WHERE trim(comment, ' ' || chr(9) || chr(10)) <> '' AND alert_id IN (SELECT id FROM alerts)
 )"""
 
+VERSIONS_SQL = f"""
+stored(rule_id, rule_name, metric, op, threshold, hold, severity, enabled, updated_at) AS (
+  SELECT *, true, TIMESTAMP '2023-12-01 00:00:00' FROM rules
+  UNION ALL SELECT CASE n_nationkey % 3 WHEN 0 THEN 'rule-cpu-high' WHEN 1 THEN 'rule-cpu-sustained' ELSE 'rule-disk-high' END,
+    'Changed by ' || n_name, CASE WHEN n_nationkey % 3 < 2 THEN 'cpu_usage' WHEN n_nationkey % 2 = 0 THEN 'memory_usage' ELSE 'disk_usage' END,
+    CASE WHEN n_nationkey % 5 = 4 THEN '<=' ELSE '>' END, 15.0 + n_nationkey * 2, (n_nationkey % 4) * 10800,
+    CASE WHEN n_nationkey % 2 = 0 THEN 'critical' ELSE 'warning' END, n_nationkey % 7 <> 6,
+    TIMESTAMP '2024-01-01 00:00:00' + to_hours(n_nationkey * 28 + 5) FROM nation
+)"""
+
+
+def versioned_sql(agent: str) -> str:
+    """Samples judged by the version that an ASOF join finds; ``agent`` names the column that is the agent."""
+    return f"""
+asked AS (
+  SELECT {agent} AS agent_id, t.id, ts AS clock, cpu_strict, memory, disk, rule_id FROM telemetry t, (SELECT DISTINCT rule_id FROM stored)
+), evals AS (
+  SELECT rule_id, agent_id, clock, id, value, CASE WHEN op = '>' THEN value > threshold ELSE value <= threshold END AS breaching, hold AS hold_seconds
+  FROM (
+    SELECT a.*, v.* EXCLUDE (rule_id, updated_at),
+      CASE v.metric WHEN 'cpu_usage' THEN cpu_strict WHEN 'memory_usage' THEN memory WHEN 'disk_usage' THEN disk END AS value
+    FROM asked a ASOF JOIN stored v ON a.rule_id = v.rule_id AND a.clock >= v.updated_at)
+  WHERE enabled AND value IS NOT NULL
+)"""
+
+
 BASE_SQL = f"WITH {TELEMETRY_SQL}, {RULES_SQL}, {evaluations_sql()}"
 ALERT_CTES = f"{BASE_SQL}, {EPISODES_SQL}, {ALERTS_SQL}"
 EPISODE_COLUMNS = (
@@ -224,12 +286,10 @@ EPISODE_COLUMNS = (
 
 OFFLINE_SQL = f"""
 WITH {RULES_SQL}, ticks AS (
-  SELECT i AS id, TIMESTAMP '2024-01-01 12:00:00' + to_hours(12 * i) AS clock FROM range({TICK_COUNT}) r(i)
-), states AS (
-  SELECT 'agent-' || c_custkey AS agent_id, t.id, t.clock,
-    max(e.ts) FILTER (e.ts <= t.clock) AS seen
-  FROM customer CROSS JOIN ticks t LEFT JOIN events e ON e.user_id = c_custkey
-  GROUP BY ALL
+  SELECT 'agent-' || c_custkey AS agent_id, c_custkey, i AS id, TIMESTAMP '2024-01-01 12:00:00' + to_hours(12 * i) AS clock
+  FROM customer, range({TICK_COUNT}) r(i)
+), states AS MATERIALIZED (
+  SELECT agent_id, id, clock, ts AS seen FROM ticks t ASOF LEFT JOIN events e ON e.user_id = t.c_custkey AND t.clock >= e.ts
 ), evals AS (
   SELECT rule_id, agent_id, clock, id, breaching, hold AS hold_seconds, CASE WHEN breaching THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
   FROM (SELECT *, seen IS NULL OR (epoch_us(clock) - epoch_us(seen)) // 1000000 >= {STALE} AS breaching FROM states),
@@ -251,6 +311,18 @@ SELECT id, rule_id, agent_id, status, started_at, resolved_at, round(started_val
         alert_lifecycle_sustained,
         f"{BASE_SQL}, {EPISODES_SQL} SELECT {EPISODE_COLUMNS} FROM episodes WHERE rule_id = 'rule-cpu-sustained'",
     ),
+    "rule_evaluation_versions": Entry(
+        rule_evaluation_versions,
+        f"""WITH {TELEMETRY_SQL}, {RULES_SQL}, {VERSIONS_SQL}, {versioned_sql('t.agent_id')}
+SELECT * EXCLUDE (clock, value), clock AS timestamp, round(value, 9) AS value FROM evals""",
+    ),
+    "alert_lifecycle_versions": Entry(
+        alert_lifecycle_versions,
+        f"""WITH {TELEMETRY_SQL}, {RULES_SQL}, {VERSIONS_SQL}, {versioned_sql('dense_agent_id')}, {EPISODES_SQL}
+SELECT e.rule_id, agent_id, first_breach, started_at, started_id, round(started_value, 9) AS started_value, resolved_at, resolved_id,
+  round(resolved_value, 9) AS resolved_value, v.rule_name, v.severity, v.op AS operator, v.threshold::DOUBLE AS threshold
+FROM episodes e ASOF JOIN stored v ON e.rule_id = v.rule_id AND e.started_at >= v.updated_at""",
+    ),
     "alert_offline": Entry(alert_offline, OFFLINE_SQL),
     "alerts_acknowledged": Entry(
         alerts_acknowledged,

@@ -19,7 +19,7 @@ from fleetpulse.operators.joins import lookup
 from fleetpulse.sources.tables import _filesystem, current, expire, publish
 
 BEFORE = -(2**62)
-MEMORY = [*A.PAIR, "open_first", "last_clock", "last_id", "hold_seconds"]
+MEMORY = [*A.PAIR, "open_first", "open_reach", "last_clock", "last_id"]
 ACTIVE = ["started_at", "started_id", "started_value"]
 
 
@@ -42,10 +42,7 @@ def remembered(state: DataFrame) -> DataFrame:
         *A.PAIR,
         F.lit(BEFORE).cast("bigint").alias("chunk"),
         F.lit(None).cast("struct<clock:timestamp,id:bigint,value:double>").alias("first_clear"),
-        "open_first",
-        "last_clock",
-        "last_id",
-        "hold_seconds",
+        *[c for c in MEMORY if c not in A.PAIR],
     )
 
 
@@ -71,7 +68,7 @@ def advance(on_time: DataFrame, state: DataFrame | None, chunk_seconds: int) ->
         )
         ended = older.where(F.col("resolved_at").isNotNull())
         touched = touched.unionByName(ended.withColumn("carried_over", F.lit(True)))
-    latest = F.max_by(F.struct(F.col("open_out").alias("open_first"), "last_clock", "last_id", "hold_seconds"), "chunk")
+    latest = F.max_by(F.struct(F.col("open_out").alias("open_first"), F.col("reach_out").alias("open_reach"), "last_clock", "last_id"), "chunk")
     memory = carried.groupBy(*A.PAIR).agg(latest.alias("m")).select(*A.PAIR, "m.*")
     return touched, memory
 
