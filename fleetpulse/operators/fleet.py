@@ -20,8 +20,8 @@ def in_range(df: DataFrame, start=None, end=None, column: str = "timestamp") ->
     return df
 
 
-def newest_rows(rows: DataFrame, n: int, key: str = "agent_id") -> DataFrame:
-    """The newest ``n`` rows per key, exactly, ties by id.
+def newest_rows(rows: DataFrame, n: int, key: str = "agent_id", rank=F.row_number) -> DataFrame:
+    """The newest ``n`` rows per key, exactly, ties by id; with ``F.dense_rank`` rows of equal time and id count once.
 
     A day holds at most ``n`` of them, so each day is cut to ``n`` first. The final
     cut then sees ``n`` rows per day of a hot key and not its whole history.
@@ -31,38 +31,49 @@ def newest_rows(rows: DataFrame, n: int, key: str = "agent_id") -> DataFrame:
     overall = Window.partitionBy(key).orderBy(*newest_first)
     return (
         rows.withColumn("_day", F.date_trunc("day", "timestamp"))
-        .withColumn("_rank", F.row_number().over(daily))
+        .withColumn("_rank", rank().over(daily))
         .where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(overall))
+        .withColumn("_rank", rank().over(overall))
         .where(F.col("_rank") <= n)
         .drop("_day", "_rank")
     )
 
 
-def latest_telemetry(telemetry: DataFrame) -> DataFrame:
-    """Newest snapshot per agent.
+def _one_of_equals(rows: DataFrame) -> DataFrame:
+    """One row of those that share agent, time and id (``_order``): the one stored last, then the greater body."""
+    equals = Window.partitionBy("agent_id", "_order").orderBy(F.desc_nulls_last("created_at"), F.desc_nulls_last(F.to_json("metrics")))
+    return rows.withColumn("_equal", F.row_number().over(equals)).where(F.col("_equal") == 1).drop("_equal", "_order")
+
+
+def _wanted(telemetry: DataFrame, keys: DataFrame, **sizes: int) -> DataFrame:
+    """The snapshots of narrow keys (agent_id, _order), one each: no JSON is shuffled but theirs."""
+    ordered = telemetry.withColumn("_order", row_order(F.col("timestamp"), F.col("id")))
+    return _one_of_equals(pick(ordered, keys, ["agent_id", "_order"], **sizes))
+
+
+def latest_telemetry(telemetry: DataFrame, **sizes: int) -> DataFrame:
+    """Newest snapshot per agent, exactly one.
 
     The newest row is found from three narrow columns by hash aggregation. The second scan meets
-    the rows found in the tasks that read the JSON, so no JSON is shuffled.
+    the rows found in the tasks that read the JSON, so the table is read twice, however many agents
+    there are. Of rows with equal time and id (a snapshot posted twice) one is returned. Rows without
+    an agent or a time are no snapshots of anyone.
     """
     order = row_order(F.col("timestamp"), F.col("id"))
     newest = telemetry.groupBy("agent_id").agg(F.max(order).alias("_order"))
-    return pick(telemetry.withColumn("_order", order), newest, ["agent_id", "_order"], "agent_id").drop("_order")
+    return _wanted(telemetry, newest, **sizes)
 
 
-def history(telemetry: DataFrame, limit: int = model.HISTORY_DEFAULT, start=None, end=None) -> DataFrame:
-    """Newest ``limit`` snapshots per agent within a range, newest first.
+def history(telemetry: DataFrame, limit: int = model.HISTORY_DEFAULT, start=None, end=None, **sizes: int) -> DataFrame:
+    """Newest ``limit`` snapshots per agent within a range, newest first; equal ones (agent, time, id) count once.
 
-    Ranks narrow columns to find each agent's oldest row wanted. The second scan drops what is
-    older in the tasks that read the JSON; only the rows wanted are sorted.
+    Ranks narrow columns to find the rows wanted. The second scan drops all others in the tasks that
+    read the JSON; only the rows wanted are sorted.
     """
-    wanted = in_range(telemetry, start, end)
-    order = row_order(F.col("timestamp"), F.col("id"))
-    kept = newest_rows(wanted.select("agent_id", "timestamp", "id"), limit)
-    cutoff = kept.groupBy("agent_id").agg(F.min(order).alias("_cutoff"))
-    joined = pick(wanted, cutoff, ["agent_id"], "agent_id")
-    rows = joined.where(order >= F.col("_cutoff")).drop("_cutoff")
-    return rows.orderBy("agent_id", F.desc("timestamp"), F.desc("id"))
+    within = in_range(telemetry, start, end)
+    narrow = within.select("agent_id", "timestamp", "id").where(F.col("agent_id").isNotNull() & F.col("timestamp").isNotNull())
+    kept = newest_rows(narrow, limit, rank=F.dense_rank).select("agent_id", row_order(F.col("timestamp"), F.col("id")).alias("_order"))
+    return _wanted(within, kept.distinct(), **sizes).orderBy("agent_id", F.desc("timestamp"), F.desc("id"))
 
 
 def agent_history(telemetry: DataFrame, agent_id: str, limit: int = model.HISTORY_DEFAULT, start=None, end=None):

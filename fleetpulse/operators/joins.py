@@ -18,6 +18,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 # An item list up to this size travels along as an array in every row.
 LIST_BYTES = 64 * 1024
 SHARDS = 32
+# Words of 64 bits in a filter of keys that is broadcast: two longs each, 32 MB.
+FILTER_WORDS = 1 << 21
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -54,22 +56,34 @@ def lookup(
     return left.join(dim, on, how)
 
 
-def pick(rows: DataFrame, narrow: DataFrame, on: list[str], key: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Rows that meet a narrow table, without a shuffle of the rows, however wide they are.
+def key_filter(rows: DataFrame, keys: DataFrame, on: list[str], words: int) -> DataFrame:
+    """Rows whose key may be among ``keys``: a Bloom filter in blocks of 64 bits, tested where the rows are scanned.
 
-    The table is stored, measured, and broadcast in as many parts of its ``key`` as the limit
-    asks for; the rows are scanned once for each part.
+    A key sets three bits of one word. The words are one hash aggregate of the keys and are
+    broadcast, at most ``words`` pairs of longs. A word is found by its number, so a row costs one probe. Few
+    bits per key let more rows through, never fewer; who needs certainty joins the rows left.
+    """
+    at = F.pmod(F.xxhash64(*on), F.lit(words))
+    spread = F.xxhash64(F.lit("bits"), *on)
+    bit = lambda k: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_spread, {6 * k}) & 63 AS INT))")
+    mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    set_ = keys.select(at.alias("_word"), spread.alias("_spread")).groupBy("_word").agg(F.bit_or(mask).alias("_set"))
+    probed = rows.withColumns({"_word": at, "_spread": spread}).join(F.broadcast(set_), "_word")
+    return probed.where(F.col("_set").bitwiseAND(mask) == mask).drop("_word", "_spread", "_set")
+
+
+def pick(rows: DataFrame, narrow: DataFrame, on: list[str], most_bytes: int = BROADCAST_BYTES, most_words: int = FILTER_WORDS) -> DataFrame:
+    """Rows that meet a narrow table with one row per key; the rows are scanned once, however many keys there are.
+
+    The table is stored and measured. A small one is broadcast to the scan. Else the scan drops what a
+    filter of the keys excludes (16 bits a key, while ``most_words`` allow), and only the rows left are
+    shuffled to meet the table.
     """
     table = materialized(narrow, "picked")
-    parts = max(1, ceil(measured_bytes(table) / limit))
-    if parts == 1:
+    if measured_bytes(table) <= most_bytes:
         return rows.join(F.broadcast(table), on)
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
-    met = [rows.where(part == n).join(F.broadcast(table.where(part == n)), on) for n in range(parts)]
-    whole = met[0]
-    for more in met[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    words = max(1, min(ceil(table.count() / 4), most_words))
+    return key_filter(rows, table.select(*on), on, words).join(table, on)
 
 
 def fan_out(rows: DataFrame, items: DataFrame, name: str, limit: int = LIST_BYTES) -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from fleetpulse.plans.alerts import BASE_SQL, EPISODES_SQL, HOLD_SECONDS
+from pyspark.sql import functions as F
+
+from fleetpulse.functions.clock import instant
+from fleetpulse.plans.alerts import BASE_SQL, EPISODE_COLUMNS, EPISODES_SQL, HOLD_SECONDS, RULES_SQL, TICK_START, TICK_STEP
 from fleetpulse.plans import intake as K
+from fleetpulse.plans.fleet import HEALTHY, STALE
 from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.plans.rollups import ROLLUP_COLUMNS_SQL
 from fleetpulse.session import scratch_dir
 from fleetpulse.operators.rollup import hourly_rollup
+from fleetpulse.operators import alerting as A
 from fleetpulse.sources import benchmark_tables as B
 from fleetpulse.sources.payloads import stream_payloads
 from fleetpulse.sources.tables import read_telemetry
 from fleetpulse.streaming import alert_stream as L
+from fleetpulse.streaming import keyed_alerts as S
 from fleetpulse.streaming import rollup_stream as H
 from fleetpulse.streaming.ingest_stream import start_ingest
 
@@ -22,6 +28,13 @@ def telemetry_stream(spark, sf_dir):
     return B.events_as_telemetry(events)
 
 
+def agent_stream(spark, sf_dir):
+    """Registrations (id, at) of the agents, as a file stream."""
+    customers = spark.readStream.schema("c_custkey long").parquet(f"{sf_dir}/customer.parque[t]")
+    at = F.timestamp_add("MINUTE", F.col("c_custkey").cast("int"), instant("2023-12-01T00:00:00"))
+    return customers.select(F.concat(F.lit("agent-"), F.col("c_custkey").cast("string")).alias("id"), at.alias("at"))
+
+
 def stream_rollup(spark, sf_dir):
     root = scratch_dir(spark, "stream-rollup")
     rollup = H.hourly_rollup_stream(telemetry_stream(spark, sf_dir))
@@ -36,6 +49,24 @@ def stream_alerts(spark, sf_dir):
     return L.streamed_episodes(spark, root)
 
 
+def appended(spark, changes, root):
+    """The changes of a keyed stream, after it has taken what is there."""
+    H.start_append(changes, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return S.episodes(spark.read.schema(changes.schema).parquet(f"{root}/table"))
+
+
+def stream_alerts_keyed(spark, sf_dir):
+    samples = A.metric_samples(telemetry_stream(spark, sf_dir))
+    changes = S.alert_changes(A.evaluate(samples, B.rules(spark, HOLD_SECONDS)))
+    return appended(spark, changes, scratch_dir(spark, "stream-alerts-keyed"))
+
+
+def stream_offline(spark, sf_dir):
+    """Registrations and snapshots as streams; agents fall silent without a row that says so."""
+    changes = S.offline_changes(agent_stream(spark, sf_dir), telemetry_stream(spark, sf_dir), B.rules(spark), TICK_START, TICK_STEP, HEALTHY, STALE)
+    return appended(spark, changes, scratch_dir(spark, "stream-offline"))
+
+
 def ingest_to_rollup(spark, sf_dir):
     """Payload files through the ingest stream into stored telemetry, and that into the rollup."""
     root = scratch_dir(spark, "ingest")
@@ -72,4 +103,21 @@ GROUP BY ALL""",
 SELECT rule_id, agent_id, started_at, started_id, round(started_value, 9) AS started_value,
   resolved_at, resolved_id, round(resolved_value, 9) AS resolved_value FROM episodes""",
     ),
+    "stream_alerts_keyed": Entry(stream_alerts_keyed, f"{BASE_SQL}, {EPISODES_SQL} SELECT {EPISODE_COLUMNS} FROM episodes"),
+    "stream_offline": Entry(
+        stream_offline,
+        f"""
+WITH {RULES_SQL}, ticks AS (
+  SELECT 'agent-' || c_custkey AS agent_id, c_custkey, i AS id, TIMESTAMP '{TICK_START}' + to_hours({TICK_STEP // 3600} * i) AS clock
+  FROM customer, range(1000) r(i)
+  WHERE TIMESTAMP '{TICK_START}' + to_hours({TICK_STEP // 3600} * i) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+), states AS MATERIALIZED (
+  SELECT agent_id, id, clock, ts AS seen FROM ticks t ASOF LEFT JOIN events e ON e.user_id = t.c_custkey AND t.clock >= e.ts
+), evals AS (
+  SELECT rule_id, agent_id, clock, id, breaching, hold AS hold_seconds, CASE WHEN breaching THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+  FROM (SELECT *, seen IS NULL OR (epoch_us(clock) - epoch_us(seen)) // 1000000 >= {STALE} AS breaching FROM states),
+    (SELECT * FROM rules WHERE metric = 'agent_offline')
+), {EPISODES_SQL}
+SELECT {EPISODE_COLUMNS} FROM episodes""",
+    ),
 }

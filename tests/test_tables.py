@@ -218,7 +218,7 @@ def test_uniform_keys_are_not_repeated(spark, skew_settings):
 @pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 100])
 def test_pick(spark, limit):
     narrow = spark.range(0, 40, 2).select(F.col("id").alias("k"), F.lit(7).alias("v"))
-    assert J.pick(hot(spark), narrow, ["k"], "k", limit).count() == hot(spark).join(narrow, "k").count()
+    assert J.pick(hot(spark), narrow, ["k"], limit).count() == hot(spark).join(narrow, "k").count()
 
 
 @pytest.mark.parametrize("limit", [J.BROADCAST_BYTES, 0])
