@@ -46,6 +46,37 @@ def chart_points(
     )
 
 
+POINT_VALUES = ["cpu", "memory", "disk", "bytes_received", "bytes_sent", "running_processes"]
+
+
+def downsampled_points(
+    telemetry: DataFrame, time_range: str | None, as_of, max_points: int = model.SERIES_POINTS
+) -> DataFrame:
+    """The whole range in at most ``max_points`` points per agent, for charts of long ranges; oldest first.
+
+    ``chart_points`` keeps the newest snapshots, which cover less than the range if an agent reports often. Here
+    the range is cut into ``max_points`` slices of equal length; one with snapshots is a point
+    with their number, the time of the last one, and of every value the least, the greatest and the last, so
+    no extreme is lost. A snapshot at the very end of the range belongs to the last slice.
+
+    Only typed scalars are aggregated, in fixed-width buffers with a partial step: a hot agent is a row per
+    slice and task before anything is shuffled. Of snapshots with equal time and id any may be the last.
+    """
+    label, length = range_length(time_range)
+    end = instant(as_of)
+    begin = end - F.lit(length)
+    span = F.unix_micros(end) - F.unix_micros(begin)
+    slice_ = F.least(F.floor((F.unix_micros("timestamp") - F.unix_micros(begin)) * max_points / span), F.lit(max_points - 1)).cast("int")
+    typed = points(in_range(telemetry, begin, end)).withColumns({"slice": slice_, "_order": row_order(F.col("timestamp"), F.col("id"))})
+    found = typed.groupBy("agent_id", "slice").agg(
+        F.count("*").alias("samples"),
+        F.max("timestamp").alias("timestamp"),
+        *[f(c).alias(f"{c}_{name}") for c in POINT_VALUES for f, name in ((F.min, "minimum"), (F.max, "maximum"))],
+        *[F.max_by(c, "_order").alias(f"{c}_last") for c in POINT_VALUES],
+    )
+    return found.withColumn("range", F.lit(label)).orderBy("agent_id", "slice")
+
+
 def statistics(name: str) -> list[Column]:
     """average / minimum / maximum of a column; NULL when it never had a sample."""
     return [

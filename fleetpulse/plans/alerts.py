@@ -133,6 +133,14 @@ def alerts_enriched(spark, sf_dir):
     )
 
 
+def alerts_filtered(spark, sf_dir):
+    """The list with both filters: what is over for one agent, what another one has acknowledged."""
+    stored = materialized(acknowledged(spark, sf_dir), "acknowledged")
+    columns = ["id", "agent_id", "rule_name", "status", "acknowledged_by", "updated_at"]
+    one = I.list_alerts(stored, B.rules(spark), "resolved", "agent-3").select(*columns)
+    return one.unionByName(I.list_alerts(stored, B.rules(spark), "acknowledged", "agent-7").select(*columns))
+
+
 def alerts_active(spark, sf_dir):
     return I.active_alerts(I.list_alerts(acknowledged(spark, sf_dir), B.rules(spark))).select(
         "id", "rule_name", "severity", "status", "acknowledged_at"
@@ -339,6 +347,11 @@ WHERE NOT EXISTS (SELECT 1 FROM winners w WHERE w.alert_id = c.alert_id AND w.se
         f"""{ALERT_CTES}, {ACKS_SQL} SELECT id, rule_id, agent_id, rule_name, severity, status, started_at, resolved_at,
   coalesce(acknowledged_by, '') AS acknowledged_by, coalesce(acknowledged_comment, '') AS acknowledged_comment,
   round(last_value, 9) AS last_value, message, updated_at FROM acked""",
+    ),
+    "alerts_filtered": Entry(
+        alerts_filtered,
+        f"""{ALERT_CTES}, {ACKS_SQL} SELECT id, agent_id, rule_name, status, coalesce(acknowledged_by, '') AS acknowledged_by, updated_at
+FROM acked WHERE (status, agent_id) IN (('resolved', 'agent-3'), ('acknowledged', 'agent-7'))""",
     ),
     "alerts_active": Entry(
         alerts_active,

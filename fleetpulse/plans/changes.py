@@ -24,26 +24,41 @@ EARLIER = "2024-01-20T06:15:00"
 SHORT_DAYS = 15
 
 
-def event_log_frame(spark, sf_dir):
+# How the rows of each source become changes.
+CHANGES = {
+    "telemetry": E.telemetry_changes,
+    "registrations": E.registration_changes,
+    "alerts": E.alert_changes,
+    "acknowledgements": E.acknowledgement_changes,
+    "comments": E.comment_changes,
+}
+
+
+def log_sources(spark, sf_dir):
+    """The rows that the change log is made of, besides telemetry."""
     alerts = A.stored_alerts(spark, sf_dir)
-    acked = I.acknowledge(alerts, A.ack_commands(alerts))
-    comments = I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts))
     complete, _ = R.split_registrations(K.registrations(spark, sf_dir))
-    newcomers = R.upsert_agents(B.agents(spark, sf_dir).where(F.lit(False)), complete)
-    return E.event_log(
-        E.telemetry_changes(B.telemetry(spark, sf_dir)),
-        E.registration_changes(newcomers),
-        E.alert_changes(N.alert_events(alerts)),
-        E.acknowledgement_changes(acked),
-        E.comment_changes(comments),
-        as_of=B.AS_OF,
-    )
+    return {
+        "registrations": R.upsert_agents(B.agents(spark, sf_dir).where(F.lit(False)), complete),
+        "alerts": N.alert_events(alerts),
+        "acknowledgements": I.acknowledge(alerts, A.ack_commands(alerts)),
+        "comments": I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts)),
+    }
+
+
+def event_log_frame(spark, sf_dir):
+    sources = {"telemetry": B.telemetry(spark, sf_dir)} | log_sources(spark, sf_dir)
+    return E.event_log(*[CHANGES[name](rows) for name, rows in sources.items()], as_of=B.AS_OF)
 
 
 def event_log(spark, sf_dir):
+    return one_value_each(event_log_frame(spark, sf_dir))
+
+
+def one_value_each(log):
     """The log with one value out of each kind of body."""
     text = lambda body, path: F.try_variant_get(F.col(body), path, "string")
-    return event_log_frame(spark, sf_dir).select(
+    return log.select(
         "type",
         "agent_id",
         "timestamp",
@@ -56,18 +71,7 @@ def event_log(spark, sf_dir):
 
 def event_frames(spark, sf_dir):
     """Frames of registrations, firings, resolutions, acknowledgements and comments."""
-    alerts = A.stored_alerts(spark, sf_dir)
-    acked = I.acknowledge(alerts, A.ack_commands(alerts))
-    comments = I.add_comments(alerts, A.comment_requests(spark, sf_dir, alerts))
-    complete, _ = R.split_registrations(K.registrations(spark, sf_dir))
-    newcomers = R.upsert_agents(B.agents(spark, sf_dir).where(F.lit(False)), complete)
-    log = E.event_log(
-        E.alert_changes(N.alert_events(alerts)),
-        E.registration_changes(newcomers),
-        E.acknowledgement_changes(acked),
-        E.comment_changes(comments),
-        as_of=B.AS_OF,
-    )
+    log = E.event_log(*[CHANGES[name](rows) for name, rows in log_sources(spark, sf_dir).items()], as_of=B.AS_OF)
     return E.frames(log).select("type", "agent_id", "timestamp", "frame")
 
 

@@ -61,6 +61,10 @@ def analytics_points_dense(spark, sf_dir):
     return S.chart_points(B.telemetry(spark, sf_dir, dense=True), "7d", B.AS_OF, max_points=100)
 
 
+def analytics_downsampled(spark, sf_dir):
+    return S.downsampled_points(B.telemetry(spark, sf_dir, dense=True), "7d", B.AS_OF)
+
+
 def metric_summary(spark, sf_dir):
     return S.metric_summary(B.telemetry(spark, sf_dir))
 
@@ -126,5 +130,18 @@ FROM health""",
         analytics_points_dense,
         newest_sql(f"dense_agent_id AS agent_id, {POINT_SQL}", 100, WEEK_SQL, "dense_agent_id"),
     ),
+    "analytics_downsampled": Entry(
+        analytics_downsampled,
+        f"""
+WITH {TELEMETRY_SQL}, typed AS (
+  SELECT dense_agent_id AS agent_id, id, ts, round(cpu_zero, 9) AS cpu, memory, disk, CAST(received AS BIGINT) AS bytes_received,
+    CAST(sent AS BIGINT) AS bytes_sent, CAST(processes AS BIGINT) AS running_processes,
+    CAST(least((epoch_us(ts) - epoch_us({AS_OF_SQL} - INTERVAL 7 DAY)) * 500 // (7 * 86400 * 1000000::BIGINT), 499) AS INTEGER) AS slice
+  FROM telemetry WHERE {WEEK_SQL}
+)
+SELECT agent_id, slice, count(*) AS samples, max(ts) AS timestamp, '7d' AS range,
+  {", ".join(f"min({c}) AS {c}_minimum, max({c}) AS {c}_maximum, arg_max({c}, (ts, id)) AS {c}_last" for c in S.POINT_VALUES)}
+FROM typed GROUP BY agent_id, slice""",
+    ),
     "metric_summary": Entry(metric_summary, SUMMARY_SQL),
 }

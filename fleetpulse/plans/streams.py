@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.clock import instant
+from fleetpulse.plans import alerts as W
 from fleetpulse.plans.alerts import BASE_SQL, EPISODE_COLUMNS, EPISODES_SQL, HOLD_SECONDS, RULES_SQL, TICK_START, TICK_STEP
+from fleetpulse.plans import changes as C
 from fleetpulse.plans import intake as K
 from fleetpulse.plans.fleet import HEALTHY, STALE
 from fleetpulse.plans.common import AS_OF_SQL, TELEMETRY_SQL, Entry
 from fleetpulse.plans.rollups import ROLLUP_COLUMNS_SQL
 from fleetpulse.session import scratch_dir
+from fleetpulse.operators.retention import read_rollup
 from fleetpulse.operators.rollup import hourly_rollup
 from fleetpulse.operators import alerting as A
 from fleetpulse.sources import benchmark_tables as B
 from fleetpulse.sources.payloads import stream_payloads
 from fleetpulse.sources.tables import read_telemetry
+from fleetpulse.streaming import ack_stream as Q
 from fleetpulse.streaming import alert_stream as L
 from fleetpulse.streaming import keyed_alerts as S
+from fleetpulse.streaming import log_stream as G
 from fleetpulse.streaming import rollup_stream as H
+from fleetpulse.streaming import touched as P
 from fleetpulse.streaming.ingest_stream import start_ingest
 
 
@@ -67,6 +75,46 @@ def stream_offline(spark, sf_dir):
     return appended(spark, changes, scratch_dir(spark, "stream-offline"))
 
 
+def stream_event_log(spark, sf_dir):
+    """Five sources as file streams into one log."""
+    root = scratch_dir(spark, "stream-log")
+    streams = {"telemetry": telemetry_stream(spark, sf_dir)}
+    for name, rows in C.log_sources(spark, sf_dir).items():
+        rows.write.parquet(f"{root}/{name}")
+        streams[name] = spark.readStream.schema(rows.schema).parquet(f"{root}/{name}")
+    changes = [C.CHANGES[name](rows) for name, rows in streams.items()]
+    G.start_log(changes, f"{root}/log", f"{root}/checkpoint", B.AS_OF).awaitTermination()
+    return C.one_value_each(G.read_log(spark, f"{root}/log", changes[0]))
+
+
+def stream_acknowledgements(spark, sf_dir):
+    """Firings, resolutions and commands as streams; every command up to the watermark with what became of it."""
+    root = scratch_dir(spark, "stream-acks")
+    alerts = W.stored_alerts(spark, sf_dir)
+    happened = F.array(F.struct(F.lit(Q.FIRING).alias("kind"), F.col("started_at").alias("at")), F.struct(F.lit(Q.RESOLVED).alias("kind"), F.col("resolved_at").alias("at")))
+    inputs = {"changes": alerts.select(F.col("id").alias("alert_id"), F.inline(happened)).where("at IS NOT NULL"), "commands": W.ack_commands(alerts)}
+    streams = []
+    for name, rows in inputs.items():
+        rows.write.parquet(f"{root}/{name}")
+        streams.append(spark.readStream.schema(rows.schema).parquet(f"{root}/{name}"))
+    told = Q.acknowledgement_decisions(*streams)
+    H.start_append(told, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{root}/table").drop("comment")
+
+
+def stream_rollup_late(spark, sf_dir):
+    """Stored telemetry with its rollup kept up by touched hours: first the rows in time, then those that come days late."""
+    root = scratch_dir(spark, "stream-late")
+    events = B.table(spark, sf_dir, "events")
+    as_of = datetime.fromisoformat(B.AS_OF)
+    for part, late in enumerate((False, True)):
+        events.where((F.col("event_id") % 7 == 3) == late).write.parquet(f"{root}/in/part={part}")
+        stream = B.events_as_telemetry(spark.readStream.schema(B.EVENTS).parquet(f"{root}/in/part=*"))
+        P.start_store(stream, f"{root}/raw", f"{root}/ledger", f"{root}/checkpoint").awaitTermination()
+        P.patch_rollup(spark, f"{root}/raw", f"{root}/rollup", f"{root}/ledger", as_of)
+    return read_rollup(spark, f"{root}/rollup").drop("bucket_date")
+
+
 def ingest_to_rollup(spark, sf_dir):
     """Payload files through the ingest stream into stored telemetry, and that into the rollup."""
     root = scratch_dir(spark, "ingest")
@@ -103,6 +151,24 @@ GROUP BY ALL""",
 SELECT rule_id, agent_id, started_at, started_id, round(started_value, 9) AS started_value,
   resolved_at, resolved_id, round(resolved_value, 9) AS resolved_value FROM episodes""",
     ),
+    "stream_acknowledgements": Entry(
+        stream_acknowledgements,
+        f"""{W.ALERT_CTES}, {W.ACKS_SQL}, ended AS (
+  SELECT max(t) - INTERVAL 10 MINUTE AS passed FROM (
+    SELECT "at" AS t FROM commands UNION ALL SELECT started_at FROM alerts UNION ALL SELECT resolved_at FROM alerts))
+SELECT c.alert_id, c.seq::BIGINT AS seq, c."at", CASE WHEN w.seq IS NOT NULL THEN coalesce(nullif(c.who, ''), 'operator') ELSE c.who END AS user,
+  w.seq IS NOT NULL AS accepted, CASE WHEN w.seq IS NOT NULL THEN NULL WHEN a.id IS NULL THEN 'no_such_alert'
+    WHEN c."at" < a.started_at THEN 'too_early' WHEN c."at" >= a.resolved_at THEN 'resolved' ELSE 'acknowledged' END AS reason
+FROM commands c LEFT JOIN alerts a ON a.id = c.alert_id LEFT JOIN winners w ON w.alert_id = c.alert_id AND w.seq = c.seq
+WHERE c."at" < (SELECT passed FROM ended)""",
+    ),
+    "stream_rollup_late": Entry(
+        stream_rollup_late,
+        f"""WITH {TELEMETRY_SQL}
+SELECT agent_id, date_trunc('hour', ts)::TIMESTAMP AS bucket_start, {ROLLUP_COLUMNS_SQL}
+FROM telemetry WHERE ts < date_trunc('hour', {AS_OF_SQL}) GROUP BY ALL""",
+    ),
+    "stream_event_log": Entry(stream_event_log, C.LOG_SQL),
     "stream_alerts_keyed": Entry(stream_alerts_keyed, f"{BASE_SQL}, {EPISODES_SQL} SELECT {EPISODE_COLUMNS} FROM episodes"),
     "stream_offline": Entry(
         stream_offline,

@@ -71,6 +71,12 @@ def _filesystem(spark: SparkSession, path: str):
     return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote for itself."""
+    fs, at = _filesystem(spark, path)
+    fs.delete(at(path), True)
+
+
 def _move(fs, source, target) -> None:
     if not fs.rename(source, target):
         raise OSError(f"{source} was not renamed to {target}")

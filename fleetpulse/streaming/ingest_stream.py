@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetpulse.functions.clock import instant
 from fleetpulse.operators.ingest import judge, rejected
-from fleetpulse.sources.tables import materialized, store_batch
+from fleetpulse.session import prepare
+from fleetpulse.sources.tables import remove, store_batch
 
 
 def stored_rows(judged: DataFrame, arrived=None) -> DataFrame:
@@ -36,14 +37,18 @@ def start_ingest(
     """Writes accepted rows as telemetry to ``path/accepted``, by date, the others to ``path/rejected``.
 
     ``path/accepted`` is what ``read_telemetry``, the rollup, the alert stream and the purge read.
-    Agents are loaded anew for each batch, so one registered meanwhile is known. A batch is decoded once;
-    one that is run again replaces what it wrote.
+    Agents are loaded anew for each batch, so one registered meanwhile is known. A batch is decoded once, into
+    ``path/_judged``, which is gone when both parts are written; one that is run again replaces what it wrote.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        judged = materialized(judge(batch, load_agents(), target), "judged")
+        spark, decoded = batch.sparkSession, judge(batch, load_agents(), target)
+        prepare(spark)
+        decoded.write.mode("overwrite").parquet(f"{path}/_judged")
+        judged = spark.read.schema(decoded.schema).parquet(f"{path}/_judged")
         store_batch(stored_rows(judged, arrived), f"{path}/accepted", batch_id)
         rejected(judged).write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+        remove(spark, f"{path}/_judged")
 
     return (
         payloads.writeStream.foreachBatch(store)
