@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -76,6 +77,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now.
+
+    It does so when the driver's memory is next tidied up, which on a driver with little to do may be
+    hours away, while a job of many steps fills the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join to a side with at most one row per key; keys match when both are NULL.
 

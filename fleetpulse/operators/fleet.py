@@ -40,8 +40,9 @@ def newest_rows(rows: DataFrame, n: int, key: str = "agent_id", rank=F.row_numbe
 
 
 def _one_of_equals(rows: DataFrame) -> DataFrame:
-    """One row of those that share agent, time and id (``_order``): the one stored last, then the greater body."""
-    equals = Window.partitionBy("agent_id", "_order").orderBy(F.desc_nulls_last("created_at"), F.desc_nulls_last(F.to_json("metrics")))
+    """One row of those that share agent, time and id (``_order``): the one stored last, if that is told, then the greater body."""
+    last = [F.desc_nulls_last("created_at")] if "created_at" in rows.columns else []
+    equals = Window.partitionBy("agent_id", "_order").orderBy(*last, F.desc_nulls_last(F.to_json("metrics")))
     return rows.withColumn("_equal", F.row_number().over(equals)).where(F.col("_equal") == 1).drop("_equal", "_order")
 
 
