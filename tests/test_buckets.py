@@ -1,9 +1,11 @@
 """Keyed streams whose keys share buckets: the answers of a key each, and no more groups than buckets."""
 
+import pytest
 from test_alerting import episodes_by_pair
 from test_keyed_alerts import EVALUATION, HEALTHY, HEARD, REGISTERED, STALE, STEP, evaluation_rows, files, offline_rules
 from test_versions import histories, walk
 
+from fleetpulse.streaming import ack_stream as Q
 from fleetpulse.streaming import keyed_alerts as K
 from fleetpulse.streaming.rollup_stream import start_append
 
@@ -35,3 +37,16 @@ def test_offline(spark, at, tmp_path):
         assert kept <= buckets
         found.append(sorted(changes.collect()))
     assert found[0] == found[1] and len({r.agent_id for r in found[0]}) == 40
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_acknowledgements(spark, at, tmp_path, parts):
+    happened = [(f"a{n}", Q.FIRING, at(10 * n)) for n in range(30)] + [(f"a{n}", Q.RESOLVED, at(10 * n + 100)) for n in range(0, 30, 2)] + [("end", Q.FIRING, at(9000))]
+    asked = [(f"a{n}", s, at(10 * n + d), "u", None) for n in range(35) for s, d in enumerate((-5, 50, 60, 150))]
+    inputs = [files(spark, sorted(rows, key=lambda r: r[2]), schema, tmp_path / name, parts) for name, rows, schema in (
+        ("a", happened, "alert_id string, kind string, at timestamp"), ("b", asked, "alert_id string, seq int, at timestamp, user string, comment string"))]
+    told, kept = run(spark, Q.acknowledgement_decisions(*inputs, "1 hour", buckets=2), tmp_path)
+    late = lambda n: Q.OVER if n % 2 == 0 else Q.TAKEN
+    reasons = lambda n: [Q.EARLY, None, Q.TAKEN, late(n)] if n < 30 else [Q.UNKNOWN] * 4
+    assert sorted((r.alert_id, r.seq, r.reason) for r in told.collect()) == sorted((f"a{n}", s, why) for n in range(35) for s, why in enumerate(reasons(n)))
+    assert kept <= 2
