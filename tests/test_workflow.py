@@ -159,6 +159,22 @@ def test_rounds_end_final(spark, at):
     assert attempts.count() == 4 + 3 * 4
 
 
+def test_requests_stay_with_failed_attempts(spark, at):
+    planned = N.plan_deliveries(N.alert_events(alerts(spark, at)), channels(spark, at))
+    # The second round comes too early for all, the third for none.
+    times = [at(1000), at(1000.5), at(1060), at(1100)]
+    sender = lambda url, body, signature, delivery_id: 200 if url == "https://a" else 503
+    final, attempts = N.deliver(planned.unionByName(planned), sender, times)
+    assert {(r.channel_id, r.status, r.attempts) for r in final.collect()} == {("c1", "delivered", 1), ("c2", "failed", 3)}
+    assert {(r.attempt, r["at"].replace(tzinfo=None)) for r in attempts.collect()} == {(1, at(1000).replace(tzinfo=None)), (2, at(1060).replace(tzinfo=None)), (3, at(1100).replace(tzinfo=None))}
+    sent = N.attempt(N.build_requests(planned), sender, at(0), keep_below=2).collect()
+    assert {(r.response_status, r.body is None, r.url) for r in sent} == {(200, True, None), (503, False, sent_url(sent))}
+
+
+def sent_url(sent):
+    return next(r.url for r in sent if r.response_status == 503)
+
+
 def test_change_without_time_gets_the_clock(spark, at):
     rows = spark.createDataFrame([("a", None)], "agent_id string, timestamp timestamp").withColumn("metrics", F.parse_json(F.lit('{"cpu":1}')))
     log = E.event_log(E.telemetry_changes(rows), as_of=at(7))
