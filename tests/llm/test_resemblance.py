@@ -68,6 +68,14 @@ def test_pipeline_stage_drops_edited_copies(spark, documents, prose):
     assert sorted(x.doc_id for x in kept.collect()) == [0, 1, 2, 3]
 
 
+def test_pipeline_stage_goes_by_simhash_first(spark, documents, prose):
+    # The same three shingles twice as often: one fingerprint, but a similarity of a half.
+    rows = ["a b c " * 50, "a b c " * 100, " ".join(prose(60, 1, rare=True))]
+    assert plain(rows) == [0, 1, 2]
+    kept = corpus_pipeline.simhash_near_dedup(spark, documents(rows), "")
+    assert sorted(x.doc_id for x in kept.collect()) == [0, 2]
+
+
 def test_rows_keep_their_texts_in_long_batches(spark, documents, prose):
     rows = [" ".join(prose(20, n % 150, rare=True)) for n in range(300)]
     kept = resemblance.drop_similar(documents(rows).coalesce(1))
