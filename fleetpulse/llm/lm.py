@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import Tokens, join_unique, stored, text_key, tokenize
+from fleetpulse.llm.common import Tokens, give_back, join_unique, stored, text_key, tokenize
 from fleetpulse.llm.common import words as words_of
 
 ADD = 0.1
@@ -31,6 +31,8 @@ HOT_WORDS, HOT_BYTES = 1 << 19, 64
 END = b"\n"  # no word holds white space
 _U64 = np.uint64
 _PENDING, _KNOWN = 1 << 22, 1 << 20
+# N-grams of groups that leave a task in one batch, about.
+_SENT = 1 << 18
 # Sections that a task builds at once, and words up to so many bytes, whose hash is computed for a whole batch.
 GROUP, _BATCHED_BYTES = 2, 64
 _KNOWN_BATCH = 1 << 16
@@ -193,14 +195,29 @@ def sequence(tokens: Tokens, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids, np.concatenate([END_ID, ids[:-1]]), np.repeat(np.arange(len(sizes)), sizes + 1)
 
 
-def _grouped(grams: np.ndarray, counts: np.ndarray, total: int) -> pa.RecordBatch:
-    """(grp, grams, counts) of distinct n-grams: those of one group of sections are one row."""
-    group = section_of(grams, total) // GROUP
+def _grouped(grams: np.ndarray, counts: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
+    """(grp, grams, counts) of distinct n-grams: those of one group of sections are one row, some groups a batch."""
+    group = (section_of(grams, total) // GROUP).astype(np.int32)
     order = np.argsort(group, kind="stable")
-    names, cuts = np.unique(group[order], return_index=True)
-    cuts = np.append(cuts, len(order))
-    packed = [pa.array([part[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()) for part in (grams[order], counts[order].astype("<i8"))]
-    return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *packed], ["grp", "grams", "counts"])
+    group = group[order]
+    cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]]) if len(group) else np.zeros(1, np.int64)
+    names, first = group[cuts[:-1]], 0
+    del group
+    while first < len(names):
+        last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + _SENT, "right")) - 1)
+        spans = [order[a:b] for a, b in zip(cuts[first:last], cuts[first + 1 : last + 1])]
+        packed = [pa.array([part[at].astype(kind).tobytes() for at in spans], pa.binary()) for part, kind in ((grams, "<u8"), (counts, "<i8"))]
+        yield pa.RecordBatch.from_arrays([pa.array(names[first:last]), *packed], ["grp", "grams", "counts"])
+        first = last
+
+
+def _counted(pending: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, in order, and how often each occurs; ``pending`` is emptied and sorted in one array."""
+    grams = np.concatenate(pending)
+    pending.clear()
+    grams.sort()
+    first = np.flatnonzero(np.concatenate([[len(grams) > 0], grams[1:] != grams[:-1]]))
+    return grams[first], np.diff(first, append=len(grams)).astype(np.int32)
 
 
 def pair_grams(docs: DataFrame, total: int) -> DataFrame:
@@ -208,20 +225,16 @@ def pair_grams(docs: DataFrame, total: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            grams, counts = np.unique(np.concatenate(pending), return_counts=True)
-            pending.clear()
-            return _grouped(grams, counts, total)
-
         for batch in batches:
             tokens = tokenize(batch.column("text"), lower=True)
             ids, before, _ = sequence(tokens, word_hashes(tokens.vocabulary))
             pending.append(bigram(before, ids))
+            del tokens, ids, before
             if sum(map(len, pending)) > _PENDING:
-                yield flush()
+                yield from _grouped(*_counted(pending), total)
         if pending:
-            yield flush()
+            yield from _grouped(*_counted(pending), total)
+        give_back()
 
     return docs.select("text").mapInArrow(run, "grp int, grams binary, counts binary")
 
@@ -231,7 +244,7 @@ def word_grams(counts: DataFrame, total: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _grouped(unigram(word_hashes(batch.column("word"))), batch.column("c").to_numpy(), total)
+            yield from _grouped(unigram(word_hashes(batch.column("word"))), batch.column("c").to_numpy(), total)
 
     return counts.select("word", "c").mapInArrow(run, "grp int, grams binary, counts binary")
 
@@ -260,6 +273,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     pending.clear()
         if pending:
             yield from summed().cast(counted).to_batches(_KNOWN_BATCH)
+            pending.clear()
+        give_back()
 
     counted = pa.schema([("word", pa.binary()), ("c", pa.int64())])
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -298,6 +313,8 @@ def sections(grams: DataFrame, total: int, bits: float = BITS_PER_ENTRY, base: f
                 group.append((gram, n))
         if group:
             yield build(group)
+            group = []
+        give_back()
 
     placed = grams.repartition(-(-total // GROUP), "grp").sortWithinPartitions("grp")
     return stored(placed.mapInArrow(run, "section int, data binary"), "lm-sections")

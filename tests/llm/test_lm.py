@@ -100,3 +100,20 @@ def test_no_rows_and_nothing_learnt(spark, documents):
     assert lm.score(documents([]), F.lit(True)).collect() == []
     (row,) = lm.score(documents(["a b"]), F.lit(False)).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and abs(row.base_score) < 1e-9 and abs(row.score) < 1e-9
+
+
+def test_pairs_leave_a_task_in_small_batches():
+    """The n-grams of a task, 8 MB here, are sorted in place and sent group by group."""
+    rng = np.random.default_rng(1)
+    pending = [rng.integers(0, 1 << 20, 1 << 17).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(8)]
+    distinct, times = np.unique(np.concatenate(pending), return_counts=True)
+    found, groups = {}, []
+    for batch in lm._grouped(*lm._counted(pending), 100):
+        assert batch.nbytes < 5 << 20
+        for name, grams, counts in zip(*[column.to_pylist() for column in batch.columns]):
+            groups.append(name)
+            grams = np.frombuffer(grams, np.uint64)
+            assert (lm.section_of(grams, 100) // lm.GROUP == name).all()
+            found |= dict(zip(grams.tolist(), np.frombuffer(counts, "<i8").tolist()))
+    assert found == dict(zip(distinct.tolist(), times.tolist())) and len(groups) == len(set(groups)) == 50
+    assert pending == [] and list(lm._grouped(*lm._counted([np.empty(0, np.uint64)]), 3)) == []
