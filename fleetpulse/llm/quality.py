@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetpulse.llm.common import packed, tokenize, unpacked
+from fleetpulse.llm.common import give_back, packed, tokenize, unpacked
 from fleetpulse.llm.learning import BUCKETS, FOLDS, PART, Vocabulary, adam, labelled_sample, pooled, sigmoid, spread_back, taken
 
 # A document is selected if it reaches this grade with this probability.
@@ -108,10 +108,15 @@ def fit(grades: np.ndarray, texts: list[bytes], steps: int = STEPS, min_document
         sizes.append(size)
         repeats.append(repeat)
     vocabulary = Vocabulary.of(vocabularies)
-    word = np.searchsorted(vocabulary.hashes, np.concatenate(names)).astype(np.int32)
-    doc, sizes, repeats = np.concatenate(docs), np.concatenate(sizes), np.concatenate(repeats)
-    value = SCALE * np.concatenate(times) / sizes[doc]
-    del vocabularies, names, docs, times
+    del vocabularies
+    # A part at a time: the driver holds no second copy of them all.
+    sizes, repeats = np.concatenate(sizes), np.concatenate(repeats)
+    value = np.concatenate([SCALE * n / sizes[d] for n, d in zip(times, docs)])
+    del times
+    doc = np.concatenate(docs)
+    del docs
+    word = np.concatenate([np.searchsorted(vocabulary.hashes, h).astype(np.int32) for h in names])
+    del names
     n_words = len(vocabulary.hashes)
     used = np.union1d(vocabulary.used(np.bincount(word, minlength=n_words), min_documents), [REPEAT, EMPTY])
     column = np.full(BUCKETS + 1, -1, np.int32)
@@ -151,7 +156,9 @@ def fit(grades: np.ndarray, texts: list[bytes], steps: int = STEPS, min_document
 
 def train(sample: DataFrame) -> Model:
     """``fit`` of (label, text) rows, whose number and length their maker bounds."""
-    return fit(*taken(sample))
+    model = fit(*taken(sample))
+    give_back()
+    return model
 
 
 def train_on(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:

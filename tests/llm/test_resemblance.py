@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from fleetpulse.llm import resemblance
@@ -91,3 +92,40 @@ def test_most_common_are_cut_by_their_counts(spark):
     for most in (0, 1, 50, 299, 300, 5000):
         found = resemblance._most_common(often, most)
         assert len(found) <= most and (len(found) >= 0.7 * min(most, 300) or most == 1) and (not len(found) or found.tolist() == list(range(300 - len(found), 300)))
+
+
+def test_commonest_shingles_stand_last():
+    h, order = np.array([1, 2, 3, 4], np.uint64), (np.array([1, 2, 3], np.uint64), np.array([30, 10, 20]))
+    assert resemblance._chosen(h, np.array([0, 4]), 0.5, order, False).to_pylist() == [[4, 2, 3]]
+    assert resemblance._chosen(h, np.array([0, 4]), 0.5, (order[0][:0], order[1][:0]), False).to_pylist() == [[1, 2, 3]]
+
+
+def test_every_shingle_is_counted(spark, documents, prose):
+    rows = [None, "", "a b", " ".join(prose(40, 1, rare=True)), " ".join(prose(40, 1, rare=True))]
+    counts = resemblance._all_shingles(documents(rows), 5).groupBy("h").count().collect()
+    assert sorted(r["count"] for r in counts) == [1] + 36 * [2]
+
+
+@pytest.mark.parametrize("shared, whole", [(range(9), True), ([0], False)])
+def test_tiles_connect_what_pairs_do(spark, documents, prose, shared, whole):
+    """Edited copies of three texts, which meet at some shingles; a row per text and pair of tiles at most."""
+    r = random.Random(5)
+    bases = [prose(60, n, rare=True) for n in range(3)]
+    texts = [edited(bases[i % 3], r, r.randrange(1, 6)) for i in range(48)]
+    docs = documents(texts)
+    nothing = np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = resemblance._prefixes(docs, 5, 0.2, nothing, True).select("doc_id", "key", "node", "n")
+    nodes = {x.doc_id: x.node for x in rows.collect()}
+    met = [(h, nodes[i], 56) for h in shared for i in range(48)] if whole else [(i % 3, nodes[i], 56) for i in range(48)]
+    least = {h: min(node for k, node, _ in met if k == h) for h, _, _ in met}
+    frame = spark.createDataFrame([(h, node, n, least[h]) for h, node, n in met], "h long, node long, n long, least long")
+    links = resemblance.tiled(docs, rows.drop("n"), frame, 0.8, 5, tile=6).collect()
+    group = {node: node for node in nodes.values()}
+    for a, b in links:
+        low, high = sorted((group[a], group[b]))
+        group = {n: low if g == high else g for n, g in group.items()}
+    least_place = {}
+    for i in range(48):
+        least_place.setdefault(group[nodes[i]], i)
+    assert [least_place[group[nodes[i]]] for i in range(48)] == plain(texts) and len(set(plain(texts))) < 48
+    assert len(links) <= 48 * 9 and len(links) == len(set(links))
